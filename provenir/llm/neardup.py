@@ -15,12 +15,12 @@ from provenir.llm.components import components
 BANDS = 64
 #: Chance to miss a pair that lies exactly at the threshold.
 MISS = 1e-8
-#: One-byte coordinates kept for the estimate that precedes verification of left-over pairs.
-ESTIMATE = 128
 #: Members that one task compares with one representative; more are salted over several tasks.
 SALT_ROWS = 500
-#: Members of a bucket compared at once; larger buckets are split into blocks.
-BLOCK = 1024
+#: Members of a group compared at once; larger groups are split into blocks.
+BLOCK = 2048
+#: Shingles that this many pairs of a block share are counted by matrix products.
+DENSE = 4096
 
 
 def band_rows(similarity: float) -> int:
@@ -83,7 +83,7 @@ def fast_similarity_sketch(owner: np.ndarray, value: np.ndarray, rows: int, size
 
 
 def _sketch(width: int, per_band: int):
-    size = max(BANDS * per_band, ESTIMATE)
+    size = BANDS * per_band
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = mix(np.arange(1, per_band + 1, dtype=U64)) | U64(1)
@@ -94,10 +94,9 @@ def _sketch(width: int, per_band: int):
             np.add.at(one, owner, value)
             np.add.at(two, owner, mix(value ^ U64(0xA5A5A5A5A5A5A5A5)))
             cells = fast_similarity_sketch(owner, value, batch.num_rows, size)
-            bands = mix((cells[:, : BANDS * per_band].reshape(-1, BANDS, per_band) * weight).sum(axis=2, dtype=U64) + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
+            bands = mix((cells.reshape(-1, BANDS, per_band) * weight).sum(axis=2, dtype=U64) + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-            marks = [x.tobytes() for x in (mix(cells[:, :ESTIMATE]) & U64(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(long(one)), pa.array(long(two)), pa.ListArray.from_arrays(ends, pa.array(long(bands).reshape(-1))), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(long(one)), pa.array(long(two)), pa.ListArray.from_arrays(ends, pa.array(long(bands).reshape(-1)))], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
@@ -157,30 +156,67 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return cut(rows.mapInArrow(_verifier(width, percent), "a long, b long"), "links").distinct()
 
 
-def _across(threshold: int, percent: int):
-    """Pairs inside a (bucket, bi, bj) group that lie in different components and whose sketches look similar enough."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of distinct shingles: frequent shingles by matrix products, rare ones by lists."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    (x, xo), (y, yo) = sides
+    both = np.intersect1d(x, y)
+    for k, (value, owner) in enumerate(sides):
+        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
+        hit = both[at] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides[k] = at[hit][order], owner[hit][order]
+    (x, xo), (y, yo) = sides
+    nx, ny = np.bincount(x, minlength=len(both)), np.bincount(y, minlength=len(both))
+    dense = nx * ny > DENSE
+    column = np.cumsum(dense) - 1
+    for first in range(0, int(dense.sum()), BLOCK):
+        parts = []
+        for value, owner, rows in ((x, xo, len(left)), (y, yo, len(right))):
+            some = dense[value] & (column[value] >= first) & (column[value] < first + BLOCK)
+            part = np.zeros((rows, BLOCK), np.float32)
+            part[owner[some], column[value[some]] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    ends = np.concatenate([[0], np.cumsum(ny)])
+    thin = ~dense[x]
+    for chunk in np.array_split(np.flatnonzero(thin), max(1, int(thin.sum()) >> 17)):
+        count = ny[x[chunk]]
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[x[chunk]], count)
+        np.add.at(out, (np.repeat(xo[chunk], count), yo[place]), 1)
+    return out
+
+
+def _across(width: int, percent: int):
+    """Links between components inside one (group, bi, bj), from all exact similarities; a pair of components once."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cid, comp, n, block, marks = (list(x) for x in zip(*rows))
-        cid, comp, n, block = (np.array(x) for x in (cid, comp, n, block))
-        marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(cid), -1)
-        halves = len(np.unique(block)) > 1
-        for i in range(len(cid) - 1):
-            rest = slice(i + 1, None)
-            near = np.flatnonzero((comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])) & ((block[rest] != block[i]) if halves else True)) + i + 1
-            near = near[(marks[near] == marks[i]).sum(axis=1) >= threshold] if len(near) else near
-            if len(near):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cid[near], cid[i])), pa.array(np.minimum(cid[near], cid[i]))], names=["a", "b"])
+        block = np.array([r[0] for r in rows])
+        comp = np.array([r[1] for r in rows])
+        sides = [np.flatnonzero(block == b) for b in np.unique(block)]
+        left, right = sides[0], sides[-1]
+        sets = [r[2] for r in rows]
+        n = np.array([len(x) for x in sets])
+        same = intersections([sets[i] for i in left], [sets[i] for i in right])
+        near = (100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)) & (comp[left][:, None] != comp[right][None, :]) & (same > 0)
+        i, j = np.nonzero(near)
+        pairs = np.unique(np.sort(np.column_stack([comp[left[i]], comp[right[j]]]), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].astype(np.int64)), pa.array(pairs[:, 0].astype(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                if group is not None and row[:3] != group:
+        for batch in chunks(batches):
+            owner, value = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
+            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            for k, (grp, bi, bj, block, comp) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
+                if group is not None and (grp, bi, bj) != group:
                     yield from emit(rows)
                     rows = []
-                group = row[:3]
-                rows.append(row[3:])
+                group = grp, bi, bj
+                rows.append((block, comp, value[ends[k] : ends[k + 1]].copy()))
         if rows:
             yield from emit(rows)
 
@@ -198,12 +234,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     """
     similarity = percent / 100
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(source.mapInArrow(_sketch(width, band_rows(similarity)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, marks binary"), "sketches")
+    base = cut(source.mapInArrow(_sketch(width, band_rows(similarity)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     some = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
     stars = cut(classes.select(F.explode("bands").alias("bucket"), "cid").repartition("bucket").sortWithinPartitions("bucket", "cid").mapInArrow(_stars, "bucket long, a long, b long"), "stars")
     spokes = cut(stars.groupBy("a", "b").agg(F.count("*").alias("n")), "spokes")
-    # First the spoke on which most bands agree, which settles nearly all; then spokes that still join two components.
+    # First the spoke on which most bands agree, which settles nearly all.
     best = spokes.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     links = verify(best, source, width, percent)
     comp = cut(components(links), "components")
@@ -211,21 +247,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     def root(frame: DataFrame, col: str, alias: str) -> DataFrame:
         return frame.join(comp.select(F.col("id").alias(col), F.col("root").alias(alias)), col, "left").withColumn(alias, F.coalesce(alias, col))
 
-    open_ = root(root(spokes.join(best, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-    links = cut(links.unionByName(verify(cut(open_, "open"), source, width, percent)), "links")
-    comp = cut(components(links), "components")
-    # Buckets that still hold several components: every pair across them that the sketches don't rule out.
+    # Buckets that still hold several components: their members meet in groups, where all similarities are exact.
     split = root(root(stars, "a", "ra"), "b", "rb").filter("ra <> rb").select("bucket").distinct()
-    inside = cut(stars.join(split, "bucket", "left_semi").select("bucket", F.explode(F.array("a", "b")).alias("cid")).distinct(), "inside")
+    inside = cut(stars.join(split, "bucket", "left_semi").select("a", "b").distinct(), "inside")
     if not small(inside, 0):
-        blocks = inside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        placed = root(inside.join(blocks, "bucket"), "cid", "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-        placed = placed.join(classes.select("cid", "n_shingles", "marks"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        grouped = placed.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cid", "comp", "n_shingles", "block", "marks")
-        least = similarity * ESTIMATE - 6 * (similarity * (1 - similarity) * ESTIMATE) ** 0.5
-        pairs = grouped.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "cid").mapInArrow(_across(int(least), percent), "a long, b long").distinct()
-        pairs = cut(pairs.join(spokes, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verify(pairs, source, width, percent))
+        groups = cut(components(inside).select(F.col("id").alias("cid"), F.col("root").alias("grp")), "groups")
+        blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+        placed = root(groups.join(blocks, "grp"), "cid", "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        placed = cut(placed.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "comp", F.col("cid").alias("doc_id")), "placed")
+        rows = source.join(maybe_broadcast(placed), "doc_id").select("grp", "bi", "bj", "block", "comp", "text")
+        rows = rows.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+        links = cut(links.unionByName(rows.mapInArrow(_across(width, percent), "a long, b long")), "links")
         comp = cut(components(links), "components")
     member = classes.select("h1", "h2", "n_shingles", "cid")
     # A doc_id whose rows have different texts joins their classes.
