@@ -156,6 +156,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5) -
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` pairs with an item; all columns stay."""
-    bad = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("bad_doc"), F.col("th").alias("bad_th")).distinct()
+    bad = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("__bad_doc"), F.col("th").alias("__bad_th")).distinct()
     mine = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(maybe_broadcast(cut(bad, "contaminated")), (F.col("doc_id") == F.col("bad_doc")) & (mine == F.col("bad_th")), "left_anti")
+    return docs.join(maybe_broadcast(cut(bad, "contaminated")), (F.col("doc_id") == F.col("__bad_doc")) & (mine == F.col("__bad_th")), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provenir.llm.common import cut, maybe_broadcast
 
@@ -13,7 +14,7 @@ NEAR = 0.1
 LG_K = 12
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
     def one(t, gone):
         if t is None or gone is None:
@@ -29,14 +30,14 @@ def line_dedup(docs: DataFrame, *, min_sites: int = 10) -> DataFrame:
 
     A line (blanks trimmed; blank lines never count) is boilerplate if it stands in documents of ``min_sites`` distinct
     ``source`` values. HyperLogLog sketches merge by aggregation; lines whose estimate is near the threshold get exact
-    distinct counts. The first occurrence, by doc_id and place, stays, so no content leaves the corpus altogether.
+    distinct counts. The first occurrence, by doc_id (null last) and place, stays, so no content leaves the corpus altogether.
     A null text stays null with 0 lines; a null source is no site; rows repeated in full are treated alike; columns
     beside doc_id, text and source pass through, but for ones named like the two new columns, which these replace.
     """
     th = F.hash(F.col("text"))
     lines = docs.select("doc_id", th.alias("th"), "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r"))).filter("line <> ''").select("doc_id", "th", "source", "pos", F.unhex(F.md5("line")).alias("line_key"))
-    spread = lines.groupBy("line_key").agg(F.hll_sketch_agg("source", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    spread = lines.groupBy("line_key").agg(F.hll_sketch_agg("source", LG_K).alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "pos")).alias("first"))
     spread = spread.select("line_key", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= (1 - NEAR) * min_sites)
     spread = cut(spread, "spread")
     near = spread.filter(F.col("sites") <= (1 + NEAR) * min_sites)
@@ -44,12 +45,12 @@ def line_dedup(docs: DataFrame, *, min_sites: int = 10) -> DataFrame:
     known = spread.join(exact, "line_key", "left").filter(F.coalesce("exact", "sites") >= min_sites)
     common = cut(known.select("line_key", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "boilerplate")
     gone = lines.join(maybe_broadcast(common), "line_key").filter(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    gone = gone.groupBy(F.col("doc_id").alias("gone_doc"), F.col("th").alias("gone_th")).agg(F.collect_set("pos").alias("gone_pos"))
-    out = docs.drop("n_lines", "n_removed").withColumn("row_th", th)
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("row_th") == F.col("gone_th")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("__gone_doc"), F.col("th").alias("__gone_th")).agg(F.collect_set("pos").alias("__gone_pos"))
+    out = docs.drop("n_lines", "n_removed").withColumn("__row_th", th)
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_doc")) & (F.col("__row_th") == F.col("__gone_th")), "left")
     size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(size).cast("long"), "n_removed": F.when(F.col("gone_pos").isNull(), 0).otherwise(F.size("gone_pos")).cast("long"), "cut_text": _without(F.when(F.col("gone_pos").isNotNull(), F.col("text")), F.col("gone_pos"))})
-    return out.withColumn("text", F.coalesce("cut_text", "text")).drop("row_th", "gone_doc", "gone_th", "gone_pos", "cut_text")
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(size).cast("long"), "n_removed": F.when(F.col("__gone_pos").isNull(), 0).otherwise(F.size("__gone_pos")).cast("long"), "__cut_text": _without(F.when(F.col("__gone_pos").isNotNull(), F.col("text")), F.col("__gone_pos"))})
+    return out.withColumn("text", F.coalesce("__cut_text", "text")).drop("__row_th", "__gone_doc", "__gone_th", "__gone_pos", "__cut_text")
 
 
 def oracle(min_sites: int) -> str:

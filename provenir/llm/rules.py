@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,10 +52,12 @@ def _best_term(rows: list[dict], names: list[str]) -> Term | None:
         total = [0]
         for _, b in ordered:
             total.append(total[-1] + b)
-        for c in range(1, CUTS):
-            # Thresholds at quantiles of all rows and of the bad ones, placed between two values
-            for place in {n * c // CUTS, _rank(total, bad * c // CUTS)}:
-                if not 0 < place < n or ordered[place - 1][0] == ordered[place][0]:
+        values = [v for v, _ in ordered]
+        # Thresholds at quantiles of all rows and of the bad ones, below and above the rows of equal value there
+        near = {min(k, n - 1) for c in range(CUTS) for k in (n * c // CUTS, bisect_left(total, bad * c // CUTS))}
+        for value in sorted({values[k] for k in near}):
+            for place in (bisect_left(values, value), bisect_right(values, value)):
+                if not 0 < place < n:
                     continue
                 at = (ordered[place - 1][0] + ordered[place][0]) / 2
                 for above, k, b in ((True, n - place, bad - total[place]), (False, place, total[place])):
@@ -63,14 +66,6 @@ def _best_term(rows: list[dict], names: list[str]) -> Term | None:
     return best
 
 
-def _rank(total: list[int], want: int) -> int:
-    lo, hi = 0, len(total) - 1
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if total[mid] < want else (lo, mid)
-    return lo
-
-
 def _worth(rows: list[dict], terms: list[Term]) -> float:
     got = _covers(rows, terms)
     bad = sum(r["bad"] for r in got)
