@@ -19,8 +19,8 @@ def _text_hash():
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality reaches 0.7."""
-    rejected = quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("bad_doc"), F.col("th").alias("bad_th")).distinct()
-    return docs.join(maybe_broadcast(cut(rejected, "rejected")), F.col("doc_id").eqNullSafe(F.col("bad_doc")) & (_text_hash() == F.col("bad_th")), "left_anti")
+    rejected = quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("__bad_doc"), F.col("th").alias("__bad_th")).distinct()
+    return docs.join(maybe_broadcast(cut(rejected, "rejected")), F.col("doc_id").eqNullSafe(F.col("__bad_doc")) & (_text_hash() == F.col("__bad_th")), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
     found = cut(near_duplicates(docs, width=5, percent=80), "near")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_doc")).distinct()
-    out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("gone_doc"), "left_anti")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone_doc")).distinct()
+    out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone_doc"), "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if small(again, 0):
         return out
