@@ -12,10 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType, StringType
 
 U64 = np.uint64
-#: Rows up to which a side is broadcast; beyond it the join shuffles.
+#: Rows and bytes of text up to which a side is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 #: Text bytes handled at once inside a Python worker.
 CHUNK_BYTES = 2 << 20
 
@@ -37,13 +39,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``rows`` rows; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``rows`` rows and ``size`` bytes in strings, binaries and nested columns, summed by partition."""
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DatetimeType))]
+    texts = [F.octet_length(c if isinstance(df.schema[c].dataType, (StringType, BinaryType)) else F.to_json(F.struct(c))) for c in wide]
+    n, held = df.agg(F.count("*"), sum((F.coalesce(F.sum(t), F.lit(0)) for t in texts), F.lit(0))).first()
+    return n <= rows and held <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow side for broadcast after counting it; larger sides go through a shuffled join."""
+    """Mark a side for broadcast after counting its rows and bytes; larger sides go through a shuffled join."""
     return F.broadcast(df) if small(df, rows) else df
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, small, text_buffer, words_of
+from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, text_buffer, words_of
 from provenir.llm.components import components
 
 BANDS = 64
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     # Buckets that still hold several components: their members meet in groups, where all similarities are exact.
     split = root(root(stars, "a", "ra"), "b", "rb").filter("ra <> rb").select("bucket").distinct()
     inside = cut(stars.join(split, "bucket", "left_semi").select("a", "b").distinct(), "inside")
-    if not small(inside, 0):
+    if not inside.isEmpty():
         groups = cut(components(inside).select(F.col("id").alias("cid"), F.col("root").alias("grp")), "groups")
         blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
         placed = root(groups.join(blocks, "grp"), "cid", "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     # A doc_id whose rows have different texts joins their classes.
     own = some.join(member, ["h1", "h2", "n_shingles"]).select("doc_id", "cid")
     again = cut(own.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).filter("a <> b"), "again")
-    if not small(again, 0):
+    if not again.isEmpty():
         pairs = own.join(again.select("doc_id", "b"), "doc_id").select(F.col("cid").alias("a"), "b")
         comp = cut(components(links.unionByName(pairs)), "components")
     rows = base.select("doc_id", "n_shingles", "h1", "h2").join(member, ["h1", "h2", "n_shingles"], "left")

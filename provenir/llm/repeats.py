@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import BYTE_VALUES, U64, Rolling, chunks, cut, long, mix, small, text_buffer, words_of
+from provenir.llm.common import BYTE_VALUES, U64, Rolling, chunks, cut, long, mix, text_buffer, words_of
 
 OTHER_BASE = 0xD1342543DE82EF95
 #: Windows of one document handled at once.
