@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm.common import cut, maybe_broadcast, small, table
+from provenir.llm.common import cut, maybe_broadcast, table
 from provenir.llm.decontaminate import clean_of
 from provenir.llm.lines import line_dedup
 from provenir.llm.neardup import near_duplicates
@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone_doc")).distinct()
     out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone_doc"), "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if small(again, 0):
+    if again.isEmpty():
         return out
     nulls = out.filter("doc_id is null")
     return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
