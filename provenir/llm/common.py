@@ -19,7 +19,10 @@ U64 = np.uint64
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
 #: Text bytes handled at once inside a Python worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cap Arrow batches by bytes, unless the session has a lower cap: rows alone don't bound memory where texts are long."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, which ends its lineage."""
+    bound_batches(df.sparkSession)
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,6 +64,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -183,7 +183,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
         out += parts[0] @ parts[1].T
     ends = np.concatenate([[0], np.cumsum(ny)])
     thin = ~dense[x]
-    for chunk in np.array_split(np.flatnonzero(thin), max(1, int(thin.sum()) >> 17)):
+    some = np.flatnonzero(thin)
+    step = np.cumsum(ny[x[some]]) >> 20
+    for chunk in np.split(some, np.flatnonzero(np.diff(step)) + 1):
         count = ny[x[chunk]]
         place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[x[chunk]], count)
         np.add.at(out, (np.repeat(xo[chunk], count), yo[place]), 1)
