@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from provenir.llm.common import cut, maybe_broadcast
 
@@ -14,17 +12,6 @@ NEAR = 0.1
 LG_K = 12
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
-    def one(t, gone):
-        if t is None or gone is None:
-            return None
-        gone = set(gone.tolist())
-        return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
-
-    return pd.Series([one(t, d) for t, d in zip(text, drop)], dtype=object)
-
-
 def line_dedup(docs: DataFrame, *, min_sites: int = 10) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, and ``n_lines``, ``n_removed`` (long) after its own columns.
 
@@ -49,8 +36,12 @@ def line_dedup(docs: DataFrame, *, min_sites: int = 10) -> DataFrame:
     out = docs.drop("n_lines", "n_removed").withColumn("__row_th", th)
     out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_doc")) & (F.col("__row_th") == F.col("__gone_th")), "left")
     size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(size).cast("long"), "n_removed": F.when(F.col("__gone_pos").isNull(), 0).otherwise(F.size("__gone_pos")).cast("long"), "__cut_text": _without(F.when(F.col("__gone_pos").isNotNull(), F.col("text")), F.col("__gone_pos"))})
-    return out.withColumn("text", F.coalesce("__cut_text", "text")).drop("__row_th", "__gone_doc", "__gone_th", "__gone_pos", "__cut_text")
+    # Both uses of __cut_lines keep it a column of its own, so that a text is split once
+    out = out.withColumn("__cut_lines", F.when(F.col("__gone_pos").isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__cut_lines") - 1), "__gone_pos")
+    rest = F.when(F.col("__gone_pos").isNotNull(), F.array_join(F.transform(left, lambda i: F.get("__cut_lines", i)), "\n"))
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(size).cast("long"), "n_removed": F.when(F.col("__gone_pos").isNull(), 0).otherwise(F.size("__gone_pos")).cast("long"), "__cut_text": rest})
+    return out.withColumn("text", F.coalesce("__cut_text", "text")).drop("__row_th", "__gone_doc", "__gone_th", "__gone_pos", "__cut_lines", "__cut_text")
 
 
 def oracle(min_sites: int) -> str:
