@@ -7,7 +7,8 @@ Neighbouring windows with one anchor form a cell. The work is then, per anchor g
 1. cells that are equal as a whole repeat as a whole (copies inside a task collapse before the shuffle);
 2. grams seen with two or more different cells send one copy of each cell's tokens to a bucket, where the contexts right
    and left of the anchor are sorted and a window repeats if another cell shares both its parts;
-3. a gram with more cells than a bucket holds is split into sub-buckets whose windows meet again by digest.
+3. a gram with more cells than a bucket holds is split into sub-buckets whose windows meet again by digest; grams that
+   a sample of documents shows to be frequent are salted by cell, so that their sub-buckets lie in different tasks.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import BYTE_VALUES, U64, Rolling, chunks, cut, long, mix, text_buffer, words_of
+from provenir.llm.common import BYTE_VALUES, U64, Rolling, chunks, cut, long, maybe_broadcast, mix, text_buffer, words_of
 
 OTHER_BASE = 0xD1342543DE82EF95
 #: Windows of one document handled at once.
 SEGMENT = 4 << 20
 #: Cells that one bucket resolves together.
 BUCKET = 4096
+#: One document in so many is looked at for frequent grams. This decides which task does the work, never what is found.
+LOOK = 64
+#: Cells that a salt of a frequent gram should hold.
+SALT_CELLS = 1024
 #: Cells known to repeat that a task remembers, so that it sends no further copies of them.
 REMEMBER = 1 << 20
 
@@ -147,7 +152,7 @@ def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[
     return np.concatenate([[0], np.cumsum(counts)]), [pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-CONTEXTS = "gram long, lead binary, doc_id long, th int, lo long, off int, many boolean, content binary"
+CONTEXTS = "gram long, lead binary, doc_id long, th int, lo long, off int, many boolean, content binary, salt int"
 
 
 def _contexts(t: Tokens):
@@ -157,7 +162,7 @@ def _contexts(t: Tokens):
         for batch in chunks(batches):
             raw, offsets = text_buffer(batch.column(2))
             _, begin, end, first = t.read(raw, offsets)
-            ends, (lo, hi, anchor, gram, many) = _lists(batch.column(3), ("lo", "hi", "anchor", "gram", "many"))
+            ends, (lo, hi, anchor, gram, many, salt) = _lists(batch.column(3), ("lo", "hi", "anchor", "gram", "many", "salt"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             base = first[row]
             a, b = begin[base + lo], end[base + hi + t.length - 1]
@@ -165,8 +170,8 @@ def _contexts(t: Tokens):
             view = raw.tobytes()
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array([view[i:j] for i, j in zip(lead.tolist(), lead_end.tolist())], pa.binary()) if t.by_range else pa.nulls(len(row), pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lo), pa.array((anchor - lo).astype(np.int32)), pa.array(many.astype(bool)), pa.array([view[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary())],
-                names=["gram", "lead", "doc_id", "th", "lo", "off", "many", "content"],
+                [pa.array(gram), pa.array([view[i:j] for i, j in zip(lead.tolist(), lead_end.tolist())], pa.binary()) if t.by_range else pa.nulls(len(row), pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lo), pa.array((anchor - lo).astype(np.int32)), pa.array(many.astype(bool)), pa.array([view[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary()), pa.array(salt.astype(np.int32))],
+                names=["gram", "lead", "doc_id", "th", "lo", "off", "many", "content", "salt"],
             )
 
     return run
@@ -291,12 +296,13 @@ def _resolved(t: Tokens, bucket: int):
         held: list[tuple] = []
         last, since, split = None, 0, False
         for batch in batches:
-            for gram, *row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7))):
-                if gram != last:
-                    if held and (split or len(held) >= bucket // 4):
+            for gram, salt, *row in zip(*(batch.column(i).to_pylist() for i in (0, 8, 2, 3, 4, 5, 6, 7))):
+                if (gram, salt) != last:
+                    if held and (split or salt >= 0 or len(held) >= bucket // 4):
                         yield from emit(held, split)
-                        held, split = [], False
-                    last = gram
+                        held = []
+                    split = salt >= 0
+                    last = gram, salt
                     since = len(held)
                 elif len(held) >= bucket:
                     if since:  # whole grams first, so that only the long one is split
@@ -354,6 +360,13 @@ def _removed(t: Tokens, texts: bool):
     return run
 
 
+def frequent_grams(source: DataFrame, t: Tokens) -> DataFrame:
+    """(gram, salts) of the grams that a hashed sample of documents shows in more cells than two salts should hold."""
+    some = source.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(LOOK)) == 0)
+    seen = some.mapInArrow(_found(t), FOUND).filter("kind = 1").groupBy("gram").agg((F.count("*") * LOOK).alias("cells"))
+    return seen.filter(F.col("cells") >= 2 * SALT_CELLS).select("gram", F.ceil(F.col("cells") / SALT_CELLS).alias("salts"))
+
+
 def remove_repeats(docs: DataFrame, t: Tokens, *, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_bytes, n_removed, n_spans, kept_sha256`` (and the ``kept`` bytes).
 
@@ -362,20 +375,25 @@ def remove_repeats(docs: DataFrame, t: Tokens, *, bucket: int = BUCKET, texts: b
     copies of each other; rows that share a doc_id or have none are told apart by their texts. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    by_gram = Window.partitionBy("gram", "kind")
-    ordered = by_gram.orderBy("cell")
     found = source.mapInArrow(_found(t), FOUND)
+    frequent = cut(frequent_grams(source, t), "frequent")
+    if frequent.isEmpty():
+        found = found.withColumn("salt", F.lit(-1))
+    else:  # equal cells have equal salts
+        found = found.join(maybe_broadcast(frequent), "gram", "left").withColumn("salt", F.coalesce(F.pmod("cell", "salts"), F.lit(-1)).cast("int")).drop("salts")
+    by_gram = Window.partitionBy("gram", "kind", "salt")
+    ordered = by_gram.orderBy("cell")
     marked = found.select(
         "*",
         F.lag("cell").over(ordered).alias("before"),
         F.lead("cell").over(ordered).alias("after"),
-        (F.min("cell").over(by_gram) != F.max("cell").over(by_gram)).alias("differ"),
+        ((F.min("cell").over(by_gram) != F.max("cell").over(by_gram)) | (F.col("salt") >= 0)).alias("differ"),
     )
     same = F.col("many") | F.coalesce(F.col("before") == F.col("cell"), F.lit(False)) | F.coalesce(F.col("after") == F.col("cell"), F.lit(False))
     ask = (F.col("kind") == 1) & F.col("differ") & ~F.coalesce(F.col("before") == F.col("cell"), F.lit(False))
-    marked = cut(marked.select("gram", "doc_id", "th", "lo", "hi", "anchor", "many", same.alias("same"), ask.alias("ask")).filter("same or ask"), "cells")
+    marked = cut(marked.select("gram", "salt", "doc_id", "th", "lo", "hi", "anchor", "many", same.alias("same"), ask.alias("ask")).filter("same or ask"), "cells")
     whole = marked.filter("same").select("doc_id", "th", "lo", "hi")
-    asked = marked.filter("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "gram", F.col("same").alias("many"))).alias("cells"))
+    asked = marked.filter("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "gram", F.col("same").alias("many"), "salt")).alias("cells"))
 
     def with_text(side: DataFrame, how: str) -> DataFrame:
         other = side.withColumnsRenamed({"doc_id": "d", "th": "h"})
@@ -383,8 +401,8 @@ def remove_repeats(docs: DataFrame, t: Tokens, *, bucket: int = BUCKET, texts: b
 
     contexts = with_text(asked, "inner").mapInArrow(_contexts(t), CONTEXTS)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = contexts.repartitionByRange(n, "lead", "gram") if t.by_range else contexts.repartition(n, "gram")
-    resolved = dealt.sortWithinPartitions("gram").mapInArrow(_resolved(t, bucket), RESOLVED)
+    dealt = contexts.repartitionByRange(n, "lead", "gram", "salt") if t.by_range else contexts.repartition(n, "gram", "salt")
+    resolved = dealt.sortWithinPartitions("gram", "salt").mapInArrow(_resolved(t, bucket), RESOLVED)
     met = resolved.groupBy("hot", "d1", "d2").agg(F.collect_list(F.struct("doc_id", "th", "lo", "hi", "dup")).alias("rows"))
     part = met.filter("not hot or size(rows) > 1").select("hot", F.inline("rows")).filter("not hot or not dup").select("doc_id", "th", "lo", "hi")
     spans = whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -167,9 +167,14 @@ def removed(seqs, length, join):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_repeats_match_brute_force(docs, bucket):
-    """Bucket 3 splits most grams, so windows meet by digest."""
+@pytest.mark.parametrize("bucket,salted", [(4096, False), (3, False), (4096, True), (3, True)])
+def test_repeats_match_brute_force(docs, bucket, salted, monkeypatch):
+    """Bucket 3 splits most grams and salts spread them over tasks, so windows meet by digest."""
+    if salted:
+        from provenir.llm import repeats
+
+        monkeypatch.setattr(repeats, "LOOK", 1)
+        monkeypatch.setattr(repeats, "SALT_CELLS", 1)
     for f, length, seqs, join in ((seed_and_extend_dedup, 35, [tuple((t or "").encode().split()) for t in _texts], b" ".join), (suffix_array_dedup, 200, [(t or "").encode() for t in _texts], bytes)):
         rows = {r["doc_id"]: r for r in f(docs, length=length, bucket=bucket, texts=True).collect()}
         want = removed(seqs, length, join)
