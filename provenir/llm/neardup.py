@@ -17,8 +17,13 @@ BANDS = 64
 MISS = 1e-8
 #: Members that one task compares with one representative; more are salted over several tasks.
 SALT_ROWS = 500
-#: Members of a group compared at once; larger groups are split into blocks.
+#: Members of a group compared at once, and their shingles on average; larger groups are split into blocks.
 BLOCK = 2048
+BLOCK_SHINGLES = 2 << 20
+#: One class in so many is looked at for buckets with many members, and the members that a salt of such a bucket should
+#: hold. This decides which task does the work, never what is found.
+LOOK = 64
+SALT_MEMBERS = 1024
 #: Shingles that this many pairs of a block share are counted by matrix products.
 DENSE = 4096
 
@@ -102,23 +107,42 @@ def _sketch(width: int, per_band: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ordered by (bucket, cid): each member but a bucket's first, with that first one."""
+    """From rows ordered by (bucket, salt, cid): each member but the first of its bucket and salt, with that first one."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, cid = (batch.column(i).to_numpy() for i in (0, 1))
+        key, salt, cid = (batch.column(i).to_numpy() for i in (0, 1, 2))
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         lead = cid[head]
-        if last is not None and key[0] == last[0]:
+        if last is not None and (key[0], salt[0]) == last[0]:
             lead = np.where(head == 0, last[1], lead)
-        last = (key[-1], lead[-1])
+        last = ((key[-1], salt[-1]), lead[-1])
         out = cid != lead
         yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cid, lead)], names=["bucket", "a", "b"])
 
 
+def stars_of(classes: DataFrame) -> DataFrame:
+    """(bucket, a, b): every member of a bucket but the least cid, linked with that one; in a salted bucket with its salt's least, which is linked in turn."""
+    members = classes.select(F.explode("bands").alias("bucket"), "cid")
+    seen = members.filter(F.pmod(F.xxhash64("cid"), F.lit(LOOK)) == 0).groupBy("bucket").agg((F.count("*") * LOOK).alias("n"))
+    frequent = cut(seen.filter(F.col("n") >= 2 * SALT_MEMBERS).select("bucket", F.ceil(F.col("n") / SALT_MEMBERS).alias("salts")), "frequent")
+    none = frequent.isEmpty()
+    if none:
+        members = members.withColumn("salt", F.lit(-1))
+    else:
+        members = members.join(maybe_broadcast(frequent), "bucket", "left")
+        members = members.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cid", F.lit(1)), "salts"), F.lit(-1)).cast("int"))
+    near = members.select("bucket", "salt", "cid").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "cid").mapInArrow(_stars, "bucket long, a long, b long")
+    if none:
+        return near
+    leads = cut(members.filter("salt >= 0").groupBy("bucket", "salt").agg(F.min("cid").alias("a")), "leads")
+    top = leads.groupBy("bucket").agg(F.min("a").alias("b"))
+    return near.unionByName(leads.join(top, "bucket").filter("a <> b").select("bucket", "a", "b"))
+
+
 def _verifier(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sets = None, []
@@ -239,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     base = cut(source.mapInArrow(_sketch(width, band_rows(similarity)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     some = base.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
-    stars = cut(classes.select(F.explode("bands").alias("bucket"), "cid").repartition("bucket").sortWithinPartitions("bucket", "cid").mapInArrow(_stars, "bucket long, a long, b long"), "stars")
+    stars = cut(stars_of(classes), "stars")
     spokes = cut(stars.groupBy("a", "b").agg(F.count("*").alias("n")), "spokes")
     # First the spoke on which most bands agree, which settles nearly all.
     best = spokes.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
@@ -254,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     inside = cut(stars.join(split, "bucket", "left_semi").select("a", "b").distinct(), "inside")
     if not inside.isEmpty():
         groups = cut(components(inside).select(F.col("id").alias("cid"), F.col("root").alias("grp")), "groups")
-        blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+        blocks = groups.join(classes.select("cid", "n_shingles"), "cid").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"))
         placed = root(groups.join(blocks, "grp"), "cid", "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = cut(placed.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "comp", F.col("cid").alias("doc_id")), "placed")

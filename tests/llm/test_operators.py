@@ -87,8 +87,14 @@ def closure(sets, percent):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_match_brute_force(docs, width, percent):
+@pytest.mark.parametrize("width,percent,salted", [(3, 85, False), (5, 80, False), (3, 85, True)])
+def test_near_duplicates_match_brute_force(docs, width, percent, salted, monkeypatch):
+    if salted:
+        from provenir.llm import neardup
+
+        monkeypatch.setattr(neardup, "LOOK", 1)
+        monkeypatch.setattr(neardup, "SALT_MEMBERS", 1)
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
     sets = [shingles(t, width) for t in _texts]
     want = closure(sets, percent)
     got = {r["doc_id"]: r for r in near_duplicates(docs, width=width, percent=percent).collect()}
@@ -97,12 +103,16 @@ def test_near_duplicates_match_brute_force(docs, width, percent):
     assert all(got[i]["kept"] == (want[i] == i) for i in got)
 
 
-def test_near_duplicates_chain_and_open_groups(spark, monkeypatch):
+@pytest.mark.parametrize("salted", [False, True])
+def test_near_duplicates_chain_and_open_groups(spark, monkeypatch, salted):
     """Texts that drift apart: links hold only between neighbours, and blocks of a group are compared with each other."""
     from provenir.llm import neardup
 
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "SALT_ROWS", 3)
+    if salted:
+        monkeypatch.setattr(neardup, "LOOK", 1)
+        monkeypatch.setattr(neardup, "SALT_MEMBERS", 2)
     w = words(120)
     texts = []
     for i in range(24):
