@@ -32,8 +32,10 @@ SEGMENT = 4 << 20
 BUCKET = 4096
 #: One document in so many is looked at for frequent grams. This decides which task does the work, never what is found.
 LOOK = 64
-#: Cells that a salt of a frequent gram should hold.
+#: Cells that a salt of a frequent gram should hold. Every window of a salted cell sends a digest; cells of bytes have
+#: many more windows than cells of words, so their salts hold BYTES_MORE times as many cells, a whole bucket.
 SALT_CELLS = 1024
+BYTES_MORE = 4
 #: Cells known to repeat that a task remembers, so that it sends no further copies of them.
 REMEMBER = 1 << 20
 
@@ -364,7 +366,8 @@ def frequent_grams(source: DataFrame, t: Tokens) -> DataFrame:
     """(gram, salts) of the grams that a hashed sample of documents shows in more cells than two salts should hold."""
     some = source.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(LOOK)) == 0)
     seen = some.mapInArrow(_found(t), FOUND).filter("kind = 1").groupBy("gram").agg((F.count("*") * LOOK).alias("cells"))
-    return seen.filter(F.col("cells") >= 2 * SALT_CELLS).select("gram", F.ceil(F.col("cells") / SALT_CELLS).alias("salts"))
+    held = SALT_CELLS if t.words else SALT_CELLS * BYTES_MORE
+    return seen.filter(F.col("cells") >= 2 * held).select("gram", F.ceil(F.col("cells") / held).alias("salts"))
 
 
 def remove_repeats(docs: DataFrame, t: Tokens, *, bucket: int = BUCKET, texts: bool = False) -> DataFrame:

@@ -185,6 +185,7 @@ def test_repeats_match_brute_force(docs, bucket, salted, monkeypatch):
 
         monkeypatch.setattr(repeats, "LOOK", 1)
         monkeypatch.setattr(repeats, "SALT_CELLS", 1)
+        monkeypatch.setattr(repeats, "BYTES_MORE", 1)
     for f, length, seqs, join in ((seed_and_extend_dedup, 35, [tuple((t or "").encode().split()) for t in _texts], b" ".join), (suffix_array_dedup, 200, [(t or "").encode() for t in _texts], bytes)):
         rows = {r["doc_id"]: r for r in f(docs, length=length, bucket=bucket, texts=True).collect()}
         want = removed(seqs, length, join)
