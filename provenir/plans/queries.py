@@ -76,7 +76,7 @@ edges AS (SELECT a AS "from", b AS "to" FROM one UNION ALL SELECT b, a FROM one)
 
 
 def seeds(nodes):
-    return nodes.filter("type = 'Tables' and id like '%1'").select("id")
+    return nodes.filter("type = 'Tables'").select("id")
 
 
 def walk_sql(moves: str) -> str:
