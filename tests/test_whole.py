@@ -49,3 +49,16 @@ def test_reachable_out_has_all_suppliers(spark, graph):
 def test_neighborhoods_have_all_suppliers(spark, graph, name, radius):
     server, out = graph
     assert rows(QUERIES[name](spark, SF), "seed", "id") == sorted((s, i) for s in server if s[0] == "s" for i in walked(out, s, radius))
+
+
+def test_object_grants_has_all_objects(spark):
+    got = QUERIES["object_grants"](spark, SF)
+    line, part = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("lineitem", "part"))
+    column = {(r["p_partkey"], r["p_size"] % 8): r["p_name"] for r in part}
+    want = []
+    for r in line:
+        if r["l_returnflag"] != "R":
+            k = r["l_linenumber"] - 1
+            state = "DENY" if r["l_linestatus"] == "F" else "GRANT"
+            want.append((str(r["l_partkey"]), r["l_returnflag"], state, r["l_linestatus"], (column.get((r["l_partkey"], k)) if k else None) or ""))
+    assert rows(got.fillna("", ["column"]), "id", "permission", "state", "grantee", "column") == sorted(want)
