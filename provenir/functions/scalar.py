@@ -20,6 +20,7 @@ def safe_file_name(name: Column) -> Column:
 
 
 def format_kb(kb: Column) -> Column:
+    """Whole KB as KB, MB or GB; ties at the one decimal place go up, as in toFixed."""
     whole = kb.cast("double")
     return F.when(kb.isNull(), "-").when(kb >= 1024 * 1024, F.format_string("%.1f GB", whole / (1024 * 1024))).when(kb >= 1024, F.format_string("%.1f MB", whole / 1024)).otherwise(F.concat(kb.cast("string"), F.lit(" KB")))
 

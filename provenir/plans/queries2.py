@@ -363,8 +363,7 @@ def safe_file_name(t):
 @query("WITH k AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 <> 0 THEN CAST(p_partkey * p_size * p_size AS BIGINT) END AS kb FROM part) SELECT id, CASE WHEN kb IS NULL THEN '-' WHEN kb >= 1048576 THEN printf('%.1f GB', kb / 1048576) WHEN kb >= 1024 THEN printf('%.1f MB', kb / 1024) ELSE kb || ' KB' END AS size FROM k WHERE kb IS NULL OR (kb * 20) % 1024 <> 0")
 def format_kb(t):
     kb = F.when(F.col("p_size") % 9 != 0, F.col("p_partkey") * F.col("p_size") * F.col("p_size"))
-    rows = t("part").select(F.col("p_partkey").alias("id"), kb.alias("kb")).filter("kb is null or (kb * 20) % 1024 <> 0")
-    return rows.select("id", scalar.format_kb(F.col("kb")).alias("size"))
+    return t("part").select(F.col("p_partkey").alias("id"), scalar.format_kb(kb).alias("size"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '-' ELSE format('{:,}', o_orderkey * 1000) END AS n FROM orders")

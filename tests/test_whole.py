@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from provenir.plans.queries import QUERIES, graph_of
+from provenir.functions import scalar
+from provenir.plans.all import QUERIES
+from provenir.plans.queries import graph_of
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -62,3 +64,26 @@ def test_object_grants_has_all_objects(spark):
             state = "DENY" if r["l_linestatus"] == "F" else "GRANT"
             want.append((str(r["l_partkey"]), r["l_returnflag"], state, r["l_linestatus"], (column.get((r["l_partkey"], k)) if k else None) or ""))
     assert rows(got.fillna("", ["column"]), "id", "permission", "state", "grantee", "column") == sorted(want)
+
+
+def fixed(kb):
+    """The reference's formatKB: toFixed(1) takes the larger of two equally close values."""
+    if kb is None:
+        return "-"
+    for unit, name in ((1024 * 1024, "GB"), (1024, "MB")):
+        if kb >= unit:
+            tenths = (20 * kb + unit) // (2 * unit)
+            return f"{tenths // 10}.{tenths % 10} {name}"
+    return f"{kb} KB"
+
+
+def test_format_kb_has_all_parts(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet").collect()
+    kb = {r["p_partkey"]: r["p_partkey"] * r["p_size"] ** 2 if r["p_size"] % 9 else None for r in part}
+    assert rows(QUERIES["format_kb"](spark, SF), "id", "size") == sorted((i, fixed(x)) for i, x in kb.items())
+
+
+def test_format_kb_ties(spark):
+    kb = [0, 1023, 1024, 1048575, 1048576, 2**40, *(1024 * k + q for k in (1, 2, 7, 999) for q in (255, 256, 257, 768)), *(2**20 * k + q for k in (1, 2, 999) for q in (2**18 - 1, 2**18, 2**18 + 1, 3 * 2**18))]
+    df = spark.createDataFrame([(x,) for x in kb], "kb long")
+    assert rows(df.select("kb", scalar.format_kb(df.kb).alias("size")), "kb", "size") == sorted((x, fixed(x)) for x in kb)
