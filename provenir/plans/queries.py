@@ -253,8 +253,7 @@ def reachable_out(t):
 @query(walk_sql('SELECT "to" AS src, "from" AS dst FROM edges WHERE "from" LIKE \'s%\' OR CAST(substr("from", 2) AS INT) % 2 = 0'))
 def reachable_in(t):
     nodes, edges = graph_of(t)
-    some = edges.filter("`from` like 's%' or cast(substr(`from`, 2) as int) % 2 = 0")
-    return graph.reachable(some, nodes, seeds(nodes), incoming=True)
+    return graph.reachable(edges, nodes, seeds(nodes), incoming=True)
 
 
 def _neighborhood(radius: int):

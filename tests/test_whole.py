@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from provenir.functions import scalar
+from provenir.operators.graph import reachable
 from provenir.plans.all import QUERIES
 from provenir.plans.queries import graph_of
 
@@ -87,3 +88,15 @@ def test_format_kb_ties(spark):
     kb = [0, 1023, 1024, 1048575, 1048576, 2**40, *(1024 * k + q for k in (1, 2, 7, 999) for q in (255, 256, 257, 768)), *(2**20 * k + q for k in (1, 2, 999) for q in (2**18 - 1, 2**18, 2**18 + 1, 3 * 2**18))]
     df = spark.createDataFrame([(x,) for x in kb], "kb long")
     assert rows(df.select("kb", scalar.format_kb(df.kb).alias("size")), "kb", "size") == sorted((x, fixed(x)) for x in kb)
+
+
+def test_reachable_in_has_all_edges(spark, graph):
+    assert rows(QUERIES["reachable_in"](spark, SF), "seed", "id", "hop") == reached(*graph)
+
+
+def test_directions_differ_on_directed_edges(spark):
+    nodes = spark.createDataFrame([(i, "S", "Tables") for i in "abcd"], "id string, server string, type string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "b")], "from string, to string")
+    seeds = nodes.filter("id = 'b'").select("id")
+    assert rows(reachable(edges, nodes, seeds), "id", "hop") == [("c", 1)]
+    assert rows(reachable(edges, nodes, seeds, incoming=True), "id", "hop") == [("a", 1), ("d", 1)]
