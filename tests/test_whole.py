@@ -7,6 +7,7 @@ import pytest
 
 from provenir.functions import scalar
 from provenir.operators.graph import reachable
+from provenir.operators.metrics import snapshots
 from provenir.plans.all import QUERIES
 from provenir.plans.queries import graph_of
 
@@ -100,3 +101,20 @@ def test_directions_differ_on_directed_edges(spark):
     seeds = nodes.filter("id = 'b'").select("id")
     assert rows(reachable(edges, nodes, seeds), "id", "hop") == [("c", 1)]
     assert rows(reachable(edges, nodes, seeds, incoming=True), "id", "hop") == [("a", 1), ("d", 1)]
+
+
+def test_metrics_snapshot_has_all_parts(spark):
+    n = defaultdict(int)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_linenumber").collect():
+        n[tuple(r)] += 1
+    part = spark.read.parquet(f"{SF}/part.parquet").collect()
+    got = rows(QUERIES["metrics_snapshot"](spark, SF), "id", "row_count", "n_indexes", "n_statistics")
+    assert got == sorted((r["p_partkey"], r["p_size"], n[r["p_partkey"], 1], n[r["p_partkey"], 2]) for r in part)
+
+
+def test_snapshots_need_a_volume_row(spark):
+    volume = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id long, row_count long")
+    indexes = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (9, "c", 7)], "id long, name string, seeks long")
+    statistics = spark.createDataFrame([(3, "s", None), (9, "t", 1)], "id long, name string, modifications long")
+    got = {r["id"]: (r["row_count"], [tuple(x) for x in r["indexes"]], [tuple(x) for x in r["statistics"]]) for r in snapshots(volume, indexes, statistics).collect()}
+    assert got == {1: (10, [("a", 5), ("b", 6)], []), 2: (20, [], []), 3: (30, [], [("s", None)])}
