@@ -1,7 +1,9 @@
-"""Licence scans: TF-IDF cosine of header lines to templates, and inheritance from licence files of the nearest directory."""
+"""Licence scans: TF-IDF cosine of header lines and whole texts to templates, and inheritance from licence files of the nearest directory."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,35 @@ TERM = "[a-z0-9]+"
 LEAST = 0.5
 #: A document is a licence file if licence lines have this share of its terms.
 FILE_SHARE = 0.5
+#: Full texts by licence. A document is a licence file, too, if its whole text is this similar to one.
+TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+LEAST_WHOLE = 0.8
+#: Names of files that hold a licence for their directory.
+FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying)(-[^/]*)?(\.(txt|md|rst))?$"
+#: Says which rights are kept, in BSD texts as well: counts only where no other licence is named.
+RESERVED = "Proprietary"
+
+
+def _best(rows: DataFrame, key: str, total: float, templates: DataFrame, least: float) -> DataFrame:
+    """(key, licence, score) of the most similar template of at least ``least``, for rows of ``key``, ``terms`` and how often they occur."""
+    templates = templates.withColumn("terms", F.regexp_extract_all("line", F.lit(f"({TERM})"), F.lit(1)))
+    counts = rows.select("n", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
+
+    def vector(rows: DataFrame, key: str) -> DataFrame:
+        tf = rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        weighed = tf.join(counts, "term", "left")
+        return weighed.select(key, "term", (F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0.0)))) + 1)).alias("x"))
+
+    # The templates' vectors have a fixed size
+    theirs = F.broadcast(vector(templates, "template"))
+    norms = F.broadcast(vector(templates, "template").groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ny")))
+    mine = vector(rows, key)
+    norm = mine.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    dots = mine.join(theirs.withColumnRenamed("x", "y"), "term").groupBy(key, "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    near = dots.join(norms, "template").join(norm, key).join(F.broadcast(templates.select("template", "licence")), "template")
+    near = near.select(key, "licence", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 6).alias("score")).filter(F.col("score") >= least)
+    order = F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), "licence")
+    return near.groupBy(key).agg(F.min(order).alias("b")).select(key, F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
@@ -37,8 +68,11 @@ def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
 
     Lines with a licence cue are weighed by TF-IDF (counts over all such lines) and compared with each template; the
     best one of at least ``least`` names the file's licence (origin ``header``, or ``file`` where licence lines are half
-    of its terms or more). A file without one takes that of the nearest directory above it that has a licence file, the
-    most similar first, then by name (``inherited``); others get null and ``none``, scores being null then.
+    of its terms or more, or the file's name is that of a licence file), rights reserved only if no line names another.
+    Whole texts with a cue are weighed by counts over such texts and compared with full licence texts; the best one of
+    at least ``LEAST_WHOLE`` goes before any line (``file``). A file without a licence takes that of the nearest
+    directory above it that has a licence file, the most similar first, then by name (``inherited``); others get null
+    and ``none``, scores being null then.
     Null texts have no lines; a null path has no directory; rows repeated in full get a row each; ties go to the
     licence that comes first by name. Other columns are ignored.
     """
@@ -50,32 +84,25 @@ def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
     marked = cut(marked.select("doc_id", "path", "th", "line", "terms"), "header-lines")
     kinds = marked.groupBy("line").agg(F.first("terms").alias("terms"), F.count("*").cast("double").alias("n"))
     templates = spark.createDataFrame([(str(i), n, t.lower()) for i, (n, t) in enumerate(TEMPLATES)], "template string, licence string, line string")
-    templates = templates.withColumn("terms", F.regexp_extract_all("line", F.lit(f"({TERM})"), F.lit(1)))
-    total = F.lit(float(marked.count()))
-    counts = kinds.select("n", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
-
-    def vector(rows: DataFrame, key: str) -> DataFrame:
-        tf = rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-        weighed = tf.join(counts, "term", "left")
-        return weighed.select(key, "term", (F.col("tf") * (F.log((1 + total) / (1 + F.coalesce("df", F.lit(0.0)))) + 1)).alias("x"))
-
-    # The templates' vectors have a fixed size
-    theirs = F.broadcast(vector(templates, "template"))
-    norms = F.broadcast(vector(templates, "template").groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ny")))
-    mine = vector(kinds, "line")
-    norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
-    dots = mine.join(theirs.withColumnRenamed("x", "y"), "term").groupBy("line", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    near = dots.join(norms, "template").join(norm, "line").join(F.broadcast(templates.select("template", "licence")), "template")
-    near = near.select("line", "licence", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 6).alias("score")).filter(F.col("score") >= least)
-    best = near.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("line", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    best = _best(kinds, "line", float(marked.count()), templates, least)
+    # Whole texts, each once however often it occurs
+    cued = files.filter(F.lower("text").rlike(CUE)).select("doc_id", "path", "th", F.lower("text").alias("low")).withColumn("key", F.sha2("low", 256))
+    cued = cued.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).filter(F.size("terms") > 0)
+    cued = cut(cued.select("doc_id", "path", "th", "key", "terms"), "cued-texts")
+    texts = cued.groupBy("key").agg(F.first("terms").alias("terms"), F.count("*").cast("double").alias("n"))
+    full = spark.createDataFrame([(str(i), n, t.lower()) for i, (n, t) in enumerate(TEXTS)], "template string, licence string, line string")
+    whole = cut(_best(texts, "key", float(cued.count()), full, LEAST_WHOLE), "whole")
+    whole = cued.drop("terms").join(maybe_broadcast(whole), "key").select(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h"), F.struct(F.lit(False).alias("reserved"), (-F.col("score")).alias("s"), "licence").alias("b"))
     named = marked.join(maybe_broadcast(cut(best, "lines")), "line")
-    own = named.groupBy(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h")).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"), F.sum(F.size("terms")).alias("n"))
-    own = cut(own.select("d", "p", "h", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "n"), "own")
+    own = named.groupBy(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h")).agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), "licence")).alias("b"), F.sum(F.size("terms")).alias("n"))
+    # What the whole text says goes first
+    own = own.withColumn("w", F.lit(False)).unionByName(whole.withColumns({"n": F.lit(0).cast("long"), "w": F.lit(True)})).groupBy("d", "p", "h").agg(F.min(F.struct((~F.col("w")).alias("line"), "b")).alias("m"), F.max("n").alias("n"))
+    own = cut(own.select("d", "p", "h", F.col("m.b.licence").alias("licence"), (-F.col("m.b.s")).alias("score"), "n", (~F.col("m.line")).alias("w")), "own")
     terms = F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))
     match = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("th") == F.col("h"))
     rows = files.withColumn("has_cue", F.lower("text").rlike(CUE)).select("doc_id", "path", "th", F.when(F.col("has_cue"), terms).alias("terms"))
     rows = rows.join(maybe_broadcast(own), match, "left").drop("d", "p", "h")
-    rows = rows.withColumn("origin", F.when(F.col("licence").isNull(), "none").when(F.col("n") >= FILE_SHARE * F.col("terms"), "file").otherwise("header"))
+    rows = rows.withColumn("origin", F.when(F.col("licence").isNull(), "none").when(F.col("w") | (F.col("n") >= FILE_SHARE * F.col("terms")) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)), "file").otherwise("header"))
     rows = cut(rows.select("doc_id", "path", "licence", "score", "origin"), "named")
     # Nearest ancestor: every directory above a file, joined by path
     up = F.regexp_replace("path", "/?[^/]*$", "")
