@@ -74,14 +74,17 @@ PACKED = "doc_id long, piece int, n_pieces int, n_tokens long, bin_id long, plac
 
 def _pack(capacity: int):
     def shard(number: int, rows: list[tuple]) -> pa.RecordBatch:
-        often = Counter(r[5] for r in rows)
+        often = Counter(r[5] for r in rows) + Counter(("near", r[6]) for r in rows if r[6] is not None)
         sources: dict = {}
         clusters: dict = {}
         bins, out = Bins(capacity), []
-        for doc, piece, pieces, tokens, source, cluster in sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[5], r[1])):
+        for doc, piece, pieces, tokens, source, cluster, near in sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[5], r[1])):
             bit = 1 << sources.setdefault(source, len(sources)) if source is not None else 0
             # A cluster that this shard has once can't be in conflict
-            mark = 1 << clusters.setdefault(cluster, len(clusters)) if often[cluster] > 1 else 0
+            mark = 0
+            for c in (cluster, ("near", near)):
+                if often[c] > 1:
+                    mark |= 1 << clusters.setdefault(c, len(clusters))
             b, place = bins.put(tokens, bit, mark)
             out.append((doc, piece, pieces, tokens, number << 32 | b, place))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -102,22 +105,26 @@ def _pack(capacity: int):
     return run
 
 
-def best_fit_packing(docs: DataFrame, *, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, near: DataFrame | None = None, *, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: ``doc_id, piece, n_pieces, n_tokens, bin_id, place``; a token is a word between ASCII white space.
 
     Documents longer than ``capacity`` are cut into full pieces, each a bin of its own, and a rest. No bin holds two
-    pieces of one ``source`` or of one duplicate cluster (equal lower-cased words); a full piece shares its bin with
-    none. Within a shard pieces go by falling size into the fullest bin that can take them. Shards hold about
+    pieces of one ``source`` or of one duplicate cluster: equal lower-cased words or, with ``near``, one ``component_id``
+    of ``near_duplicates``, found by ``doc_id``. A full piece shares its bin with none. Within a shard pieces go by falling size into the fullest bin that can take them. Shards hold about
     ``shard_rows`` documents by a hash, so one source or cluster never gathers in one task. A null or blank text is one
     piece of 0 tokens; a null source conflicts with nothing; rows repeated in full are packed each; other columns are ignored.
     """
     words = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(BLANKS))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("t"))
     df = df.select("doc_id", "source", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", r"[\x20\x09-\x0D]+"))).cast("long").alias("n"), F.xxhash64(F.regexp_replace(F.lower("t"), r"[\x20\x09-\x0D]+", " ")).alias("cluster"))
+    if near is None:
+        df = df.withColumn("near", F.lit(None).cast("long"))
+    else:
+        df = df.join(near.filter("doc_id is not null").select("doc_id", F.col("component_id").alias("near")).distinct(), "doc_id", "left")
     shards = max(1, -(-docs.count() // shard_rows))
     pieces = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
     df = df.withColumn("n_pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     tokens = F.least(F.col("n") - F.col("piece") * F.lit(capacity), F.lit(capacity)).cast("long")
-    rows = df.select(F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).alias("shard"), "doc_id", "piece", "n_pieces", tokens.alias("n_tokens"), "source", "cluster")
+    rows = df.select(F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).alias("shard"), "doc_id", "piece", "n_pieces", tokens.alias("n_tokens"), "source", "cluster", "near")
     width = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return rows.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_pack(capacity), PACKED)
