@@ -29,8 +29,27 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 
+def _near_dedup_by_text(docs: DataFrame, sha) -> DataFrame:
+    """Near-dedup over (doc_id, hash of the text), numbered, as near_duplicates knows one document by its doc_id."""
+    named = docs.filter("doc_id is not null").withColumn("__sha", sha)
+    nodes = named.groupBy("doc_id", "__sha").agg(F.first("text").alias("text")).withColumn("__key", F.monotonically_increasing_id())
+    nodes = cut(nodes, "nodes")
+    found = near_duplicates(nodes.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id")
+    first = found.join(nodes.drop("text"), "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__sha")).alias("m"))
+    kept = cut(first.select(F.col("m.doc_id").alias("__kept_doc"), F.col("m.__sha").alias("__kept_sha")), "kept")
+    out = named.join(maybe_broadcast(kept), (F.col("doc_id") == F.col("__kept_doc")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__sha"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows of one doc_id with different texts are documents of their own; a null doc_id stays.
+    """
+    sha = F.coalesce(F.sha2("text", 256), F.lit(""))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sha).alias("a"), F.max(sha).alias("b"))
+    if not ids.filter("a <> b").isEmpty():
+        return _near_dedup_by_text(docs, sha)
     found = cut(near_duplicates(docs, width=5, percent=80), "near")
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone_doc")).distinct()
     out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone_doc"), "left_anti")
