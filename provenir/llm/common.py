@@ -120,8 +120,9 @@ def long(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; null reads as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """Bytes and row offsets of a string column, where null reads as empty, or of a large binary one without nulls."""
+    if not pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column, "").cast(pa.large_string())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -145,8 +146,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             first = last
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -160,7 +161,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, *, lower: bool = False) -> tu
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begin = inside.copy()

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import lines, licenses
+from provenir.llm import licenses, lines, seeds
 from provenir.llm.common import table
 from provenir.llm.decontaminate import contaminated
 from provenir.llm.neardup import near_duplicates
 from provenir.llm.packing import best_fit_packing
 from provenir.llm.quality import quality
-from provenir.llm.repeats import seed_and_extend_dedup, suffix_array_dedup
 from provenir.llm.rules import quality_rules
+from provenir.llm.suffixes import suffix_array_dedup
 from provenir.llm.toxicity import toxicity
 
 MIN_SITES = 10
+RUN = 35
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = seed_and_extend_dedup(table(spark, sf_dir, "documents"), length=35)
+    out = seeds.seed_and_extend_dedup(table(spark, sf_dir, "documents"), length=RUN)
     return out.select("doc_id", out.n_tokens.alias("n_words"), "n_removed", "kept_sha256")
 
 
@@ -84,4 +85,4 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES = {"op1_line_dedup": lines.oracle(MIN_SITES), "op8_license_scan": licenses.oracle()}
+ORACLES = {"op1_line_dedup": lines.oracle(MIN_SITES), "op7_substring_dedup": seeds.oracle(RUN), "op8_license_scan": licenses.oracle()}

@@ -1,14 +1,16 @@
-"""Exact removal of repeated token windows: the engine under byte-suffix and word-substring deduplication.
+"""Exact removal of repeated token windows: what byte-suffix and word-substring deduplication share.
 
-A window is ``length`` consecutive tokens of one document. Each window is assigned the least-hashed ``gram`` inside it
-(its anchor), which depends on the window's content alone, so equal windows have equal anchors at equal offsets.
-Neighbouring windows with one anchor form a cell. The work is then, per anchor gram:
+A window is ``length`` consecutive tokens of one document. Its anchor is the least ``gram`` inside it, in an order that
+depends on content alone, so equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form
+a cell. The steps are:
 
-1. cells that are equal as a whole repeat as a whole (copies inside a task collapse before the shuffle);
-2. grams seen with two or more different cells send one copy of each cell's tokens to a bucket, where the contexts right
-   and left of the anchor are sorted and a window repeats if another cell shares both its parts;
-3. a gram with more cells than a bucket holds is split into sub-buckets whose windows meet again by digest; grams that
-   a sample of documents shows to be frequent are salted by cell, so that their sub-buckets lie in different tasks.
+1. every document is cut into cells; a cell whose gram stands nowhere else can't repeat and goes;
+2. of cells with equal digests the first two are sent on with their tokens, so that two real copies are compared;
+3. a resolver compares the tokens right and left of the anchors, and says which windows of a cell repeat;
+4. every cell takes over what was found for the two of its digest, and the covered tokens go.
+
+Nothing is removed that the resolver hasn't compared. Grams that a hashed sample shows to be frequent come last in the
+anchors' order: a window then hangs on a rarer gram wherever it has one, so that a frequent gram has few different cells.
 """
 
 from __future__ import annotations
@@ -23,31 +25,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import BYTE_VALUES, U64, Rolling, chunks, cut, long, maybe_broadcast, mix, text_buffer, words_of
+from provenir.llm.common import BYTE_VALUES, SPACE, U64, Rolling, chunks, cut, long, mix, text_buffer, words_of
 
 OTHER_BASE = 0xD1342543DE82EF95
-#: Windows of one document handled at once.
-SEGMENT = 4 << 20
-#: Cells that one bucket resolves together.
-BUCKET = 4096
-#: One document in so many is looked at for frequent grams. This decides which task does the work, never what is found.
-LOOK = 64
-#: Cells that a salt of a frequent gram should hold. Every window of a salted cell sends a digest; cells of bytes have
-#: many more windows than cells of words, so their salts hold BYTES_MORE times as many cells, a whole bucket.
-SALT_CELLS = 1024
-BYTES_MORE = 4
-#: Cells known to repeat that a task remembers, so that it sends no further copies of them.
-REMEMBER = 1 << 20
+#: Bytes of one document handled at once.
+SEGMENT = 1 << 20
+#: Cells that are resolved together, in whole groups of one gram. Beyond MOST cells a group is resolved in parts, whose
+#: windows meet by digest.
+BUCKET, MOST = 4096, 65536
+#: One stretch of STRETCH bytes in so many is looked at for frequent grams; a gram is frequent from FREQUENT finds on.
+#: The next three decide which anchors are taken and which task does the work, never what is found.
+LOOK, STRETCH, FREQUENT = 64, 1 << 16, 64
+SLOT_BITS = 22
+#: Tasks over which the cells of one frequent gram are spread.
+SALTS = 64
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """How texts become tokens. ``by_range``: buckets are cut at sampled splitters of the leading tokens."""
+    """How texts become tokens: bytes, or words parted by ASCII white space."""
 
     length: int
     gram: int
     words: bool
-    by_range: bool
 
     def read(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token values, first and end bytes, and where each row's tokens begin."""
@@ -56,6 +56,29 @@ class Tokens:
         at = np.arange(len(raw) + 1)
         return BYTE_VALUES[raw], at[:-1], at[1:], offsets
 
+    def stop(self, raw: np.ndarray, at: int) -> int:
+        """The first place from ``at`` on where a text can be parted without parting a token."""
+        while self.words and at < len(raw):
+            blank = np.flatnonzero(SPACE[raw[at : at + SEGMENT]])
+            if len(blank):
+                return at + int(blank[0])
+            at += SEGMENT
+        return min(at, len(raw))
+
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(values, first bytes, end bytes, where rows begin, number of the first token); each window is in one piece."""
+        if len(raw) <= SEGMENT or len(offsets) > 2:
+            yield *self.read(raw, offsets), 0
+            return
+        held, number, at = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0, 0
+        while at < len(raw):
+            end = self.stop(raw, at + SEGMENT)
+            value, a, b, _ = self.read(raw[at:end], np.array([0, end - at]))
+            piece = tuple(np.concatenate(x) for x in zip(held, (value, a + at, b + at)))
+            yield *piece, np.array([0, len(piece[0])]), number
+            over = max(0, len(piece[0]) - self.length + 1)
+            held, number, at = tuple(x[over:] for x in piece), number + over, end
+
 
 def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices first[i] .. first[i] + count[i] - 1 of every i, one after the other, and their i."""
@@ -63,17 +86,22 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner], owner
 
 
-def cells_of(tok: np.ndarray, first: np.ndarray, t: Tokens) -> tuple[np.ndarray, ...]:
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def cells_of(tok: np.ndarray, first: np.ndarray, t: Tokens, often: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, anchor, gram hash, cell hash) of every cell."""
     w = t.length - t.gram + 1
     start, row = spread(first[:-1], np.maximum(np.diff(first) - t.length + 1, 0))
     if not len(start):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.view(U64), none.view(U64)
-    rolling = Rolling(tok)
     at = np.arange(len(tok) - t.gram + 1)
-    grams = rolling.of(at, at + t.gram)
-    least = (grams & U64(0xFFFFFFFF00000000)) | at.astype(U64)
+    grams = Rolling(tok).of(at, at + t.gram)
+    least = (grams >> U64(1)) & U64(0x7FFFFFFF00000000) | at.astype(U64)
+    if often is not None:
+        least |= often[slots(grams)].astype(U64) << U64(63)
     reach = 1
     while reach < w:  # minimum over ever longer stretches
         step = min(reach, w - reach)
@@ -89,64 +117,73 @@ def cells_of(tok: np.ndarray, first: np.ndarray, t: Tokens) -> tuple[np.ndarray,
     return row[head], lo, hi, anchor[head], grams[anchor[head]], cell
 
 
-FOUND = "kind int, gram long, cell long, doc_id long, th int, lo long, hi long, anchor long, many boolean"
+def _sampled(t: Tokens):
+    """(slot, n): grams of sampled stretches, counted by the leading bits of their hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            raw, offsets = text_buffer(batch.column(1))
+            key = batch.column(0).to_numpy().view(U64)
+            for r in range(batch.num_rows):
+                a, b = offsets[r], offsets[r + 1]
+                lots = -(-int(b - a) // STRETCH)
+                hit = mix(key[r] + np.arange(lots, dtype=U64) * U64(0x9E3779B97F4A7C15)) % U64(LOOK) == 0
+                for k in np.flatnonzero(hit):
+                    part = raw[a + k * STRETCH : min(b, a + (k + 1) * STRETCH + t.length)]
+                    tok = t.read(part, np.array([0, len(part)]))[0]
+                    if len(tok) < t.length:
+                        continue
+                    at = np.arange(len(tok) - t.gram + 1)
+                    slot, n = np.unique(slots(Rolling(tok).of(at, at + t.gram)), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    return run
 
-def _found(t: Tokens):
-    """Kind 0: windows lo..hi known to repeat. Kind 1: one cell, ``many`` if this task saw it more than once."""
+
+def frequent(source: DataFrame, t: Tokens) -> np.ndarray | None:
+    """A fixed-size bit map of the slots of frequent grams, None without any. It bounds no search: any map gives the same result."""
+    some = source.select(F.xxhash64("doc_id", "th").alias("key"), "text").filter(F.octet_length("text") >= t.length)
+    seen = cut(some.mapInArrow(_sampled(t), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    mean = (seen.agg(F.sum("n")).first()[0] or 0) / (1 << SLOT_BITS)
+    often = seen.filter(F.col("n") >= max(FREQUENT, 8 * mean)).select("slot").toArrow().column(0).to_numpy()  # at most 2 ** SLOT_BITS / 8 rows
+    if not len(often):
+        return None
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    bits[often] = True
+    return bits
+
+
+FOUND = "gram long, cell long, salt int, doc_id long, th long, lo long, n int, off int, at long, size int"
+
+
+def _found(t: Tokens, packed: bytes | None):
+    """Every cell, by gram and digest, with its windows lo..lo+n, its anchor's place in it, and its bytes at..at+size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, U64)
+        often = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in chunks(batches):
             doc, th = batch.column(0), batch.column(1)
             raw, offsets = text_buffer(batch.column(2))
-            tok, _, _, first = t.read(raw, offsets)
-            parts = []
-            if len(tok) <= SEGMENT + t.length:
-                parts.append((*cells_of(tok, first, t), first))
-            else:  # a segment's last windows reach into the next one, so none is missed
-                for r in range(len(first) - 1):
-                    for a in range(first[r], max(first[r + 1] - t.length + 1, first[r]), SEGMENT):
-                        b = min(a + SEGMENT + t.length - 1, first[r + 1])
-                        row, lo, hi, anchor, gram, cell = cells_of(tok[a:b], np.array([0, b - a]), t)
-                        parts.append((row + r, lo + a, hi + a, anchor + a, gram, cell, first))
-            for row, lo, hi, anchor, gram, cell, begin in parts:
+            for tok, begin, end, first, number in t.pieces(raw, offsets):
+                row, lo, hi, anchor, gram, cell = cells_of(tok, first, t, often)
                 if not len(row):
                     continue
-                lo, hi, anchor = lo - begin[row], hi - begin[row], anchor - begin[row]
-                both = mix(gram + cell * U64(0x9E3779B97F4A7C15))
-                _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-                place = np.minimum(np.searchsorted(known, both), max(len(known) - 1, 0))
-                old = known[place] == both if len(known) else np.zeros(len(both), bool)
-                many = count[inverse] > 1
-                send = ~old & ~many
-                again = many & ~old
-                if again.any():
-                    lead = np.flatnonzero(again)
-                    lead = lead[np.unique(both[lead], return_index=True)[1]]
-                    send[lead] = True
-                    if len(known) < REMEMBER:
-                        known = np.union1d(known, both[lead])
-                dup = np.flatnonzero(many | old)
-                if len(dup):
-                    fresh = np.ones(len(dup), bool)
-                    fresh[1:] = (row[dup][1:] != row[dup][:-1]) | (lo[dup][1:] != hi[dup][:-1] + 1)
-                    a = np.flatnonzero(fresh)
-                    b = np.append(a[1:], len(dup)) - 1
-                    yield _found_rows(0, doc, th, row[dup][a], mix(both[dup][a]), both[dup][a], lo[dup][a], hi[dup][b], lo[dup][a], np.ones(len(a), bool))
-                yield _found_rows(1, doc, th, row[send], gram[send], cell[send], lo[send], hi[send], anchor[send], many[send])
+                at, size = begin[lo] - offsets[row], end[hi + t.length - 1] - begin[lo]
+                salt = np.full(len(row), -1, np.int32)
+                if often is not None:
+                    hot = often[slots(gram)]
+                    name = pc.fill_null(doc, 0).to_numpy().astype(U64) + th.to_numpy().view(U64)
+                    salt[hot] = (mix(name[row[hot]] + lo[hot].astype(U64)) % U64(SALTS)).astype(np.int32)
+                rows = pa.array(row)
+                numbers = [pa.array(x.astype(np.int32)) for x in (hi - lo, anchor - lo)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(long(gram)), pa.array(long(cell)), pa.array(salt), doc.take(rows), th.take(rows), pa.array(lo - first[row] + number), *numbers, pa.array(at), pa.array(size.astype(np.int32))],
+                    names=["gram", "cell", "salt", "doc_id", "th", "lo", "n", "off", "at", "size"],
+                )
 
     return run
 
 
-def _found_rows(kind, doc, th, row, gram, cell, lo, hi, anchor, many) -> pa.RecordBatch:
-    at = pa.array(row)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(row), kind, np.int32)), pa.array(long(gram)), pa.array(long(cell)), doc.take(at), th.take(at), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), pa.array(anchor.astype(np.int64)), pa.array(many)],
-        names=["kind", "gram", "cell", "doc_id", "th", "lo", "hi", "anchor", "many"],
-    )
-
-
 def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Row offsets and flat fields of a list<struct> column; null is an empty list."""
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -154,99 +191,81 @@ def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[
     return np.concatenate([[0], np.cumsum(counts)]), [pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-CONTEXTS = "gram long, lead binary, doc_id long, th int, lo long, off int, many boolean, content binary, salt int"
+def binaries(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The stretches of ``raw`` as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[spread(start, size)[0]]))])
+
+
+CONTEXTS = "lead binary, gram long, cell long, n int, off int, hot boolean, content binary"
 
 
 def _contexts(t: Tokens):
-    """The tokens of every requested cell, as bytes of the text, with the anchor's place in them."""
+    """The bytes of every cell that was asked for; ``lead`` is its anchor's gram where tokens are bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            raw, offsets = text_buffer(batch.column(2))
-            _, begin, end, first = t.read(raw, offsets)
-            ends, (lo, hi, anchor, gram, many, salt) = _lists(batch.column(3), ("lo", "hi", "anchor", "gram", "many", "salt"))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            base = first[row]
-            a, b = begin[base + lo], end[base + hi + t.length - 1]
-            lead, lead_end = begin[base + anchor], end[base + anchor + t.gram - 1]
-            view = raw.tobytes()
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array([view[i:j] for i, j in zip(lead.tolist(), lead_end.tolist())], pa.binary()) if t.by_range else pa.nulls(len(row), pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lo), pa.array((anchor - lo).astype(np.int32)), pa.array(many.astype(bool)), pa.array([view[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary()), pa.array(salt.astype(np.int32))],
-                names=["gram", "lead", "doc_id", "th", "lo", "off", "many", "content", "salt"],
-            )
+            raw, offsets = text_buffer(batch.column(0))
+            ends, (at, size, off, n, gram, cell, hot) = _lists(batch.column(1), ("at", "size", "off", "n", "gram", "cell", "hot"))
+            at = at + np.repeat(offsets[:-1], np.diff(ends))
+            done = 0
+            while done < len(at):  # about SEGMENT bytes at once
+                some = slice(done, done + max(1, int(np.searchsorted(np.cumsum(size[done : done + SEGMENT], dtype=np.int64), SEGMENT))))
+                done = some.stop
+                lead = pa.nulls(len(at[some]), pa.binary()) if t.words else binaries(raw, at[some] + off[some], np.full(len(at[some]), t.gram))
+                yield pa.RecordBatch.from_arrays(
+                    [lead, pa.array(gram[some]), pa.array(cell[some]), pa.array(n[some].astype(np.int32)), pa.array(off[some].astype(np.int32)), pa.array(hot[some].astype(bool)), binaries(raw, at[some], size[some].astype(np.int64))],
+                    names=["lead", "gram", "cell", "n", "off", "hot", "content"],
+                )
 
     return run
 
 
-def multikey_order(keys: np.ndarray) -> np.ndarray:
-    """Order of the rows of a matrix by multikey quicksort: sort by one token, then only groups that are equal so far by the next."""
-    order = np.argsort(keys[:, 0], kind="stable")
-    group = np.zeros(len(order), np.int64)
-    group[1:] = np.cumsum(keys[order[1:], 0] != keys[order[:-1], 0])
-    for depth in range(1, keys.shape[1]):
-        tied = np.zeros(len(order), bool)
-        tied[1:] = group[1:] == group[:-1]
-        tied[:-1] |= tied[1:]
-        live = np.flatnonzero(tied)
-        if not len(live):
-            break
-        value = keys[order[live], depth]
-        again = np.lexsort((value, group[live]))
-        order[live] = order[live][again]
-        token = keys[order, depth]
-        parted = np.zeros(len(order), bool)
-        parted[1:] = (group[1:] != group[:-1]) | (tied[1:] & tied[:-1] & (token[1:] != token[:-1]))
-        group = np.cumsum(parted)
-    return order
-
-
-def _side(values: np.ndarray, start: np.ndarray, step: int, have: np.ndarray, depth: int, pad) -> np.ndarray:
-    """Row i: the tokens from start[i] on, going by ``step``, as many as it has and padded to ``depth``."""
-    at = start[:, None] + step * np.arange(depth)[None, :]
-    out = values[np.clip(at, 0, max(len(values) - 1, 0))]
-    out[np.arange(depth)[None, :] >= have[:, None]] = pad
-    return out
-
-
-def _classes(side: np.ndarray, packed: bool) -> Callable[[int], np.ndarray]:
-    """For a depth: numbers that are equal for rows that share so many first tokens."""
-    n, depth = side.shape
-    if packed:
-        wide = np.zeros((n, -(-max(depth, 1) // 8) * 8), np.uint8)
-        wide[:, :depth] = side
-        keys = wide.view(">u8").astype(U64)
-    else:
-        keys = side if depth else np.zeros((n, 1), U64)
-    order = multikey_order(keys)
-    differs = side[order[1:]] != side[order[:-1]]
-    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), depth) if depth else np.zeros(max(n - 1, 0), np.int64)
-
-    def at(d: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        out[order[1:]] = np.cumsum(shared < d)
-        return out
-
-    return at
-
-
-def resolve(contents: list[bytes], off: np.ndarray, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of cells of one bucket: (cell, start in it, repeats in the bucket, first of its kind). Grams may differ."""
-    sizes = np.array([len(x) for x in contents], np.int64)
-    raw = np.frombuffer(b"".join(contents), np.uint8)
-    tok, _, _, first = t.read(raw, np.concatenate([[0], np.cumsum(sizes)]))
-    values = tok if t.words else raw
-    right = np.diff(first) - off
-    deep = t.length - t.gram
-    pad = U64(0) if t.words else np.uint8(0)
-    rclass = _classes(_side(values, first[:-1] + off, 1, right, t.length, pad), not t.words)
-    lclass = _classes(_side(values, first[:-1] + off - 1, -1, off, deep, pad), not t.words)
-    cell, start, dup, lead = [], [], [], []
-    for left in range(deep + 1):
+def groups(batches: Iterator[pa.RecordBatch], key: Callable[[pa.RecordBatch], np.ndarray], bucket: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows of about ``bucket`` in whole groups of equal neighbouring keys. A group beyond ``most`` rows comes in parts, marked True.
+
+    Where a batch ends inside a group, its last key is compared with the next batch's first one, so an edge never parts a group.
+    """
+    held, tail, last, split = [], [], None, False
+    size = lambda parts: sum(b.num_rows for b in parts)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = key(batch)
+        edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), batch.num_rows]
+        first = 0
+        if last is not None and last == k[0]:
+            tail.append(batch.slice(0, edges[1]))
+            if size(tail) > most:
+                yield pa.Table.from_batches(tail), True
+                tail, split = [], True
+            first = 1
+            if len(edges) == 2:
+                continue
+        if split and tail:
+            yield pa.Table.from_batches(tail), True
+        elif not split:
+            held += tail
+        held.append(batch.slice(edges[first], edges[-2] - edges[first]))
+        tail, last, split = [batch.slice(edges[-2])], k[-1], False
+        if size(held) >= bucket:
+            yield pa.Table.from_batches(held), False
+            held = []
+    if split and tail:
+        yield pa.Table.from_batches(tail), True
+        tail = []
+    if size(held + tail):
+        yield pa.Table.from_batches(held + tail), False
+
+
+def windows(classes_right: Callable[[int], np.ndarray], classes_left: Callable[[int], np.ndarray], off: np.ndarray, right: np.ndarray, t: Tokens) -> tuple[np.ndarray, ...]:
+    """(cell, window in it, repeats, first of its kind): a window repeats if another cell agrees with it on both sides of the anchor."""
+    cell, start, dup, lead = ([np.zeros(0, d)] for d in (np.int64, np.int64, bool, bool))
+    for left in range(t.length - t.gram + 1):
         rows = np.flatnonzero((off >= left) & (right >= t.length - left))
         if not len(rows):
             continue
-        pair = rclass(t.length - left)[rows] * (len(off) + 1) + lclass(left)[rows]
+        pair = classes_right(t.length - left)[rows] * (len(off) + 1) + classes_left(left)[rows]
         _, index, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
         one = np.zeros(len(rows), bool)
         one[index] = True
@@ -254,73 +273,87 @@ def resolve(contents: list[bytes], off: np.ndarray, t: Tokens) -> tuple[np.ndarr
         start.append(off[rows] - left)
         dup.append(count[inverse] > 1)
         lead.append(one)
-    if not cell:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool), none.astype(bool)
     return tuple(np.concatenate(x) for x in (cell, start, dup, lead))
 
 
-RESOLVED = "hot boolean, d1 long, d2 long, doc_id long, th int, lo long, hi long, dup boolean"
-
-
-def _resolved(t: Tokens, bucket: int):
-    """Intervals of repeated windows in cells not yet known to repeat; of a split gram also every kind of window, by digest."""
-
-    def rows(hot, d1, d2, doc, th, lo, hi, dup) -> pa.RecordBatch:
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, hot)), pa.array(long(d1)), pa.array(long(d2)), pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(lo), pa.array(hi), pa.array(dup)], names=["hot", "d1", "d2", "doc_id", "th", "lo", "hi", "dup"])
-
-    def emit(held: list[tuple], split: bool) -> Iterator[pa.RecordBatch]:
-        doc, th, lo, off, many, content = (list(x) for x in zip(*held))
-        lo, off, many = np.array(lo, np.int64), np.array(off, np.int64), np.array(many, bool)
-        cell, start, dup, lead = resolve(content, off, t)
-        hit = np.flatnonzero(dup & ~many[cell])
-        order = hit[np.lexsort((start[hit], cell[hit]))]
-        if len(order):
-            c, s = cell[order], start[order]
-            fresh = np.ones(len(c), bool)
-            fresh[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)
-            a = np.flatnonzero(fresh)
-            b = np.append(a[1:], len(c)) - 1
-            own = c[a]
-            yield rows(False, mix(lo[own].astype(U64) + s[a].astype(U64)), mix(own.astype(U64)), [doc[i] for i in own], [th[i] for i in own], lo[own] + s[a], lo[own] + s[b], np.ones(len(a), bool))
-        if split:
-            sizes = np.array([len(x) for x in content], np.int64)
-            raw = np.frombuffer(b"".join(content), np.uint8)
-            tok, _, _, first = t.read(raw, np.concatenate([[0], np.cumsum(sizes)]))
-            for part in np.array_split(np.flatnonzero(lead), max(1, int(lead.sum()) // 65536)):
-                at = first[cell[part]] + start[part]
-                d1, d2 = Rolling(tok).of(at, at + t.length), Rolling(tok, OTHER_BASE).of(at, at + t.length)
-                own = cell[part]
-                yield rows(True, d1, d2, [doc[i] for i in own], [th[i] for i in own], lo[own] + start[part], lo[own] + start[part], dup[part] | many[own])
+RESOLVED = "part boolean, d1 long, d2 long, gram long, cell long, hot boolean, a int, b int, dup boolean"
+
+
+def _resolved(t: Tokens, resolve: Callable, key: Callable, bucket: int, most: int):
+    """Intervals a..b of repeated windows of every cell; of a group in parts also every kind of window, by digest."""
+
+    def rows(part, d1, d2, gram, cell, hot, a, b, dup) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), part)), pa.array(d1), pa.array(d2), pa.array(gram), pa.array(cell), pa.array(hot), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(dup)],
+            names=["part", "d1", "d2", "gram", "cell", "hot", "a", "b", "dup"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last, since, split = None, 0, False
-        for batch in batches:
-            for gram, salt, *row in zip(*(batch.column(i).to_pylist() for i in (0, 8, 2, 3, 4, 5, 6, 7))):
-                if (gram, salt) != last:
-                    if held and (split or salt >= 0 or len(held) >= bucket // 4):
-                        yield from emit(held, split)
-                        held = []
-                    split = salt >= 0
-                    last = gram, salt
-                    since = len(held)
-                elif len(held) >= bucket:
-                    if since:  # whole grams first, so that only the long one is split
-                        yield from emit(held[:since], False)
-                        held, since = held[since:], 0
-                    else:
-                        split = True
-                        yield from emit(held, True)
-                        held = []
-                held.append(tuple(row))
-        if held:
-            yield from emit(held, split)
+        for table, part in groups(batches, key, bucket, most):
+            table = table.combine_chunks()
+            gram, cell, off, hot = (table.column(c).to_numpy() for c in ("gram", "cell", "off", "hot"))
+            column = table.column("content").combine_chunks()
+            raw, offsets = text_buffer(column.cast(pa.large_binary()))
+            own, start, dup, lead = resolve(raw, offsets, off.astype(np.int64), t)
+            first = np.ones(len(cell), bool)
+            first[1:] = (cell[1:] != cell[:-1]) | (gram[1:] != gram[:-1])
+            hit = np.flatnonzero(dup & first[own])
+            hit = hit[np.lexsort((start[hit], own[hit]))]
+            if len(hit):
+                c, s = own[hit], start[hit]
+                fresh = np.ones(len(c), bool)
+                fresh[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)
+                a = np.flatnonzero(fresh)
+                b = np.append(a[1:], len(c)) - 1
+                none = np.zeros(len(a), np.int64)
+                yield rows(False, none, none, gram[c[a]], cell[c[a]], hot[c[a]], s[a], s[b], np.ones(len(a), bool))
+            if part:
+                tok, _, _, begin = t.read(raw, offsets)
+                for some in np.array_split(np.flatnonzero(lead), max(1, int(lead.sum()) // 65536)):
+                    c, s = own[some], start[some]
+                    at = begin[c] + s
+                    yield rows(True, long(Rolling(tok).of(at, at + t.length)), long(Rolling(tok, OTHER_BASE).of(at, at + t.length)), gram[c], cell[c], hot[c], s, s, dup[some])
 
     return run
 
 
+def _merged(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Runs of tokens that windows lo..hi cover, as first and end tokens."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + length) if len(lo) else hi
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    return lo[first].tolist(), end[np.append(first[1:], len(lo)) - 1].tolist() if len(lo) else []
+
+
+def _kept_bytes(text: memoryview, start: list[int], end: list[int]) -> Iterator[memoryview]:
+    for a, b in zip([0, *end], [*start, len(text)]):
+        yield text[a:b]
+
+
+def _kept_words(raw: np.ndarray, t: Tokens, start: list[int], end: list[int], total: list[int]) -> Iterator[bytes]:
+    """The words outside the runs, joined by blanks, a piece of the text at a time; their number in all is added to ``total``."""
+    at, number, k, any_yet = 0, 0, 0, False
+    while at < len(raw):
+        stop = t.stop(raw, at + SEGMENT)
+        words = raw[at:stop].tobytes().split()
+        kept, place = [], number
+        while k < len(start) and start[k] < number + len(words):
+            kept += words[max(place, number) - number : max(start[k] - number, 0)]
+            place = end[k]
+            if place > number + len(words):
+                break  # the run goes on in the next piece
+            k += 1
+        kept += words[max(place - number, 0) :]
+        number += len(words)
+        if kept:
+            yield (b" " if any_yet else b"") + b" ".join(kept)
+            any_yet = True
+        at = stop
+    total.append(number)
+
+
 OUT = "doc_id long, n_tokens long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -328,104 +361,65 @@ def _removed(t: Tokens, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             raw, offsets = text_buffer(batch.column(1))
-            _, begin, end, first = t.read(raw, offsets)
             ends, (lo, hi) = _lists(batch.column(2), ("lo", "hi"))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            change = np.zeros(len(begin) + 1, np.int64)
-            np.add.at(change, first[row] + lo, 1)
-            np.add.at(change, first[row] + hi + t.length, -1)
-            gone = np.cumsum(change)[: len(begin)] > 0
-            view = raw.tobytes()
-            total = np.concatenate([[0], np.cumsum(gone)])
-            starts = gone.copy()
-            starts[1:] &= ~gone[:-1]
-            firsts = first[:-1][np.diff(first) > 0]
-            starts[firsts] = gone[firsts]
-            spans = np.concatenate([[0], np.cumsum(starts)])
-            sha, kept = [], []
+            out: list[list] = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                a, b = first[i], first[i + 1]
-                if t.words:
-                    left = np.flatnonzero(~gone[a:b]) + a
-                    rest = b" ".join([view[x:y] for x, y in zip(begin[left].tolist(), end[left].tolist())])
-                elif total[b] == total[a]:
-                    rest = view[offsets[i] : offsets[i + 1]]
-                else:
-                    rest = raw[a:b][~gone[a:b]].tobytes()
-                sha.append(hashlib.sha256(rest).hexdigest())
-                if texts:
-                    kept.append(rest)
-            out = [batch.column(0), pa.array(np.diff(first)), pa.array(np.diff(offsets)), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(spans[first[1:]] - spans[first[:-1]]), pa.array(sha)]
+                row = raw[offsets[i] : offsets[i + 1]]
+                start, end = _merged(lo[ends[i] : ends[i + 1]], hi[ends[i] : ends[i + 1]], t.length)
+                total: list[int] = []
+                sha, kept = hashlib.sha256(), []
+                for part in _kept_words(row, t, start, end, total) if t.words else _kept_bytes(memoryview(row), start, end):
+                    sha.update(part)
+                    if texts:
+                        kept.append(bytes(part))
+                for column, value in zip(out, (total[0] if t.words else len(row), sum(end) - sum(start), len(start), sha.hexdigest(), b"".join(kept))):
+                    column.append(value)
+            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(np.diff(offsets)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
             names = ["doc_id", "n_tokens", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * texts, names=names + ["kept"] * texts)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(out[4], pa.binary())] * texts, names=names + ["kept"] * texts)
 
     return run
 
 
-def frequent_grams(source: DataFrame, t: Tokens) -> DataFrame:
-    """(gram, salts) of the grams that a hashed sample of documents shows in more cells than two salts should hold."""
-    some = source.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(LOOK)) == 0)
-    seen = some.mapInArrow(_found(t), FOUND).filter("kind = 1").groupBy("gram").agg((F.count("*") * LOOK).alias("cells"))
-    held = SALT_CELLS if t.words else SALT_CELLS * BYTES_MORE
-    return seen.filter(F.col("cells") >= 2 * held).select("gram", F.ceil(F.col("cells") / held).alias("salts"))
+def first_two(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``rep`` (one of the first two of its cell) and ``alone`` (no other row has its keys), by one sort."""
+    w = Window.partitionBy(*keys).orderBy("cell")
+    near = rows.select("*", F.lag("cell").over(w).alias("before"), F.lag("cell", 2).over(w).alias("before2"), F.lead("cell").over(w).alias("after"))
+    rep = F.coalesce(F.col("before2") != F.col("cell"), F.lit(True))
+    return near.withColumns({"rep": rep, "alone": F.col("before").isNull() & F.col("after").isNull()}).drop("before", "before2", "after")
 
 
-def remove_repeats(docs: DataFrame, t: Tokens, *, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, t: Tokens, resolve: Callable, key: Callable, deal: Callable[[DataFrame], DataFrame], *, bucket: int = BUCKET, most: int = MOST, texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_bytes, n_removed, n_spans, kept_sha256`` (and the ``kept`` bytes).
 
-    A token goes if a window over it starts anywhere else too; windows are judged on the input. ``n_spans`` counts
-    maximal removed runs. Null texts are empty; documents shorter than a window keep everything; equal rows count as
-    copies of each other; rows that share a doc_id or have none are told apart by their texts. Other columns are ignored.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = source.mapInArrow(_found(t), FOUND)
-    frequent = cut(frequent_grams(source, t), "frequent")
-    if frequent.isEmpty():
-        found = found.withColumn("salt", F.lit(-1))
-    else:  # equal cells have equal salts
-        found = found.join(maybe_broadcast(frequent), "gram", "left").withColumn("salt", F.coalesce(F.pmod("cell", "salts"), F.lit(-1)).cast("int")).drop("salts")
-    by_gram = Window.partitionBy("gram", "kind", "salt")
-    ordered = by_gram.orderBy("cell")
-    marked = found.select(
-        "*",
-        F.lag("cell").over(ordered).alias("before"),
-        F.lead("cell").over(ordered).alias("after"),
-        ((F.min("cell").over(by_gram) != F.max("cell").over(by_gram)) | (F.col("salt") >= 0)).alias("differ"),
-    )
-    same = F.col("many") | F.coalesce(F.col("before") == F.col("cell"), F.lit(False)) | F.coalesce(F.col("after") == F.col("cell"), F.lit(False))
-    ask = (F.col("kind") == 1) & F.col("differ") & ~F.coalesce(F.col("before") == F.col("cell"), F.lit(False))
-    marked = cut(marked.select("gram", "salt", "doc_id", "th", "lo", "hi", "anchor", "many", same.alias("same"), ask.alias("ask")).filter("same or ask"), "cells")
-    whole = marked.filter("same").select("doc_id", "th", "lo", "hi")
-    asked = marked.filter("ask").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "gram", F.col("same").alias("many"), "salt")).alias("cells"))
-
-    def with_text(side: DataFrame, how: str) -> DataFrame:
-        other = side.withColumnsRenamed({"doc_id": "d", "th": "h"})
-        return source.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), how).drop("d", "h")
-
-    contexts = with_text(asked, "inner").mapInArrow(_contexts(t), CONTEXTS)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = contexts.repartitionByRange(n, "lead", "gram", "salt") if t.by_range else contexts.repartition(n, "gram", "salt")
-    resolved = dealt.sortWithinPartitions("gram", "salt").mapInArrow(_resolved(t, bucket), RESOLVED)
-    met = resolved.groupBy("hot", "d1", "d2").agg(F.collect_list(F.struct("doc_id", "th", "lo", "hi", "dup")).alias("rows"))
-    part = met.filter("not hot or size(rows) > 1").select("hot", F.inline("rows")).filter("not hot or not dup").select("doc_id", "th", "lo", "hi")
-    spans = whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    final = with_text(spans, "left").select("doc_id", "text", "spans")
-    return final.mapInArrow(_removed(t, texts), OUT + ", kept binary" * texts)
-
-
-def suffix_array_dedup(docs: DataFrame, *, length: int = 200, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
-    """Remove bytes covered by a ``length``-byte string that starts elsewhere too; columns as in :func:`remove_repeats`.
-
-    The suffixes that start at anchors form a sparse suffix array: sampled splitters range-partition them by their
-    leading bytes, each bucket is sorted by multikey quicksort, and neighbours' common prefixes say how far they agree.
-    """
-    return remove_repeats(docs, Tokens(length, max(1, min(32, length // 4)), words=False, by_range=True), bucket=bucket, texts=texts)
-
-
-def seed_and_extend_dedup(docs: DataFrame, *, length: int = 35, bucket: int = BUCKET, texts: bool = False) -> DataFrame:
-    """Remove words covered by a run of ``length`` words that starts elsewhere too; columns as in :func:`remove_repeats`.
-
-    Documents meet on winnowed anchors of a few words; matches extend right and left of the anchor, and what stays are
-    the maximal runs of at least ``length`` words.
+    ``deal`` brings cells of one gram together and orders them, ``key`` tells the grams of a batch, and ``resolve`` gives
+    the windows of a bucket's cells. A token goes if a window over it starts anywhere else too; windows are judged on the
+    input. ``n_spans`` counts maximal removed runs. Null texts are empty; documents shorter than a window keep
+    everything; equal rows count as copies of each other; rows that share a doc_id or have none are told apart by a
+    64-bit hash of their texts. Long texts are read in pieces of SEGMENT bytes. Other columns are ignored; an empty table gives none.
     """
-    return remove_repeats(docs, Tokens(length, max(1, min(8, length // 4)), words=True, by_range=False), bucket=bucket, texts=texts)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    often = frequent(source, t)
+    found = source.mapInArrow(_found(t, None if often is None else np.packbits(often).tobytes()), FOUND)
+    cells = cut(first_two(found, "gram", "salt").filter("salt >= 0 or not alone").drop("alone"), "cells")
+    reps = cells.filter("rep")
+    if often is not None:  # the two of a frequent gram's cell are found among those of its salts
+        reps = reps.filter("salt < 0").unionByName(first_two(reps.filter("salt >= 0").drop("rep"), "gram").filter("rep and not alone").drop("alone"))
+    asked = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct("at", "size", "off", "n", "gram", "cell", (F.col("salt") >= 0).alias("hot"))).alias("cells"))
+
+    def with_text(other: DataFrame, how: str) -> DataFrame:
+        return source.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), how)
+
+    contexts = with_text(asked, "inner").select("text", "cells").mapInArrow(_contexts(t), CONTEXTS)
+    resolved = cut(deal(contexts).mapInArrow(_resolved(t, resolve, key, bucket, most), RESOLVED), "resolved")
+    verdict = resolved.filter("not part")
+    parts = resolved.filter("part")
+    if not parts.isEmpty():
+        met = parts.groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", "cell", "hot", "a", "b", "dup")).alias("rows"))
+        verdict = verdict.select("gram", "cell", "hot", "a", "b").unionByName(met.filter("size(rows) > 1").select(F.inline("rows")).filter("not dup").drop("dup"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    verdict = verdict.select("gram", "cell", F.explode(salts).alias("salt"), "a", "b")
+    covered = cells.select("gram", "cell", "salt", "doc_id", "th", "lo").join(verdict, ["gram", "cell", "salt"])
+    spans = covered.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list(F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))).alias("spans"))
+    return with_text(spans, "left").select("doc_id", "text", "spans").mapInArrow(_removed(t, texts), OUT + ", kept binary" * texts)

@@ -8,15 +8,16 @@ import zlib
 import numpy as np
 import pytest
 
-from provenir.llm import lines, licenses
+from provenir.llm import licenses, lines, repeats, seeds, suffixes
 from provenir.llm.components import components
 from provenir.llm.decontaminate import clean_of, contaminated, smith_waterman
 from provenir.llm.neardup import fast_similarity_sketch, intersections, near_duplicates, verify
 from provenir.llm.packing import Bins, best_fit_packing
 from provenir.llm.quality import isotonic, quality
-from provenir.llm.repeats import multikey_order, seed_and_extend_dedup, suffix_array_dedup
 from provenir.llm.rules import learn, quality_rules
+from provenir.llm.seeds import seed_and_extend_dedup
 from provenir.llm.stats import text_stats
+from provenir.llm.suffixes import multikey_quicksort, suffix_array_dedup
 from provenir.llm.toxicity import fit, swapped, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th int, kept boolean, gram string"
@@ -177,37 +178,84 @@ def removed(seqs, length, join):
     return out
 
 
-@pytest.mark.parametrize("bucket,salted", [(4096, False), (3, False), (4096, True), (3, True)])
-def test_repeats_match_brute_force(docs, bucket, salted, monkeypatch):
-    """Bucket 3 splits most grams and salts spread them over tasks, so windows meet by digest."""
+@pytest.mark.parametrize("bucket,most,salted", [(4096, 65536, False), (3, 2, False), (4096, 65536, True), (3, 2, True)])
+def test_repeats_match_brute_force(docs, bucket, most, salted, monkeypatch):
+    """Groups beyond two cells are resolved in parts, whose windows meet by digest; salted ones are spread over tasks."""
     if salted:
-        from provenir.llm import repeats
-
         monkeypatch.setattr(repeats, "LOOK", 1)
-        monkeypatch.setattr(repeats, "SALT_CELLS", 1)
-        monkeypatch.setattr(repeats, "BYTES_MORE", 1)
+        monkeypatch.setattr(repeats, "FREQUENT", 5)
     for f, length, seqs, join in ((seed_and_extend_dedup, 35, [tuple((t or "").encode().split()) for t in _texts], b" ".join), (suffix_array_dedup, 200, [(t or "").encode() for t in _texts], bytes)):
-        rows = {r["doc_id"]: r for r in f(docs, length=length, bucket=bucket, texts=True).collect()}
+        rows = {r["doc_id"]: r for r in f(docs, length=length, bucket=bucket, most=most, texts=True).collect()}
         want = removed(seqs, length, join)
         assert [(rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) for i in range(len(_texts))] == want
         assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows.values())
 
 
-def test_repeats_segments_and_ids(spark, empty, monkeypatch):
-    from provenir.llm import repeats
+@pytest.mark.parametrize("side", [suffixes, seeds])
+def test_repeats_come_from_the_resolver(docs, side, monkeypatch):
+    """Nothing goes that the sorted suffixes or the extended seeds don't show."""
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(side, "resolve", lambda *_: (none, none, none.astype(bool), none.astype(bool)))
+    f = suffix_array_dedup if side is suffixes else seed_and_extend_dedup
+    assert f(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
 
+def test_repeats_segments_and_ids(spark, empty, monkeypatch):
     assert suffix_array_dedup(empty).count() == 0 and seed_and_extend_dedup(empty).count() == 0
     monkeypatch.setattr(repeats, "SEGMENT", 512)
     long_ = "".join(RNG.choice("abcdef ") for _ in range(3000))
     texts = [long_, "q" + long_[700:1900] + "r", long_[:100], long_[:100]]
     rows = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_array_dedup(frame(spark, texts, [1, None, 3, 3]), length=200).collect())
     assert rows == [(100, 0), (100, 0), (1202, 1200), (3000, 1200)]
-
-
-def test_multikey_order():
-    keys = np.random.default_rng(2).integers(0, 3, (300, 6)).astype(np.uint64)
-    got = keys[multikey_order(keys)]
-    assert (got == keys[np.lexsort(keys.T[::-1])]).all()
+    texts = [" ".join(words(900)) for _ in range(3)]
+    texts += [" ".join(texts[0].split()[200:700] + texts[1].split()[:300]), texts[2] + " x" * 80, "y" * 2000 + " " + texts[1]]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in seed_and_extend_dedup(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed([tuple(t.encode().split()) for t in texts], 35, b" ".join)
+
+
+def test_repeats_of_a_very_long_text(spark):
+    """100 MB in one text, and a passage of it in another one."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", np.uint8)
+    text = letters[rng.integers(0, len(letters), 100_000_000)].tobytes().decode()
+    passage = text[70_000_000:70_002_000].strip()
+    docs = spark.createDataFrame([(1, 1), (2, 2)], "doc_id long, k long").selectExpr("doc_id", "k")
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("string")
+    def content(k: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(3)
+        whole = letters[rng.integers(0, len(letters), 100_000_000)].tobytes().decode()
+        return k.map(lambda x: whole if x == 1 else "own words " + whole[70_000_000:70_002_000].strip() + " go on")
+
+    docs = docs.repartition(2, "doc_id").select("doc_id", content("k").alias("text"))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_array_dedup(docs).collect()}
+    assert got[1] == got[2] and got[1] - len(passage) in (0, 1, 2)
+    got = {r["doc_id"]: r["n_removed"] for r in seed_and_extend_dedup(docs).collect()}
+    assert got[1] == got[2] and abs(got[1] - len(passage.split())) <= 2
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n, kinds, depth in ((300, 3, 6), (1, 2, 2), (50, 1, 4), (500, 1000, 2)):
+        keys = rng.integers(0, kinds, (n, depth)).astype(np.uint64)
+        got = multikey_quicksort(keys)
+        assert sorted(got) == list(range(n)) and (keys[got] == keys[np.lexsort(keys.T[::-1])]).all()
+
+
+def test_groups_stay_whole():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 6]
+    for size in range(1, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size])], names=["k"]) for i in range(0, len(keys), size)]
+        for bucket, most in ((2, 100), (2, 2), (100, 3), (1, 1)):
+            out = [(t.column(0).to_pylist(), part) for t, part in repeats.groups(iter(batches), lambda b: b.column(0).to_numpy(), bucket, most)]
+            assert sorted(x for rows, _ in out for x in rows) == keys
+            whole = [set(rows) for rows, part in out if not part]
+            assert all(not a & b for i, a in enumerate(whole) for b in whole[:i])
+            assert not {x for rows, part in out if part for x in rows} & set().union(*whole)
 
 
 def test_lines_match_sql(spark, docs, empty):
