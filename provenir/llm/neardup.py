@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, text_buffer, words_of
+from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, small, text_buffer, words_of
 from provenir.llm.components import components
 
 BANDS = 64
@@ -24,6 +24,8 @@ BLOCK_SHINGLES = 2 << 20
 #: hold. This decides which task does the work, never what is found.
 LOOK = 64
 SALT_MEMBERS = 1024
+#: Tasks over which a join spreads a key with many rows.
+SPREAD = 64
 #: Shingles that this many pairs of a block share are counted by matrix products.
 DENSE = 4096
 
@@ -68,22 +70,25 @@ def fast_similarity_sketch(owner: np.ndarray, value: np.ndarray, rows: int, size
     """
     top = U64(0xFFFFFFFFFFFFFFFF)
     cells = np.full(rows * size, top, U64)
-    left = np.zeros(rows, np.int64)
-    left[np.unique(owner)] = size
+    open_ = np.zeros(rows, bool)
+    open_[owner] = True
+    factors = mix(np.arange(1, 2 * size + 1, dtype=U64)) | U64(1)
     for r in range(2 * size):
-        live = left[owner] > 0
+        live = open_[owner]
         if not live.all():
             owner, value = owner[live], value[live]
         if not len(owner):
             break
-        e = mix(value + U64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        bins = ((e >> U64(32)) * U64(size) >> U64(32)).astype(np.int64) if r < size else np.full(len(e), r - size)
+        e = (value ^ factors[r]) * factors[r]
+        e ^= e >> U64(29)
+        e *= U64(0xBF58476D1CE4E5B9)
+        bins = ((e >> U64(32)) * U64(size) >> U64(32)).view(np.int64) if r < size else np.full(len(e), r - size)
         key = owner * size + bins
         empty = cells[key] == top
-        key, thrown = key[empty], (e[empty] & U64(0xFFFFFFFF)) | U64(r) << U64(32)
-        np.minimum.at(cells, key, thrown)
-        filled = np.unique(key)
-        np.subtract.at(left, filled // size, 1)
+        if r:
+            key, e = key[empty], e[empty]
+        np.minimum.at(cells, key, (e & U64(0xFFFFFFFF)) | U64(r) << U64(32))
+        open_ &= (cells.reshape(rows, size) == top).any(axis=1)
     return cells.reshape(rows, size)
 
 
@@ -107,7 +112,7 @@ def _sketch(width: int, per_band: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ordered by (bucket, salt, cid): each member but the first of its bucket and salt, with that first one."""
+    """From rows ordered by (bucket, salt, cid): each member of a bucket and salt with two or more, with the first one."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -116,16 +121,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        lead = cid[head]
+        lead, place = cid[head], np.arange(len(key)) - head
         if last is not None and (key[0], salt[0]) == last[0]:
-            lead = np.where(head == 0, last[1], lead)
-        last = ((key[-1], salt[-1]), lead[-1])
-        out = cid != lead
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cid, lead)], names=["bucket", "a", "b"])
+            lead, place = np.where(head == 0, last[1], lead), np.where(head == 0, place + last[2], place)
+        last = ((key[-1], salt[-1]), lead[-1], place[-1] + 1)
+        both = np.concatenate([np.flatnonzero(place > 0), np.flatnonzero(place == 1)])
+        a = np.concatenate([cid[place > 0], lead[place == 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(salt[both]), pa.array(a), pa.array(lead[both])], names=["bucket", "salt", "a", "b"])
 
 
 def stars_of(classes: DataFrame) -> DataFrame:
-    """(bucket, a, b): every member of a bucket but the least cid, linked with that one; in a salted bucket with its salt's least, which is linked in turn."""
+    """(bucket, salt, a, b): every member of a bucket with its least cid; in a salted bucket with its salt's least, which is linked in turn."""
     members = classes.select(F.explode("bands").alias("bucket"), "cid")
     seen = members.filter(F.pmod(F.xxhash64("cid"), F.lit(LOOK)) == 0).groupBy("bucket").agg((F.count("*") * LOOK).alias("n"))
     frequent = cut(seen.filter(F.col("n") >= 2 * SALT_MEMBERS).select("bucket", F.ceil(F.col("n") / SALT_MEMBERS).alias("salts")), "frequent")
@@ -135,12 +141,12 @@ def stars_of(classes: DataFrame) -> DataFrame:
     else:
         members = members.join(maybe_broadcast(frequent), "bucket", "left")
         members = members.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cid", F.lit(1)), "salts"), F.lit(-1)).cast("int"))
-    near = members.select("bucket", "salt", "cid").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "cid").mapInArrow(_stars, "bucket long, a long, b long")
+    near = members.select("bucket", "salt", "cid").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "cid").mapInArrow(_stars, "bucket long, salt int, a long, b long")
     if none:
         return near
     leads = cut(members.filter("salt >= 0").groupBy("bucket", "salt").agg(F.min("cid").alias("a")), "leads")
     top = leads.groupBy("bucket").agg(F.min("a").alias("b"))
-    return near.unionByName(leads.join(top, "bucket").filter("a <> b").select("bucket", "a", "b"))
+    return near.unionByName(leads.join(top, "bucket").select("bucket", F.lit(-1).alias("salt"), "a", "b"))
 
 
 def _verifier(width: int, percent: int):
@@ -172,8 +178,9 @@ def _verifier(width: int, percent: int):
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets reach the threshold. A frequent b is salted over several tasks."""
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("s"))
-    member = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.col("s")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    sizes = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("s")), "sizes")
+    salted = spread_join(pairs, sizes.filter("s > 1"), ["b"], "a")
+    member = salted.select(F.col("a").alias("doc_id"), F.col("b").alias("grp"), F.pmod(F.xxhash64("a"), F.coalesce("s", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("role"))
     lead = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(0).alias("role"))
     want = cut(member.unionByName(lead), "want")
     rows = docs.select("doc_id", "text").join(maybe_broadcast(want), "doc_id").repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role", "doc_id")
@@ -182,7 +189,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of distinct shingles: frequent shingles by matrix products, rare ones by lists."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     sides = []
     for sets in (left, right):
         sides.append((np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
@@ -204,7 +211,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             part = np.zeros((rows, BLOCK), np.float32)
             part[owner[some], column[value[some]] - first] = 1
             parts.append(part)
-        out += parts[0] @ parts[1].T
+        out += (parts[0] @ parts[1].T).astype(np.int64)  # a block's sums are exact in 32 bits
     ends = np.concatenate([[0], np.cumsum(ny)])
     thin = ~dense[x]
     some = np.flatnonzero(thin)
@@ -249,6 +256,27 @@ def _across(width: int, percent: int):
     return run
 
 
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Left join with keys that hold many rows each: broadcast after a size check, else over SPREAD salts of ``by``."""
+    few = cut(few, "few")
+    if small(few):
+        return rows.join(F.broadcast(few), keys, "left")
+    salted = few.withColumn("spread_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("long"))
+    return rows.withColumn("spread_salt", F.pmod(F.xxhash64(by), F.lit(SPREAD))).join(salted, [*keys, "spread_salt"], "left").drop("spread_salt")
+
+
+def spread_root(rows: DataFrame, comp: DataFrame, often: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, n_shingles, cid) with the component of their class; classes of many rows go through :func:`spread_join`."""
+    roots = comp.select(F.col("id").alias("cid"), F.col("root").alias("component_id"))
+    if often.isEmpty():
+        out = rows.join(roots, "cid", "left")
+    else:
+        heavy = often.join(roots, "cid", "left").select("cid", F.coalesce("component_id", "cid").alias("heavy_id"))
+        known = spread_join(rows, heavy, ["cid"], "doc_id")
+        out = known.filter("heavy_id is null").drop("heavy_id").join(roots, "cid", "left").unionByName(known.filter("heavy_id is not null").withColumnRenamed("heavy_id", "component_id"))
+    return out.withColumn("component_id", F.coalesce("component_id", "cid"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -262,9 +290,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(source.mapInArrow(_sketch(width, band_rows(similarity)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     some = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
+    key = ["h1", "h2", "n_shingles"]
+    classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     stars = cut(stars_of(classes), "stars")
-    spokes = cut(stars.groupBy("a", "b").agg(F.count("*").alias("n")), "spokes")
+    spokes = cut(stars.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "spokes")
     # First the spoke on which most bands agree, which settles nearly all.
     best = spokes.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     links = verify(best, source, width, percent)
@@ -273,26 +302,40 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     def root(frame: DataFrame, col: str, alias: str) -> DataFrame:
         return frame.join(comp.select(F.col("id").alias(col), F.col("root").alias(alias)), col, "left").withColumn(alias, F.coalesce(alias, col))
 
-    # Buckets that still hold several components: their members meet in groups, where all similarities are exact.
-    split = root(root(stars, "a", "ra"), "b", "rb").filter("ra <> rb").select("bucket").distinct()
-    inside = cut(stars.join(split, "bucket", "left_semi").select("a", "b").distinct(), "inside")
+    # Buckets that still hold several components: their members meet in groups, where all similarities are exact. The
+    # first member of a bucket is among its rows, so no join goes by it.
+    split = root(stars.select("bucket", "a"), "a", "ra").groupBy("bucket").agg(F.min("ra").alias("x"), F.max("ra").alias("y")).filter("x <> y").select("bucket")
+    open_ = stars.select("bucket", "salt").distinct().join(split, "bucket", "left_semi")
+    inside = cut(stars.filter("a <> b").join(open_, ["bucket", "salt"], "left_semi").select("a", "b").distinct(), "inside")
     if not inside.isEmpty():
         groups = cut(components(inside).select(F.col("id").alias("cid"), F.col("root").alias("grp")), "groups")
         blocks = groups.join(classes.select("cid", "n_shingles"), "cid").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-        placed = root(groups.join(blocks, "grp"), "cid", "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        blocks = cut(blocks, "blocks")
+        placed = root(spread_join(groups, blocks.filter("nb > 1"), ["grp"], "cid"), "cid", "comp").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = cut(placed.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "comp", F.col("cid").alias("doc_id")), "placed")
         rows = source.join(maybe_broadcast(placed), "doc_id").select("grp", "bi", "bj", "block", "comp", "text")
         rows = rows.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
         links = cut(links.unionByName(rows.mapInArrow(_across(width, percent), "a long, b long")), "links")
         comp = cut(components(links), "components")
-    member = classes.select("h1", "h2", "n_shingles", "cid")
+    # A text with many copies is looked up by salted rows, others by a plain join; texts without words by none.
+    often = cut(classes.filter(F.col("copies") >= SALT_MEMBERS).select(*key, "cid"), "often")
+    looked = some.select("doc_id", *key)
+    if not often.isEmpty():
+        known = spread_join(looked, often, key, "doc_id")
+        rare = classes.filter(F.col("copies") < SALT_MEMBERS).select(*key, "cid")
+        looked = known.filter("cid is not null").unionByName(known.filter("cid is null").drop("cid").join(rare, key).select(known.columns))
+    else:
+        looked = looked.join(classes.select(*key, "cid"), key)
+    looked = cut(looked.select("doc_id", "n_shingles", "cid"), "looked")
     # A doc_id whose rows have different texts joins their classes.
-    own = some.join(member, ["h1", "h2", "n_shingles"]).select("doc_id", "cid")
-    again = cut(own.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).filter("a <> b"), "again")
+    again = cut(looked.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("a")).filter("a <> b"), "again")
     if not again.isEmpty():
-        pairs = own.join(again.select("doc_id", "b"), "doc_id").select(F.col("cid").alias("a"), "b")
+        pairs = looked.join(again.select("doc_id", "b"), "doc_id").select(F.col("cid").alias("a"), "b")
         comp = cut(components(links.unionByName(pairs)), "components")
-    rows = base.select("doc_id", "n_shingles", "h1", "h2").join(member, ["h1", "h2", "n_shingles"], "left")
-    rows = root(rows.withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id"))), "cid", "component_id")
+    bare = base.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("cid"))
+    if again.isEmpty():
+        rows = spread_root(looked, comp, often.select("cid")).unionByName(bare.withColumn("component_id", F.col("cid")))
+    else:  # such an id may have rows without words
+        rows = spread_root(looked.unionByName(bare.join(looked.select("doc_id", F.col("cid").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left").withColumn("cid", F.coalesce("c", "cid")).drop("c")), comp, often.select("cid"))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import BYTE_VALUES, SPACE, U64, Rolling, chunks, cut, long, mix, text_buffer, words_of
+from provenir.llm.common import BYTE_VALUES, SPACE, U64, Rolling, chunks, cut, long, mix, text_buffer, text_key, words_of
 
 OTHER_BASE = 0xD1342543DE82EF95
 #: Bytes of one document handled at once.
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, t: Tokens, resolve: Callable, key: Callable,
     64-bit hash of their texts. Long texts are read in pieces of SEGMENT bytes. Other columns are ignored; an empty table gives none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), text.alias("text"))
     often = frequent(source, t)
     found = source.mapInArrow(_found(t, None if often is None else np.packbits(often).tobytes()), FOUND)
     cells = cut(first_two(found, "gram", "salt").filter("salt >= 0 or not alone").drop("alone"), "cells")
