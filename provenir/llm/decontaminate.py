@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, text_buffer, words_of
+from provenir.llm.common import U64, chunks, cut, long, maybe_broadcast, mix, text_buffer, text_key, words_of
 
 GRAM = 3
 #: Of an item's grams, the rarest in the corpus that serve as seeds.
@@ -64,7 +64,7 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
-REGIONS = "doc_id long, th int, region int, grams array<long>, passage string"
+REGIONS = "doc_id long, th long, region int, grams array<long>, passage string"
 
 
 def _regions(bits: bytes, reach: int):
@@ -130,10 +130,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5) -
     Seeds are the rarest three quarters of an item's 3-word grams by their document counts over the whole corpus. A
     stretch of a document that shares two seeds with an item (one, where it has but one) is aligned with it word by
     word; ``score`` is the alignment's share of a perfect one and reaches ``least``. Null and empty texts and items
-    match nothing, null ids never pair, and rows that share a doc_id give a pair once each text (``th`` is its hash).
+    match nothing, and items without an id none. Documents without an id, and those that share one, give a pair once each
+    text (``th`` is its 64-bit hash); rows repeated in full give it once.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), text.alias("text"))
     items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
     seeds = cut(items.mapInArrow(_item_grams, "item_id long, gram long, n_words long"), "seeds")
     reach = seeds.agg(F.max("n_words")).first()[0]
@@ -148,14 +149,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5) -
     rare = cut(ranked.filter(F.col("k") <= F.ceil(F.col("n") * RAREST)).select("item_id", "gram", F.least(F.ceil(F.col("n") * RAREST), F.lit(2)).alias("need")), "rare")
     hits = regions.select("doc_id", "th", "region", F.explode("grams").alias("gram")).join(maybe_broadcast(rare), "gram")
     pairs = hits.groupBy("doc_id", "th", "region", "item_id").agg(F.count("*").alias("shared"), F.first("need").alias("need")).filter("shared >= need")
-    passages = pairs.select("doc_id", "th", "region", "item_id").join(regions.select("doc_id", "th", "region", "passage"), ["doc_id", "th", "region"])
+    wanted = pairs.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("region").alias("r"), "item_id")
+    passages = wanted.join(regions.select("doc_id", "th", "region", "passage"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("r") == F.col("region")))
     both = passages.join(maybe_broadcast(items.select("item_id", F.col("text").alias("item_text")), 2_000), "item_id")
-    scores = both.select("doc_id", "th", "item_id", "passage", "item_text").mapInArrow(_aligned(least), "doc_id long, th int, item_id long, score double")
+    scores = both.select("doc_id", "th", "item_id", "passage", "item_text").mapInArrow(_aligned(least), "doc_id long, th long, item_id long, score double")
     return scores.groupBy("doc_id", "th", "item_id").agg(F.max("score").alias("score")).select("doc_id", "item_id", "score", "th")
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` pairs with an item; all columns stay."""
     bad = contaminated(docs, benchmark, least=least).select(F.col("doc_id").alias("__bad_doc"), F.col("th").alias("__bad_th")).distinct()
-    mine = F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(maybe_broadcast(cut(bad, "contaminated")), (F.col("doc_id") == F.col("__bad_doc")) & (mine == F.col("__bad_th")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_doc")) & (text_key(F.col("text")) == F.col("__bad_th"))
+    return docs.join(maybe_broadcast(cut(bad, "contaminated")), same, "left_anti")

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import cut, maybe_broadcast
+from provenir.llm.common import cut, maybe_broadcast, text_key
 
 # Short notices by which licences are named.
 TEMPLATES = (
@@ -77,7 +77,7 @@ def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
     licence that comes first by name. Other columns are ignored.
     """
     spark = files.sparkSession
-    files = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text", F.hash("text").alias("th"))
+    files = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text", text_key(F.col("text")).alias("th"))
     line = F.explode(F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike(CUE)))
     marked = files.filter(F.lower("text").rlike(CUE)).select("doc_id", "path", "th", line.alias("line"))
     marked = marked.withColumn("terms", F.regexp_extract_all("line", F.lit(f"({TERM})"), F.lit(1))).filter(F.size("terms") > 0)

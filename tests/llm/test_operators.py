@@ -261,8 +261,8 @@ def test_groups_stay_whole():
 def test_lines_match_sql(spark, docs, empty):
     import duckdb
 
-    rows = [(i, "\n".join([f"only {i}", " common line ", "rare" if i < 3 else f"own {i}", "", "common line"])) for i in range(30)] + [(50, None), (51, ""), (51, "common line"), (None, "common line\nx")]
-    table = frame(spark, [t for _, t in rows], [i for i, _ in rows]).drop("th", "kept", "gram")
+    rows = [(i, "\n".join([f"only {i}", " common line ", "rare" if i < 3 else f"own {i}", "", "common line"])) for i in range(30)] + [(50, None), (51, ""), (51, "common line"), (-1, "common line\ny"), (-1, "common line\nz"), (-1, "common line\nz"), (None, "common line\nx")]
+    table = frame(spark, [t for _, t in rows], [i for i, _ in rows])
     out = lines.line_dedup(table, min_sites=10)
     sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
     got = [(r["doc_id"], r["n_lines"], r["n_removed"], sha(r["text"])) for r in out.collect()]
@@ -282,6 +282,17 @@ def test_stats_match_python(docs):
         assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(w), sum(map(len, w)), len(covered), len(full) - len(set(full)))
 
 
+def test_kernel_matches_native_statistics(docs):
+    from provenir.llm.kernel import text_counts
+    import pyarrow as pa
+
+    texts = [*_texts, "É ü Ü\n\n É ü Ü\n", "a#b\tc\x0b\x0cd 12,;\r\n\r\n", "\n", "x\n x\nx", None]
+    rows = [r for r in text_stats(docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    got = text_counts(pa.array(texts, pa.string()))
+    for r in rows:
+        assert {c: int(got[c][r["doc_id"]]) for c in got} == {c: r[c] for c in got}, texts[r["doc_id"]]
+
+
 def labelled(spark, n=400):
     """Bad documents are full of symbols; toxic ones hold a word of one family; both by id."""
     rows, labels = [], []
@@ -360,10 +371,10 @@ def test_decontamination(spark, empty):
     edited[4], edited[17] = "changed", "other"
     del edited[10]
     texts = [" ".join(words(50)) + ". " + items[0].upper().replace(" ", ", ") + " " + " ".join(words(50)), " ".join(words(9)) + " " + " ".join(edited), " ".join(words(200)), "", None, items[2], items[2]]
-    docs = frame(spark, texts, [0, 1, 2, 3, 4, 5, 5])
+    docs = frame(spark, texts, [0, 1, 2, 3, None, 5, 5]).union(frame(spark, [items[3], "own words"], [None, None]))
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(docs, benchmark).collect()}
-    assert set(got) == {(0, 0), (1, 1), (5, 2)} and got[0, 0] == got[5, 2] == 1.0 and 0.7 < got[1, 1] < 1
-    assert sorted(r["doc_id"] for r in clean_of(docs, benchmark).collect()) == [2, 3, 4]
+    assert set(got) == {(0, 0), (1, 1), (5, 2), (None, 3)} and got[0, 0] == got[5, 2] == 1.0 and 0.7 < got[1, 1] < 1
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean_of(docs, benchmark).collect()) == sorted([(2, texts[2]), (3, ""), (0, ""), (0, "own words")])
     assert clean_of(docs, benchmark).columns == docs.columns
     assert contaminated(empty, benchmark).count() == 0 and contaminated(docs, benchmark.limit(0)).count() == 0
 
