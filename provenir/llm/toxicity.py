@@ -1,8 +1,9 @@
-"""Toxicity by a linear classifier that is held to the same score when identity terms are swapped."""
+"""Toxicity by a linear classifier that is held to the same score when identity terms in its sentences are swapped."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 4_000, 8_000
 #: Features that the model weighs, besides those of the identity terms.
 FEATURES = 8_192
 LEAST_DOCUMENTS = 5
-L2, SWAP_PENALTY = 2e-3, 1.0
-# Groups of identity terms; a term is swapped with the next one of its group.
+L2, SWAP_PENALTY, TERM_PENALTY = 2e-3, 5.0, 0.5
+#: Distinct counterfactual changes used for fitting, at most: the most frequent ones.
+CHANGES = 20_000
+# Groups of identity terms; a term is swapped with every other one of its group.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -36,22 +39,39 @@ IDENTITY = (
     ("musulmanes", "cristianos", "judíos", "ateos"),
     ("mujeres", "hombres", "negros", "blancos", "inmigrantes"),
 )
-SWAP = {a: b for group in IDENTITY for a, b in zip(group, (*group[1:], group[0]))}
-_TERMS = re.compile(r"\b(" + "|".join(sorted(SWAP, key=len, reverse=True)) + r")\b")
+GROUP = {term: group for group in IDENTITY for term in group}
+MOST = max(len(group) for group in IDENTITY)
+_TERMS = re.compile(r"\b(" + "|".join(sorted(GROUP, key=len, reverse=True)) + r")\b")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def swapped(text: str) -> str:
-    """The lower-cased text with every identity term replaced by its counterpart."""
-    return _TERMS.sub(lambda m: SWAP[m[1]], text)
+def swapped(text: str, by: int = 1) -> str:
+    """The lower-cased text with every identity term replaced by the one ``by`` places on in its group; by 0, left out."""
+    other = lambda g, term: g[(g.index(term) + by) % len(g)] if by else ""
+    return _TERMS.sub(lambda m: other(GROUP[m[1]], m[1]), text)
 
 
-def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) of a string column: whole words, their first 4 to 7 and last 4 to 6 bytes, lower-cased."""
+def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
+    """(sentence, the same with its identity terms swapped) for every sentence with such terms and every swap that changes it."""
+    for sentence in _SENTENCE.findall(text):
+        if _TERMS.search(sentence):
+            for other in {swapped(sentence, by) for by in range(MOST)} - {sentence}:
+                yield sentence, other
+
+
+def word_features(column: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) of a string column: whole words, their first 4 to 7 and last 4 to 6 bytes, lower-cased.
+
+    With sorted ``chosen`` features, (row, place in them) of those only, which are looked up before they are sorted.
+    """
+    if chosen is not None:
+        slots = np.zeros(1 << 20, bool)
+        slots[(chosen >> U64(44)).astype(np.int64)] = True
     raw, offsets = text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64 if chosen is None else np.int64)
     inside = _LETTER[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
@@ -74,6 +94,10 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x, y = (b[long_enough] - k, b[long_enough]) if tail else (a[long_enough], a[long_enough] + k)
         rows.append(row[long_enough])
         found.append(mix(rolling.of(x, y) + U64(2 * k + tail)))
+    if chosen is not None:
+        for i, (r, f) in enumerate(zip(rows, found)):
+            may = np.flatnonzero(slots[(f >> U64(44)).astype(np.int64)])
+            rows[i], found[i] = _places(r[may], f[may], chosen)
     row, feature = np.concatenate(rows), np.concatenate(found)
     order = np.lexsort((feature, row))
     row, feature = row[order], feature[order]
@@ -89,6 +113,24 @@ def _places(row: np.ndarray, feature: np.ndarray, chosen: np.ndarray) -> tuple[n
     return row[hit], at[hit]
 
 
+def _changes(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What swaps change: places of features that go and that come, and how often so."""
+    seen: Counter = Counter()
+    for batch in chunks(batches):
+        pairs = [p for x in batch.column(0).to_pylist() for p in counterfactuals((x or "").lower())]
+        if not pairs:
+            continue
+        sides = []
+        for k in (0, 1):
+            row, place = word_features(pa.array([p[k] for p in pairs]), chosen)
+            ends = np.searchsorted(row, np.arange(len(pairs) + 1))
+            sides.append([set(place[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])])
+        seen.update((tuple(sorted(x - y)), tuple(sorted(y - x))) for x, y in zip(*sides) if x != y)
+    if seen:
+        kinds = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kinds], pa.list_(pa.int32())), pa.array([k[1] for k in kinds], pa.list_(pa.int32())), pa.array([seen[k] for k in kinds], pa.int64())], names=["goes", "comes", "n"])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         row, feature = word_features(batch.column(0))
@@ -100,16 +142,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _examples(chosen: np.ndarray):
-    def lists(row, place, n) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            n = batch.num_rows
-            lowered = [(x or "").lower() for x in batch.column(0).to_pylist()]
-            other = [swapped(x) for x in lowered]
-            yield pa.RecordBatch.from_arrays([batch.column(1), lists(*_places(*word_features(pa.array(lowered)), chosen), n), lists(*_places(*word_features(pa.array(other)), chosen), n), pa.array([x != y for x, y in zip(lowered, other)])], names=["label", "own", "other", "has_terms"])
+            row, place = word_features(batch.column(0), chosen)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))], names=["label", "own"])
 
     return run
 
@@ -118,30 +155,32 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
 
-def fit(labels: np.ndarray, own: list[list[int]], other: list[list[int]], terms: np.ndarray, size: int, *, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression by Adam; squared score changes under the swap add ``SWAP_PENALTY`` each."""
+def fit(labels: np.ndarray, own: list[list[int]], changes: list[tuple[list[int], list[int], int]], terms: np.ndarray, size: int, *, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Class-balanced logistic regression by Adam.
+
+    The mean squared change of a sentence's log odds under the swaps (``changes``: features that go, that come, how often)
+    is penalised, and so are the squared weights of the identity ``terms`` themselves, which pulls them towards zero.
+    """
     weight, bias = np.zeros(size), 0.0
     row, place = _flat(own)
-    pairs = np.flatnonzero(terms)
-    prow, pplace = _flat([other[i] for i in pairs])
+    grow, gplace = _flat([c[0] for c in changes])
+    crow, cplace = _flat([c[1] for c in changes])
+    often = np.array([c[2] for c in changes], float)
+    often /= max(1.0, often.sum())
+    ridge = np.full(size, L2)
+    ridge[terms] += TERM_PENALTY
     balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=weight[place], minlength=len(own)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         slope = balance * (p - labels)
-        grad = np.bincount(place, weights=slope[row], minlength=size) + L2 * weight
-        gbias = slope.sum()
-        if len(pairs):
-            q = 1 / (1 + np.exp(-np.clip(np.bincount(prow, weights=weight[pplace], minlength=len(pairs)) + bias, -30, 30)))
-            mine = p[pairs]
-            gap = 2 * SWAP_PENALTY * (mine - q) / len(pairs)
-            full = np.zeros(len(own))
-            full[pairs] = gap * mine * (1 - mine)
-            against = gap * q * (1 - q)
-            grad += np.bincount(place, weights=full[row], minlength=size) - np.bincount(pplace, weights=against[prow], minlength=size)
-            gbias += full.sum() - against.sum()
-        g = np.append(grad, gbias)
+        grad = np.bincount(place, weights=slope[row], minlength=size) + ridge * weight
+        if len(changes):
+            gap = np.bincount(grow, weights=weight[gplace], minlength=len(changes)) - np.bincount(crow, weights=weight[cplace], minlength=len(changes))
+            pull = 2 * SWAP_PENALTY * often * gap
+            grad += np.bincount(gplace, weights=pull[grow], minlength=size) - np.bincount(cplace, weights=pull[crow], minlength=size)
+        g = np.append(grad, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weight -= move[:-1]
@@ -173,18 +212,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean - F.col("n") + F.col("t") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
     best = counts.select("feature", F.abs(odds / error).alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    own = word_features(pa.array(sorted(SWAP)))[1]
-    chosen = np.unique(np.concatenate([np.array([r["feature"] for r in best.collect()], np.int64).view(U64), own]))
-    rows = sample.mapInArrow(_examples(chosen), "label long, own array<int>, other array<int>, has_terms boolean").collect()
+    terms = np.unique(word_features(pa.array(sorted(GROUP)))[1])
+    chosen = np.unique(np.concatenate([np.array([r["feature"] for r in best.collect()], np.int64).view(U64), terms]))
+    rows = sample.mapInArrow(_examples(chosen), "label long, own array<int>").collect()
     rows.sort(key=lambda r: (r["label"], r["own"]))
-    weight, bias = fit(np.array([r["label"] for r in rows], float), [r["own"] for r in rows], [r["other"] for r in rows], np.array([r["has_terms"] for r in rows]), len(chosen))
+    changes = sample.mapInArrow(lambda b: _changes(b, chosen), "goes array<int>, comes array<int>, n long").groupBy("goes", "comes").agg(F.sum("n").alias("n"))
+    changes = [(r["goes"], r["comes"], r["n"]) for r in changes.orderBy(F.desc("n"), "goes", "comes").limit(CHANGES).collect()]
+    weight, bias = fit(np.array([r["label"] for r in rows], float), [r["own"] for r in rows], changes, np.searchsorted(chosen, terms), len(chosen))
     return chosen, weight, bias
 
 
 def _score(chosen: np.ndarray, weight: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            row, place = _places(*word_features(batch.column(2)), chosen)
+            row, place = word_features(batch.column(2), chosen)
             z = np.bincount(row, weights=weight[place], minlength=batch.num_rows) + bias
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -196,6 +237,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted`` (1 from a score of 0.5).
 
     Learns ``labels.toxic`` from rows whose crc32(doc_id) mod 5 isn't 0, on a bounded sample; only the text is an input.
+    In every labelled sentence that names a group, the name is swapped with each other one of its kind and left out, and
+    changes of the score are penalised, so that naming a group tells nothing.
     Null and empty texts get the bias's score; a null doc_id isn't held out; repeated rows are scored alike; if the
     sample lacks a label, every score is that of the other one. Other columns are ignored.
     """

@@ -18,7 +18,7 @@ from provenir.llm.rules import learn, quality_rules
 from provenir.llm.seeds import seed_and_extend_dedup
 from provenir.llm.stats import text_stats
 from provenir.llm.suffixes import multikey_quicksort, suffix_array_dedup
-from provenir.llm.toxicity import fit, swapped, toxicity
+from provenir.llm.toxicity import counterfactuals, fit, swapped, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th int, kept boolean, gram string"
 RNG = random.Random(7)
@@ -327,13 +327,37 @@ def test_learned_operators(spark, empty):
 
 
 def test_swaps_lower_the_weight_of_identity_terms():
-    own, other = [[0], [1], [2], [3]] * 10, [[1], [0], [2], [3]] * 10
+    own = [[0], [1], [2], [3]] * 10
     labels = np.array([1.0, 0.0, 1.0, 0.0] * 10)
-    terms = np.array([True, True, False, False] * 10)
-    plain, _ = fit(labels, own, other, np.zeros(40, bool), 4)
-    fair, _ = fit(labels, own, other, terms, 4)
-    assert abs(fair[0] - fair[1]) < 0.5 * abs(plain[0] - plain[1]) and fair[2] - fair[3] > 1
-    assert swapped("the gay women") == "the straight men" and swapped("womenfolk") == "womenfolk"
+    none = np.zeros(0, np.int64)
+    plain, _ = fit(labels, own, [], none, 4)
+    fair, _ = fit(labels, own, [([0], [1], 1)], np.array([0, 1]), 4)
+    assert abs(fair[0] - fair[1]) < 0.2 * abs(plain[0] - plain[1]) and fair[2] - fair[3] > 1
+    assert swapped("the gay women") == "the straight men" and swapped("womenfolk") == "womenfolk" and swapped("gay women", 0) == " "
+    assert {o for _, o in counterfactuals("men. no one")} == {"women", "girls", "boys", ""}
+
+
+def test_neutral_mentions_are_not_flagged(spark):
+    """Half of the toxic texts name one group; plain mentions of it, and of any other one, stay unflagged, and toxic texts are found."""
+    from provenir.llm.toxicity import GROUP
+
+    rng = random.Random(5)
+    vile = ["vilewort", "scumling", "filthbag", "trashkin"]
+    texts, labels = [], []
+    for i in range(600):
+        w, toxic = words(30, rng), i % 3 == 0
+        if toxic:
+            w[rng.randrange(30)] = rng.choice(vile)
+            if i % 2:
+                w[rng.randrange(30)] = "muslims"
+        texts.append(" ".join(w[:15]) + ". " + " ".join(w[15:]))
+        labels.append((i, 1, int(toxic)))
+    kinds = ["muslims", *[t for t in GROUP["muslims"] if t != "muslims"], "women", "black", "gay"]
+    neutral = [" ".join([*words(12, rng), kinds[k % len(kinds)], *words(12, rng)]) for k in range(110)]
+    vicious = [" ".join([*words(12, rng), rng.choice(vile), *words(12, rng)]) for _ in range(50)]
+    docs = frame(spark, texts + neutral + vicious)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(got[600 + k] for k in range(110)) <= 2 and sum(got[710 + k] for k in range(50)) >= 48
 
 
 def test_isotonic_and_rules():
