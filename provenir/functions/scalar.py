@@ -30,13 +30,25 @@ def format_count(n: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def size_bytes(text: Column) -> Column:
     return F.octet_length(text)
 
 
+def to_json_list(rows: Column) -> Column:
+    """A list as JSON; a single struct is a list of one, null an empty one."""
+    return F.coalesce(F.to_json(rows), F.lit("[]"))
+
+
+def normalised(json: Column, schema: str) -> Column:
+    """Rows of a JSON text that holds a list or a single object; null where it is neither."""
+    text = F.trim(json)
+    return F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), f"array<struct<{schema}>>")
+
+
 def tolerant(json: Column, schema: str) -> Column:
     """The parsed value, or null where the text is no JSON of that kind."""
     return F.from_json(json, schema, {"mode": "PERMISSIVE"})

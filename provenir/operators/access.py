@@ -18,7 +18,7 @@ def grantee_summary(found: DataFrame) -> DataFrame:
 
 
 def suggest_grantees(grants: DataFrame, needle: str, keep: int = 20) -> DataFrame:
-    return grants.filter(F.lower("grantee").contains(needle.lower())).select("grantee").distinct().orderBy("grantee").limit(keep)
+    return grants.filter(F.lower("grantee").contains(needle.strip().lower())).select("grantee").distinct().orderBy("grantee").limit(keep)
 
 
 def tag() -> Column:
@@ -28,8 +28,9 @@ def tag() -> Column:
 
 
 def union_grants(objects: DataFrame, columns: DataFrame) -> DataFrame:
-    """Object grants, then column grants."""
-    return objects.unionByName(columns, allowMissingColumns=True)
+    """Object grants, then column grants, of a server that knows neither DENY nor kinds of grantees."""
+    both = objects.unionByName(columns, allowMissingColumns=True)
+    return both.withColumns({"state": F.lit("GRANT"), "granteeType": F.lit(None).cast("string")})
 
 
 def object_grants(permissions: DataFrame, columns: DataFrame) -> DataFrame:

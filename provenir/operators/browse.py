@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 FREE_TEXT = ("qualifiedName", "server", "database", "schema", "description")
 SORT_KEYS = ("qualifiedName", "server", "database", "schema", "type", "changeCount", "lastChangedAt")
+# What attributes read and are called, and what operators are called.
+FIELDS = {"name": "qualifiedName"}
+LABELS = {"server": "Server", "database": "Database", "schema": "Schema", "type": "Type", "name": "Name", "description": "Description"}
+OPERATORS = {"is": "is", "is-not": "is not", "contains": "contains", "is-in": "is in", "is-not-in": "is not in"}
 
 
 def _text(name: str) -> Column:
@@ -28,14 +32,17 @@ def effective(server: dict, defaults: dict) -> dict:
 
 
 def token(attribute: str | None, operator: str, values: Sequence[str]) -> Column:
-    """One filter token. A missing field counts as an empty text; a token without values holds for all rows."""
-    values = [v for v in values if v]
-    if not values:
-        return F.lit(True)
-    low = [v.lower() for v in values]
+    """One filter token. A missing field counts as an empty text; a token without values holds for all rows.
+
+    Free text is the first value alone, and an empty one holds for all rows.
+    """
     if attribute is None:
-        return reduce(lambda a, b: a | b, [_text(f).contains(v) for f in FREE_TEXT for v in low[:1]])
-    field = _text(attribute)
+        needle = values[0].lower() if values else ""
+        return reduce(lambda a, b: a | b, [_text(f).contains(needle) for f in FREE_TEXT]) if needle else F.lit(True)
+    low = [v.lower() for v in values if v]
+    if not low:
+        return F.lit(True)
+    field = _text(FIELDS.get(attribute, attribute))
     if operator == "contains":
         return field.contains(low[0])
     if operator == "is":
@@ -52,7 +59,10 @@ def apply_tokens(nodes: DataFrame, tokens: Sequence[tuple[str | None, str, Seque
 
 
 def describe_token(attribute: str | None, operator: str, values: Sequence[str]) -> str:
-    return f'"{", ".join(values)}"' if attribute is None else f"{attribute} {operator} {', '.join(values)}"
+    """``Type is not Views``; free text stands as it is."""
+    if attribute is None:
+        return values[0] if values else ""
+    return f"{LABELS.get(attribute, attribute)} {OPERATORS[operator]} {', '.join(values)}"
 
 
 def explorer(nodes: DataFrame, key: str, descending: bool = False, keep: int = 500) -> DataFrame:
@@ -61,8 +71,8 @@ def explorer(nodes: DataFrame, key: str, descending: bool = False, keep: int = 5
 
 
 def suggest(nodes: DataFrame, attribute: str, needle: str, keep: int = 50) -> DataFrame:
-    value = F.col(attribute)
-    some = nodes.filter(value.isNotNull() & (value != "") & F.lower(value).contains(needle.lower()))
+    value = F.col(FIELDS.get(attribute, attribute))
+    some = nodes.filter(value.isNotNull() & (value != "") & F.lower(value).contains(needle.strip().lower()))
     return some.select(value.alias("value")).distinct().orderBy("value").limit(keep)
 
 
@@ -70,6 +80,17 @@ def tree_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("server", "database", "schema", "type").agg(F.count("*").alias("n"))
 
 
+def tree(nodes: DataFrame) -> DataFrame:
+    """(server, databases): databases, schemas, types and objects nested in order. A server's tree is one row, as a page shows it."""
+    steps = ("database", "schema", "type")
+    out = nodes.groupBy("server", *steps).agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("objects"))
+    inside = "objects"
+    for k in (2, 1, 0):
+        out = out.groupBy("server", *steps[:k]).agg(F.sort_array(F.collect_list(F.struct(steps[k], inside))).alias(steps[k] + "s"))
+        inside = steps[k] + "s"
+    return out
+
+
 def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -79,5 +100,10 @@ def totals(nodes: DataFrame) -> DataFrame:
 
 
 def filter_cascade(nodes: DataFrame, databases: tuple, schemas: tuple, names: tuple) -> DataFrame:
-    """Database, then schema, then object name; each is (include, exclude). Objects without a schema go."""
+    """Database, then schema, then object name; each is (include, exclude). Objects without a schema go. For those of a whole server see :func:`server_objects`."""
     return nodes.filter(name_filter(F.col("database"), *databases) & F.col("schema").isNotNull() & name_filter(F.col("schema"), *schemas) & name_filter(F.col("name"), *names))
+
+
+def server_objects(objects: DataFrame, names: tuple) -> DataFrame:
+    """Linked servers and publications have no schema: their names alone decide."""
+    return objects.filter(name_filter(F.col("name"), *names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.plans.shared import cut
+from provenir.storage import cut
 
 MAX_HOPS = 6
 
@@ -31,28 +31,33 @@ def _walk(edges: DataFrame, seeds: DataFrame, hops: int, inside) -> DataFrame:
 
 def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, *, incoming: bool = False, hops: int = MAX_HOPS) -> DataFrame:
     """(seed, id, hop): least hops up to ``hops``, without the seed. Objects of another server are met but not passed."""
-    moves = edges.select(F.col("to").alias("from"), F.col("from").alias("to")) if incoming else edges.select("from", "to")
-    server = nodes.select("id", "server")
+    moves = cut(edges.select(F.col("to").alias("from"), F.col("from").alias("to")) if incoming else edges.select("from", "to"), "moves")
+    server = cut(nodes.select("id", "server"), "servers")
     home = server.select(F.col("id").alias("seed"), F.col("server").alias("home"))
 
     def inside(step: DataFrame) -> DataFrame:
         placed = step.join(server, "id", "left").join(home, "seed", "left")
         return placed.withColumn("grows", F.coalesce(F.col("server") == F.col("home"), F.lit(False)))
 
-    known = seeds.join(nodes.select("id"), "id", "left_semi")
+    known = seeds.join(server.select("id"), "id", "left_semi")
     return _walk(moves, known, hops, inside).filter("hop > 0").select("seed", "id", "hop")
 
 
 def neighborhood(edges: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """(seed, id) within ``radius`` undirected hops, the root included; ids without a node stay."""
-    both = edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct()
+    both = cut(edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct(), "both")
     return _walk(both, roots, radius, lambda step: step.withColumn("grows", F.lit(True))).select("seed", "id")
 
 
 def top_referenced(edges: DataFrame, nodes: DataFrame, kind: str = "Tables", keep: int = 10) -> DataFrame:
-    """Most used objects of a type: direct users, then users over all hops."""
+    """Most used objects of a type: direct users, then users over all hops.
+
+    Only objects with as many direct users as the last place, ties included, are walked from: no other can get a place.
+    """
     direct = edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("direct"))
-    some = nodes.filter(F.col("type") == kind).select("id").join(direct, "id")
+    every = cut(nodes.filter(F.col("type") == kind).select("id").join(direct, "id"), "direct")
+    least = every.orderBy(F.desc("direct")).limit(keep).agg(F.min("direct")).first()[0]
+    some = every.filter(F.col("direct") >= F.lit(least or 0))
     far = reachable(edges, nodes, some.select("id"), incoming=True).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("indirect"))
     return some.join(far, "id", "left").select("id", "direct", F.coalesce("indirect", F.lit(0)).alias("indirect")).orderBy(F.desc("direct"), F.desc("indirect"), "id").limit(keep)
 

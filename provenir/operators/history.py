@@ -9,22 +9,24 @@ MAX_COMMITS, MAX_VERSIONS, MAX_FETCHES, MAX_PAIR_SIZE, MAX_PAIRS = 250, 15, 1500
 
 
 def parse_git_log(lines: DataFrame) -> DataFrame:
-    """(line_no, value) of a ``@@COMMIT@@sha@@date@@subject`` log to (sha, date, message, path); a header opens a group.
+    """(line_no, value) of a ``@@COMMIT@@sha@@date@@subject`` log to (sha, date, message, path); a header opens a group,
+    and lines before the first one go.
 
     The group key runs over the log's order, so a log is one ordered stream; several logs are told apart by ``log``.
     """
     header = F.when(F.col("value").startswith("@@COMMIT@@"), F.split("value", "@@", 5))
     by_log = Window.partitionBy("log").orderBy("line_no")
-    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(by_log)).filter("not startswith(value, '@@COMMIT@@') and trim(value) <> ''")
-    return rows.select(F.get("h", 2).alias("sha"), F.get("h", 3).alias("date"), F.get("h", 4).alias("message"), F.col("value").alias("path"))
+    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(by_log)).withColumn("path", F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
+    rows = rows.filter("h is not null and not startswith(value, '@@COMMIT@@') and path <> ''")
+    return rows.select(F.get("h", 2).alias("sha"), F.get("h", 3).alias("date"), F.get("h", 4).alias("message"), "path")
 
 
 def commit_objects(changes: DataFrame, nodes: DataFrame, prefix: str = "") -> DataFrame:
-    """(sha, date, id) of changed ``.sql`` paths under the prefix whose object is still in the catalog."""
+    """(sha, date, id) of changed ``.sql`` paths (in small letters) under the prefix whose object is still in the catalog, ids without case."""
     path = F.col("path")
-    own = changes.filter(path.startswith(prefix) & F.lower(path).endswith(".sql"))
-    own = own.withColumn("id", F.regexp_replace(F.substring(path, len(prefix) + 1, 1 << 20), r"(?i)\.sql$", ""))
-    return own.join(nodes.select("id"), "id", "left_semi").select("sha", "date", "id").distinct()
+    own = changes.filter(path.startswith(prefix) & path.endswith(".sql"))
+    low = F.lower(F.expr(f"substring(path, {len(prefix) + 1}, length(path) - {len(prefix) + 4})"))
+    return own.withColumn("low", low).join(nodes.select("id", F.lower("id").alias("low")), "low").select("sha", "date", "id").distinct()
 
 
 def change_counts(touched: DataFrame) -> DataFrame:
@@ -48,6 +50,21 @@ def content_budget(versions: DataFrame, budget: int = MAX_FETCHES) -> DataFrame:
     return versions.orderBy("id", "rank").limit(budget)
 
 
+def object_history(versions: DataFrame, blobs: DataFrame, parse, budget: int = MAX_FETCHES) -> DataFrame:
+    """(id, history): versions (sha, date, message, ddl), newest first. ``blobs`` (id, sha, text) are parsed by ``parse``.
+
+    Definitions are fetched for the first ``budget`` versions by (id, rank); an object all of whose versions lie beyond
+    has an empty history, though its changes are counted.
+    """
+    fetched = content_budget(versions, budget).select("id", "rank", F.lit(True).alias("fetched"))
+    ddl = parse(blobs.select(F.to_json(F.struct("id", "sha")).alias("id"), "text")).select(F.from_json("id", "id string, sha string").alias("k"), "ddl").select("k.id", "k.sha", "ddl")
+    rows = versions.join(fetched, ["id", "rank"], "left").join(ddl, ["id", "sha"], "left")
+    version = F.struct("rank", "sha", "date", "message", F.when(F.col("fetched"), F.col("ddl")).alias("ddl"))
+    out = rows.groupBy("id").agg(F.sort_array(F.collect_list(version)).alias("v"), F.max("fetched").alias("any"))
+    kept = F.transform("v", lambda x: F.struct(x["sha"].alias("sha"), x["date"].alias("date"), x["message"].alias("message"), x["ddl"].alias("ddl")))
+    return out.select("id", F.when(F.col("any"), kept).otherwise(F.slice(kept, 1, 0)).alias("history"))
+
+
 def recent_changes(touched: DataFrame, commits: DataFrame, last: int = MAX_COMMITS) -> DataFrame:
     """Objects per commit among the last commits; the cut comes first, then commits without objects go."""
     latest = commits.orderBy(F.desc("date"), F.desc("sha")).limit(last)
@@ -56,10 +73,14 @@ def recent_changes(touched: DataFrame, commits: DataFrame, last: int = MAX_COMMI
 
 
 def co_change(touched: DataFrame, max_size: int = MAX_PAIR_SIZE) -> DataFrame:
-    """(a, b, count) for a < b in commits of 2 to ``max_size`` objects; the guard stands before the self-join."""
-    sizes = touched.groupBy("sha").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_size))
-    some = touched.join(sizes, "sha", "left_semi").select("sha", "id")
-    pairs = some.select("sha", F.col("id").alias("a")).join(some.select("sha", F.col("id").alias("b")), "sha").filter("a < b")
+    """(a, b, count) for a < b in commits of 2 to ``max_size`` objects.
+
+    One shuffle by commit: larger ones go before their objects are gathered, and pairs are made inside a commit's row.
+    """
+    sized = touched.select("sha", "id").withColumn("n", F.count("*").over(Window.partitionBy("sha"))).filter(F.col("n").between(2, max_size))
+    ids = sized.groupBy("sha").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    after = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = ids.select(F.inline(F.flatten(F.transform("ids", after))))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("count"))
 
 

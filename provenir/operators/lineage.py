@@ -1,48 +1,73 @@
-"""Lineage inferred from definitions: qualified and bare names, aliases and columns."""
+"""Lineage inferred from definitions: qualified and bare names, aliases and columns.
+
+Names, servers and databases compare without case. Words and their boundaries are Unicode ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Word boundaries over ASCII letters, digits and underscore
-LEAD = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-TRAIL = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-WORD = r"[A-Za-z_][A-Za-z0-9_$#]*"
-QUALIFIED = rf"\[?({WORD})\]?\.\[?({WORD})\]?"
-BARE = rf"{LEAD}([A-Za-z_][A-Za-z0-9_$#]{{3,}}){TRAIL}"
-REFERENCE = rf"{LEAD}({WORD})\.\[?({WORD})\]?"
-# Words that are no alias.
-STOP = "WHERE ON JOIN INNER LEFT RIGHT OUTER FULL CROSS GROUP ORDER HAVING UNION SET VALUES INTO SELECT FROM AND OR NOT NULL IS IN EXISTS BEGIN END GO WITH FOR BY ALL DISTINCT TOP AS".split()
+from provenir.storage import maybe_broadcast
+
+# The patterns by which names are found, and words that are no alias.
+QUALIFIED = r"(?U)\[?([A-Za-z_][\w$#]*)\]?\.\[?([A-Za-z_][\w$#]*)\]?"
+BARE = r"(?U)\b([A-Za-z_][\w$#]{3,})\b"
+ALIAS = r"\s+(?:AS\s+)?\[?([A-Za-z_][\w$#]*)\]?"
+STOP = (
+    "WHERE", "ON", "JOIN", "INNER", "LEFT", "RIGHT", "OUTER", "FULL", "CROSS", "GROUP", "ORDER", "HAVING", "UNION", "SET", "VALUES",
+    "INTO", "SELECT", "FROM", "AND", "OR", "NOT", "NULL", "IS", "IN", "EXISTS", "BEGIN", "END", "GO", "WITH", "FOR", "BY", "ALL",
+    "DISTINCT", "TOP", "AS",
+)
+#: ``name.`` and, looked at but not taken, what follows: a name in brackets or a plain one. Pairs thus overlap.
+REFERENCE = r"(?U)\b([\w$#]+)\.(?=\[([^\]]+)\]|([\w$#]+))"
 
 
 def scan_text(ddl: Column, foreign_keys: Column) -> Column:
+    """The definition and, in a line of its own, the foreign keys' section where there is one."""
     return F.concat_ws("\n", ddl, foreign_keys)
 
 
+def _scope(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({"server": F.lower("server"), "database": F.lower("database")})
+
+
+def _text(nodes: DataFrame, text: str) -> Column:
+    return scan_text(F.col(text), F.col("foreign_keys")) if "foreign_keys" in nodes.columns else F.col(text)
+
+
 def bare_tokens(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     """(id, server, database, token): distinct lower-cased tokens, made distinct inside the row before they multiply."""
-    return nodes.select("id", "server", "database", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(BARE), F.lit(1)))).alias("token"))
+    found = F.transform(F.regexp_extract_all(_text(nodes, text), F.lit(BARE), F.lit(1)), lambda x: F.lower(x))
+    return _scope(nodes).select("id", "server", "database", F.explode(F.array_distinct(found)).alias("token"))
 
 
 def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
-    """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search."""
-    names = nodes.select("id", "server", "database", F.lower("name").alias("token"))
+    """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search.
+
+    Tokens that are no unique name of the server or of one of its databases go before anything is shuffled, as long as the names can be broadcast.
+    """
+    names = _scope(nodes).select("id", "server", "database", F.lower("name").alias("token"))
     in_db = names.groupBy("server", "database", "token").agg(F.count("*").alias("n"), F.min("id").alias("db_id")).filter("n = 1").drop("n")
     in_server = names.groupBy("server", "token").agg(F.count("*").alias("n"), F.min("id").alias("server_id")).filter("n = 1").drop("n")
-    hits = bare_tokens(nodes, text).join(in_db, ["server", "database", "token"], "left").join(in_server, ["server", "token"], "left")
+    known = maybe_broadcast(in_db.select("server", "token").distinct())
+    hits = bare_tokens(nodes, text).join(known, ["server", "token"], "left_semi")
+    hits = hits.join(in_db, ["server", "database", "token"], "left").join(in_server, ["server", "token"], "left")
     return hits.select(F.col("id").alias("from"), F.coalesce("db_id", "server_id").alias("to")).filter("`from` <> `to`").distinct()
 
 
 def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     """Edges from ``schema.name`` within a server and database; of equal names the last path wins."""
-    names = nodes.filter("schema is not null").groupBy("server", "database", F.lower("schema").alias("s"), F.lower("name").alias("n")).agg(F.max("id").alias("to"))
-    found = nodes.select(F.col("id").alias("from"), "server", "database", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(QUALIFIED), F.lit(0)))).alias("m"))
-    found = found.select("from", "server", "database", F.regexp_extract("m", QUALIFIED, 1).alias("s"), F.regexp_extract("m", QUALIFIED, 2).alias("n"))
+    scoped = _scope(nodes)
+    names = scoped.filter("schema is not null").groupBy("server", "database", F.lower("schema").alias("s"), F.lower("name").alias("n")).agg(F.max("id").alias("to"))
+    body = _text(nodes, text)
+    both = F.arrays_zip(F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(1)).alias("s"), F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(2)).alias("n"))
+    found = scoped.select(F.col("id").alias("from"), "server", "database", F.inline(F.array_distinct(F.transform(both, lambda x: F.struct(F.lower(x["s"]).alias("s"), F.lower(x["n"]).alias("n"))))))
     return found.join(names, ["server", "database", "s", "n"]).filter("`from` <> `to`").select("from", "to").distinct()
 
 
 def edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
+    """(from, to) by qualified and bare names in the definition and, if the nodes have that column, in ``foreign_keys``."""
     return qualified_edges(nodes, text).unionByName(bare_edges(nodes, text)).distinct()
 
 
@@ -55,20 +80,29 @@ def aliases(found: DataFrame, nodes: DataFrame) -> DataFrame:
     source = nodes.select(F.col("id").alias("from"), "ddl")
     target = nodes.select(F.col("id").alias("to"), "schema", "name")
     schema = F.when(F.col("schema").isNotNull(), F.concat(F.lit(r"(?:\[?"), _literal(F.col("schema")), F.lit(r"\]?\.)?"))).otherwise("")
-    pattern = F.concat(F.lit("(?i)"), schema, F.lit(r"\[?"), _literal(F.col("name")), F.lit(rf"\]?\s+(?:AS\s+)?\[?({WORD})\]?"))
+    pattern = F.concat(F.lit("(?iuU)"), schema, F.lit(r"\[?"), _literal(F.col("name")), F.lit(r"\]?" + ALIAS))
     rows = found.select("from", "to").join(source, "from").join(target, "to").withColumn("p", pattern)
     words = F.array_union(F.array(F.lower("name")), F.transform(F.regexp_extract_all("ddl", F.col("p"), F.lit(1)), lambda x: F.lower(x)))
     out = rows.select("from", "to", F.lower("name").alias("own"), F.explode(F.array_distinct(words)).alias("alias"))
-    return out.filter((F.col("alias") == F.col("own")) | ~F.upper("alias").isin(STOP)).select("from", "to", "alias")
+    return out.filter((F.col("alias") == F.col("own")) | ~F.upper("alias").isin(*STOP)).select("from", "to", "alias")
 
 
 def column_refs(found: DataFrame, nodes: DataFrame, columns: DataFrame) -> DataFrame:
-    """(from, to, columns): names after an alias of the target that are its columns, in the spelling first seen, sorted."""
-    pairs = nodes.select(F.col("id").alias("from"), F.posexplode(F.regexp_extract_all("ddl", F.lit(REFERENCE), F.lit(0))).alias("pos", "m"))
-    pairs = pairs.select("from", "pos", F.lower(F.regexp_extract("m", REFERENCE, 1)).alias("alias"), F.regexp_extract("m", REFERENCE, 2).alias("column"))
-    known = columns.select(F.col("id").alias("to"), F.lower("name").alias("low")).distinct()
+    """(from, to, columns): names after an alias of the target that are its columns, in the spelling first seen, sorted.
+
+    ``dbo.Orders.Id`` holds both ``dbo.Orders`` and ``Orders.Id``; a name in brackets may have any characters. A name
+    must end in a letter, digit or underscore, and ends at ``$`` or ``#`` too, as a word boundary would have it. Only the
+    definition is read, not the foreign keys. Unbracketed names with blanks in them are not found.
+    """
+    part = lambda i: F.regexp_extract_all("ddl", F.lit(REFERENCE), F.lit(i))
+    pairs = nodes.select(F.col("id").alias("from"), F.posexplode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))).alias("pos", "m"))
+    spelled = F.array_distinct(F.array(F.when(F.col("m.b") != "", F.col("m.b")).otherwise(F.col("m.c")), F.regexp_extract("m.c", r"(?U)^(\w+)", 1)))
+    called = F.array_distinct(F.array(F.lower("m.a"), F.regexp_extract(F.lower("m.a"), r"(?U)(\w+)$", 1)))
+    pairs = pairs.select("from", "pos", F.explode(called).alias("alias"), spelled.alias("spelled")).select("from", "pos", "alias", F.explode("spelled").alias("column"))
+    pairs = pairs.filter(F.col("column").rlike(r"(?U)\w$") & (F.col("alias") != ""))
+    known = columns.filter("name <> ''").select(F.col("id").alias("to"), F.lower("name").alias("low")).distinct()
     hits = aliases(found, nodes).join(pairs, ["from", "alias"]).withColumn("low", F.lower("column")).join(known, ["to", "low"], "left_semi")
-    first = hits.groupBy("from", "to", "low").agg(F.min_by("column", "pos").alias("column"))
+    first = hits.groupBy("from", "to", "low").agg(F.min_by("column", F.struct("pos", -F.length("column"))).alias("column"))
     lists = first.groupBy("from", "to").agg(F.sort_array(F.collect_list("column")).alias("columns"))
     return found.select("from", "to").join(lists, ["from", "to"], "left").select("from", "to", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
 
@@ -77,3 +111,14 @@ def edge_label(columns: Column, shown: int = 3) -> Column:
     """The first names and how many more; null without any."""
     more = F.when(F.size(columns) > shown, F.concat(F.lit(", +"), (F.size(columns) - shown).cast("string"), F.lit(" (click)"))).otherwise("")
     return F.when(F.size(columns) > 0, F.concat(F.array_join(F.slice(columns, 1, shown), ", "), more))
+
+
+def column_tags(columns: Column, shown: int = 6) -> Column:
+    """The first names as a list, the last entry telling how many more."""
+    more = F.when(F.size(columns) > shown, F.array(F.concat(F.lit("+"), (F.size(columns) - shown).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.slice(columns, 1, shown), more)
+
+
+def drawable(node_ids: DataFrame, most: int = 300) -> bool:
+    """True if a graph has few enough nodes to be drawn."""
+    return node_ids.limit(most + 1).count() <= most

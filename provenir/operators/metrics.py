@@ -9,9 +9,13 @@ MAX_SNAPSHOTS = 90
 
 
 def retain(history: DataFrame, new: DataFrame, keep: int = MAX_SNAPSHOTS) -> DataFrame:
-    """Append without removing repeats, then keep each object's last ``keep`` snapshots in order of ``seq``."""
-    w = Window.partitionBy("id").orderBy(F.desc("seq"))
-    return history.unionByName(new).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= keep).drop("k")
+    """Append without removing repeats, then keep each object's last ``keep`` snapshots by ``seq``.
+
+    Of equal ``seq`` the appended one counts as the later; rows that are equal there too go by a hash of all they hold.
+    """
+    both = history.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    w = Window.partitionBy("id").orderBy(F.desc("seq"), F.desc("__new"), F.xxhash64(*history.columns))
+    return both.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= keep).drop("__k", "__new")
 
 
 def latest(metrics: DataFrame, *cols: str) -> DataFrame:
@@ -33,14 +37,53 @@ def table_volume(partitions: DataFrame) -> DataFrame:
 def index_metrics(indexes: DataFrame, physical: DataFrame, usage: DataFrame) -> DataFrame:
     """Fragmentation, pages and use of every index; an index without figures stays, its use counting 0."""
     joined = indexes.join(physical, ["id", "index_id"], "left").join(usage, ["id", "index_id"], "left")
-    use = [F.max(F.coalesce(c, F.lit(0))).alias(c) for c in ("seeks", "scans")]
+    use = [F.max(F.coalesce(c, F.lit(0))).alias(c) for c in ("seeks", "scans", "lookups", "updates")]
     return joined.groupBy("id", "index_id", "name").agg(F.bround(F.avg(F.col("fragmentation").cast("decimal(18,6)")), 2).alias("fragmentation"), F.sum("pages").alias("pages"), *use)
 
 
+def partition_volume(partitions: DataFrame, units: DataFrame, *, corrected: bool = False) -> DataFrame:
+    """:func:`table_volume` of partitions (id, index_id, partition_id, rows) and their allocation units (partition_id, total_pages, used_pages).
+
+    A partition's rows count once for each of its units, as the catalog views' usual join has it; ``corrected`` counts them once.
+    """
+    rows = partitions.join(units, "partition_id")
+    if corrected:
+        first = Window.partitionBy("partition_id").orderBy(F.desc("total_pages"), F.desc("used_pages"))
+        rows = rows.withColumn("rows", F.when(F.row_number().over(first) == 1, F.col("rows")).otherwise(0))
+    return table_volume(rows)
+
+
+def oracle_snapshots(tables: DataFrame, changes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Snapshots of a server that keeps one statistic a table: (id, name, num_rows, blocks, sample_size, last_analyzed).
+
+    Size is estimated by blocks of 8 KB; the counter of changes (id, inserts, updates, deletes) counts nulls as 0 and is
+    null without a row; indexes have (id, name, rowCount, distinctKeys, leafBlocks, lastAnalyzed).
+    """
+    count = sum((F.coalesce(c, F.lit(0)) for c in ("inserts", "updates", "deletes")), F.lit(0))
+    counter = changes.groupBy("id").agg(F.max(count).alias("counter"))
+    stat = F.struct("name", F.col("num_rows").alias("rows"), F.col("sample_size").alias("rowsSampled"), F.lit(None).cast("int").alias("steps"), F.col("counter").alias("modificationCounter"), F.col("last_analyzed").alias("lastUpdated"))
+    listed = indexes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in indexes.columns if c != "id"]))).alias("indexes"))
+    none = F.lit(None).cast("long")
+    out = tables.join(counter, "id", "left").join(listed, "id", "left")
+    out = out.select("id", F.col("num_rows").alias("rowCount"), (F.col("blocks") * 8).alias("reservedKB"), none.alias("dataKB"), none.alias("indexKB"), "indexes", F.array(stat).alias("statistics"))
+    return out.withColumn("indexes", F.coalesce("indexes", F.array().cast(out.schema["indexes"].dataType)))
+
+
+def latest_statistics(metrics: DataFrame) -> DataFrame:
+    """The statistics of each object's latest snapshot, a row each."""
+    return latest(metrics, "seq", "statistics").select("id", "seq", F.inline("statistics"))
+
+
+def index_variant(metrics: DataFrame, name: str) -> DataFrame:
+    """(id, by_use, by_size): whether any snapshot of the index tells its fragmentation, and whether any tells its rows."""
+    found = F.get(F.filter("indexes", lambda x: x["name"] == name), 0)
+    return metrics.select("id", found.alias("x")).groupBy("id").agg(*[F.coalesce(F.max(F.col("x")[f].isNotNull()), F.lit(False)).alias(a) for f, a in (("fragmentationPct", "by_use"), ("rowCount", "by_size"))])
+
+
 def snapshots(volume: DataFrame, indexes: DataFrame, statistics: DataFrame) -> DataFrame:
-    """One row per volume row; index and statistics lists are empty, never null, and need a volume row."""
-    pack = lambda df, name, cols: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    out = volume.join(pack(indexes, "indexes", ("name", "seeks")), "id", "left").join(pack(statistics, "statistics", ("name", "modifications")), "id", "left")
+    """One row per volume row; index and statistics lists, with all their columns, are empty, never null, and need a volume row."""
+    pack = lambda df, name: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("name", *[c for c in df.columns if c not in ("id", "name")]))).alias(name))
+    out = volume.join(pack(indexes, "indexes"), "id", "left").join(pack(statistics, "statistics"), "id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
     return out.withColumns({c: empty(c) for c in ("indexes", "statistics")})
 
@@ -63,7 +106,22 @@ def segments(series: DataFrame, value: str) -> DataFrame:
     return series.withColumn("segment", F.sum(F.col(value).isNull().cast("long")).over(w)).filter(F.col(value).isNotNull())
 
 
-def scale(series: DataFrame, value: str) -> DataFrame:
-    """Range per object that holds 0; a range of 0 counts as 1."""
-    r = series.groupBy("id").agg(F.least(F.min(value), F.lit(0)).alias("low"), F.greatest(F.max(value), F.lit(0)).alias("high"))
+def scale(series: DataFrame, *values: str) -> DataFrame:
+    """One range per object for all its series: from 0 or less to the largest value; a range of 0 counts as 1. Without any value there is no row."""
+    low = F.least(*[F.min(v) for v in values], F.lit(0))
+    high = F.greatest(*[F.max(v) for v in values]) if len(values) > 1 else F.max(values[0])
+    r = series.groupBy("id").agg(low.alias("low"), high.alias("high")).filter("high is not null")
     return r.withColumn("span", F.when(F.col("high") == F.col("low"), 1).otherwise(F.col("high") - F.col("low")))
+
+
+# The chart's width, height and margins.
+WIDTH, HEIGHT, PAD_X, PAD_TOP, PAD_BOTTOM = 640, 160, 10, 10, 20
+
+
+def chart_points(series: DataFrame, value: str, ranges: DataFrame, height: int = HEIGHT) -> DataFrame:
+    """(id, seq, x, y) of every point that has a value; a single label stands in the middle. ``ranges`` come from :func:`scale`."""
+    w = Window.partitionBy("id").orderBy("seq")
+    rows = series.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("id"))}).join(ranges, "id")
+    x = F.when(F.col("n") <= 1, F.lit(WIDTH / 2)).otherwise(F.col("i") / (F.col("n") - 1) * (WIDTH - 2 * PAD_X) + PAD_X)
+    y = F.lit(height - PAD_BOTTOM) - (F.col(value) - F.col("low")) / F.col("span") * (height - PAD_TOP - PAD_BOTTOM)
+    return rows.filter(F.col(value).isNotNull()).select("id", "seq", x.alias("x"), y.alias("y"))

@@ -10,17 +10,17 @@ STRUCTURED = ("extended properties", "columns", "grants")
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def parse_path(df: DataFrame) -> DataFrame:
-    """(path) to id, server, database, type, schema, name; fewer than four segments are skipped, a schema needs exactly five."""
+def parse_path(df: DataFrame, *keep: str) -> DataFrame:
+    """(path) to id, server, database, type, schema, name, and what to ``keep``; fewer than four segments are skipped, a schema needs exactly five."""
     path = F.regexp_replace("path", r"\\", "/")
     s = F.split(path, "/")
     rows = df.withColumn("s", s).filter(F.size("s") >= 4)
     name = F.regexp_replace(F.element_at("s", -1), r"\.[^.]*$", "")
     schema = F.when(F.size("s") == 5, F.get("s", 3))
-    out = rows.select(F.regexp_replace(F.array_join("s", "/"), r"(?i)\.sql$", "").alias("id"), F.get("s", 0).alias("server"), F.get("s", 1).alias("database"), F.get("s", 2).alias("type"), schema.alias("schema"), name.alias("name"))
+    out = rows.select(F.regexp_replace(F.array_join("s", "/"), r"(?i)\.sql$", "").alias("id"), F.get("s", 0).alias("server"), F.get("s", 1).alias("database"), F.get("s", 2).alias("type"), schema.alias("schema"), name.alias("name"), *keep)
     return out.withColumn("qualifiedName", F.concat_ws(".", "schema", "name"))
 
 
@@ -30,13 +30,48 @@ def render(server: Column, database: Column, kind: Column, name: Column, body: C
     return F.concat(F.concat_ws("\n", *head, F.lit(""), trim(body)), F.lit("\n"))
 
 
+# The order of an object's sections by its type.
+SECTIONS = {
+    "Tables": ("Foreign Keys", "Check Constraints", "Indexes", "Columns", "Grants", "Extended Properties"),
+    "Views": ("Columns", "Grants", "Extended Properties"),
+    "StoredProcedures": ("Grants", "Extended Properties"),
+    "Functions": ("Grants", "Extended Properties"),
+    "Triggers": ("Grants", "Extended Properties"),
+    "Synonyms": ("Grants",),
+}
+col_line = lambda name, kind: F.concat(F.lit("-- [col] "), name, F.lit("|"), F.coalesce(kind, F.lit("")))
+object_line = lambda prop, value: F.concat(F.lit("-- [object] "), prop, F.lit(" = "), F.coalesce(value, F.lit("")))
+column_line = lambda column, prop, value: F.concat(F.lit("-- [column: "), column, F.lit("] "), prop, F.lit(" = "), F.coalesce(value, F.lit("")))
+
+
+def grant_line(permission: Column, state: Column, grantee: Column, kind: Column, column: Column) -> Column:
+    """Five fields parted by bars; a missing one is empty."""
+    return F.concat(F.lit("-- [grant] "), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (permission, state, grantee, kind, column)]))
+
+
+def with_sections(objects: DataFrame, sections: DataFrame) -> DataFrame:
+    """(schema, name, type, definition) with the sections (schema, name, title, ordinal, line) of its type appended in their order.
+
+    Sections are found by schema and name without case; a title that the type doesn't carry, or without lines, leaves no mark.
+    """
+    keys = [F.lower("schema").alias("s"), F.lower("name").alias("n")]
+    lines = sections.groupBy(*keys, "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]).alias("lines"))
+    maps = lines.groupBy("s", "n").agg(F.map_from_entries(F.collect_list(F.struct("title", "lines"))).alias("m"))
+    out = objects.join(maps, F.lower("schema").eqNullSafe(F.col("s")) & (F.lower("name") == F.col("n")), "left")
+    text = F.col("definition")
+    for title in SECTIONS["Tables"]:
+        kinds = [k for k, titles in SECTIONS.items() if title in titles]
+        text = append_section(text, title, F.when(F.col("type").isin(kinds), F.col("m")[title]))
+    return out.withColumn("definition", text).drop("s", "n", "m")
+
+
 def append_section(text: Column, title: str, lines: Column) -> Column:
     """The section's lines under its title; nothing where there are none."""
     return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(text, F.lit(f"\n\n-- === {title} ===\n"), F.array_join(lines, "\n"))).otherwise(text)
 
 
-def split_sections(df: DataFrame) -> DataFrame:
-    """(id, text) to (id, ddl, sections): header lines and one blank line go, then markers part the rest."""
+def split_sections(df: DataFrame, *keep: str) -> DataFrame:
+    """(id, text) to (id, ddl, sections) and what to ``keep``: header lines and one blank line go, then markers part the rest."""
     rows = df.withColumn("raw", F.split(F.regexp_replace("text", "\r\n", "\n"), "\n"))
     rows = rows.withColumn("head", F.array_position(F.transform("raw", lambda x: x.startswith("-- ") & ~x.rlike(MARKER)), F.lit(False)).cast("int") - 1)
     rows = rows.withColumn("head", F.when(F.col("head") < 0, F.size("raw")).otherwise(F.col("head")))
@@ -47,7 +82,7 @@ def split_sections(df: DataFrame) -> DataFrame:
     end = F.coalesce(F.get("at", F.lit(0)), F.size("lines"))
     body = lambda m, k: F.array_join(F.slice("lines", m + 2, F.coalesce(F.get("at", k + 1), F.size("lines")) - m - 1), "\n")
     sections = F.transform("at", lambda m, k: F.struct(F.regexp_extract(F.get("lines", m), MARKER, 1).alias("title"), trim(body(m, k)).alias("content")))
-    return rows.select("id", trim(F.array_join(F.slice("lines", 1, end), "\n")).alias("ddl"), sections.alias("sections"))
+    return rows.select("id", trim(F.array_join(F.slice("lines", 1, end), "\n")).alias("ddl"), sections.alias("sections"), *keep)
 
 
 def section(title: str) -> Column:
@@ -60,25 +95,31 @@ def _lines(parsed: DataFrame, title: str) -> DataFrame:
 
 
 def columns(parsed: DataFrame) -> DataFrame:
-    p = r"^-- \[col\] ([^|]+)\|(.*)$"
+    p = r"(?i)^-- \[col\] ([^|]*)\|(.*)$"
     rows = _lines(parsed, "Columns").filter(F.col("line").rlike(p))
-    return rows.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.regexp_extract("line", p, 1).alias("name"), F.nullif(F.regexp_extract("line", p, 2), F.lit("")).alias("dataType"))
+    return rows.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("dataType"))
 
 
 def grants(parsed: DataFrame) -> DataFrame:
-    p = r"^-- \[grant\] ([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
+    p = r"(?i)^-- \[grant\] ([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
     part = lambda i: F.regexp_extract("line", p, i)
     rows = _lines(parsed, "Grants").filter(F.col("line").rlike(p))
     return rows.select("id", part(1).alias("permission"), part(2).alias("state"), part(3).alias("grantee"), F.nullif(part(4), F.lit("")).alias("granteeType"), F.nullif(part(5), F.lit("")).alias("column"))
 
 
 def properties(parsed: DataFrame) -> DataFrame:
-    """Descriptions: the object's first one and each column's last one."""
-    p = r"^-- \[(object|column: ([^\]]+))\] ([^=]+?) = (.*)$"
-    rows = _lines(parsed, "Extended Properties").filter(F.col("line").rlike(p) & F.lower(F.regexp_extract("line", p, 3)).contains("description"))
-    rows = rows.select("id", "ordinal", F.nullif(F.regexp_extract("line", p, 2), F.lit("")).alias("column"), F.regexp_extract("line", p, 4).alias("description"))
-    best = F.when(F.col("column").isNull(), F.min_by("description", "ordinal")).otherwise(F.max_by("description", "ordinal"))
-    return rows.groupBy("id", "column").agg(best.alias("description"))
+    """Descriptions: the object's first one that isn't empty, and each column's last one, column names without case in the spelling first seen."""
+    own, col = r"(?i)^-- \[object\] (\S+) = (.*)$", r"(?i)^-- \[column: (.+?)\] (\S+) = (.*)$"
+    rows = _lines(parsed, "Extended Properties")
+    get = lambda p, i: F.regexp_extract("line", p, i)
+    is_own = F.col("line").rlike(own)
+    rows = rows.filter(is_own | F.col("line").rlike(col)).select(
+        "id", "ordinal", F.when(~is_own, get(col, 1)).alias("column"), F.when(is_own, get(own, 1)).otherwise(get(col, 2)).alias("property"), F.when(is_own, get(own, 2)).otherwise(get(col, 3)).alias("description")
+    )
+    rows = rows.filter(F.lower("property").contains("description"))
+    first = F.coalesce(F.min_by("description", F.when(F.col("description") != "", F.col("ordinal"))), F.lit(""))
+    best = F.when(F.col("low").isNull(), first).otherwise(F.max_by("description", "ordinal"))
+    return rows.withColumn("low", F.lower("column")).groupBy("id", "low").agg(F.min_by("column", "ordinal").alias("column"), best.alias("description"), F.min("ordinal").cast("long").alias("ordinal")).drop("low")
 
 
 def other_sections(parsed: DataFrame) -> DataFrame:
@@ -87,8 +128,8 @@ def other_sections(parsed: DataFrame) -> DataFrame:
 
 
 def merge_columns(full: DataFrame, described: DataFrame) -> DataFrame:
-    """All listed columns with their descriptions; objects without a list get the described ones, types null."""
-    own = described.filter("`column` is not null").select("id", F.col("column").alias("name"), "description")
-    listed = full.select("id", "name", "dataType").join(own, ["id", "name"], "left")
-    rest = own.join(full.select("id"), "id", "left_anti").select("id", "name", F.lit(None).cast("string").alias("dataType"), "description")
+    """All listed columns with their descriptions, names without case; objects without a list get the described ones, types null. ``ordinal`` orders them."""
+    own = described.filter("`column` is not null").select("id", F.col("column").alias("described"), F.lower("column").alias("low"), "description", F.col("ordinal").alias("seen"))
+    listed = full.withColumn("low", F.lower("name")).join(own.drop("described", "seen"), ["id", "low"], "left").select("id", "ordinal", "name", "dataType", "description")
+    rest = own.join(full.select("id"), "id", "left_anti").select("id", F.col("seen").alias("ordinal"), F.col("described").alias("name"), F.lit(None).cast("string").alias("dataType"), "description")
     return listed.unionByName(rest)

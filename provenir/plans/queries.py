@@ -59,33 +59,48 @@ NODES = "WITH nodes AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS \"qua
 
 
 def graph_of(t):
-    """Nodes: suppliers and customers, their region the server; edges: large discounted orders, both ways."""
+    """Nodes: suppliers, orders and customers, their region the server (an order's is its customer's).
+
+    Edges: every supplier to the orders of its line items, and every order to its customer.
+    """
     region = t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("string").alias("server"))
-    sup = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("k"), F.lit("Tables").alias("type"), F.col("s_name").alias("name"))
-    cus = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").alias("k"), F.lit("Views").alias("type"), F.col("c_name").alias("name"))
-    nodes = sup.unionByName(cus).join(F.broadcast(region), "k").select("id", "server", "type", "name")
-    big = t("lineitem").filter("l_quantity >= 48 and l_discount >= 0.08").select("l_orderkey", "l_suppkey")
-    one = big.join(t("orders").select("o_orderkey", "o_custkey"), big.l_orderkey == F.col("o_orderkey")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("to")).distinct()
-    return nodes, one.unionByName(one.select(F.col("to").alias("from"), F.col("from").alias("to")))
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    sup = t("supplier").select(name("s", "s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.lit("Views").alias("type"), F.col("s_name").alias("name"))
+    cus = t("customer").select(name("c", "c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.lit("Tables").alias("type"), F.col("c_name").alias("name"))
+    place = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k"))
+    orders = t("orders").join(place, "o_custkey").select(name("o", "o_orderkey").alias("id"), "k", F.lit("StoredProcedures").alias("type"), name("Order#", "o_orderkey").alias("name"))
+    nodes = sup.unionByName(cus).unionByName(orders).join(F.broadcast(region), "k").select("id", "server", "type", "name")
+    items = t("lineitem").select(name("s", "l_suppkey").alias("from"), name("o", "l_orderkey").alias("to")).distinct()
+    return nodes, items.unionByName(t("orders").select(name("o", "o_orderkey").alias("from"), name("c", "o_custkey").alias("to")))
 
 
-GRAPH = """WITH RECURSIVE nodes AS (SELECT 's' || s_suppkey AS id, CAST(n_regionkey AS VARCHAR) AS server, 'Tables' AS type, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'c' || c_custkey, CAST(n_regionkey AS VARCHAR), 'Views', c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
-one AS (SELECT DISTINCT 's' || l_suppkey AS a, 'c' || o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_discount >= 0.08),
-edges AS (SELECT a AS "from", b AS "to" FROM one UNION ALL SELECT b, a FROM one)"""
+GRAPH = """WITH RECURSIVE nodes AS (SELECT 's' || s_suppkey AS id, CAST(n_regionkey AS VARCHAR) AS server, 'Views' AS type, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'c' || c_custkey, CAST(n_regionkey AS VARCHAR), 'Tables', c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'o' || o_orderkey, CAST(n_regionkey AS VARCHAR), 'StoredProcedures', 'Order#' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+edges AS (SELECT DISTINCT 's' || l_suppkey AS "from", 'o' || l_orderkey AS "to" FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
 
 
-def seeds(nodes):
-    return nodes.filter("type = 'Tables'").select("id")
+def of_type(nodes, kind):
+    return nodes.filter(F.col("type") == kind).select("id")
 
 
-def walk_sql(moves: str) -> str:
-    return f"""{GRAPH}, seeds AS (SELECT id FROM nodes WHERE type = 'Tables' AND id LIKE '%1'),
-w AS (SELECT s.id AS seed, s.id, 0 AS hop, n.server AS home, TRUE AS grows FROM seeds s JOIN nodes n ON n.id = s.id
+def walk_sql(moves: str, kind: str) -> str:
+    return f"""{GRAPH}, w AS (SELECT id AS seed, id, 0 AS hop, server AS home, TRUE AS grows FROM nodes WHERE type = '{kind}'
 UNION SELECT w.seed, e.dst, w.hop + 1, w.home, n.server = w.home FROM w JOIN ({moves}) AS e ON e.src = w.id JOIN nodes n ON n.id = e.dst WHERE w.grows AND w.hop < 6)
 SELECT seed, id, CAST(min(hop) AS BIGINT) AS hop FROM w WHERE id <> seed GROUP BY seed, id"""
 
 
+def home_graph(t):
+    """Undirected walks go over orders, customers and nations: every order to its customer, every customer to its nation."""
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    one = t("orders").select(name("o", "o_orderkey").alias("from"), name("c", "o_custkey").alias("to"))
+    return one.unionByName(t("customer").select(name("c", "c_custkey").alias("from"), name("n", "c_nationkey").alias("to")))
+
+
+HOME = """WITH RECURSIVE one AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+both_ AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one)"""
+
+
 def lineitem_grants(t):
     rows = t("lineitem").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(F.col("l_partkey").cast("string").alias("id"), F.col("l_returnflag").alias("permission"), F.when(F.col("l_linestatus") == "F", "DENY").otherwise("GRANT").alias("state"), F.col("s_name").alias("grantee"), F.nullif(F.col("l_linenumber").cast("string"), F.lit("1")).alias("column"))
@@ -110,11 +125,14 @@ SERIES = "WITH per AS (SELECT CAST(user_id AS VARCHAR) AS id, CAST(date_diff('da
 
 
 def object_text(t):
-    """An object file for every part."""
+    """An object file for every part: an empty first description, column names in two spellings and with brackets, a column without a name."""
     p = t("part")
-    cols = F.array(F.lit("-- [col] key|bigint"), F.concat(F.lit("-- [col] "), "p_brand", F.lit("|varchar|"), F.col("p_size").cast("string")))
+    cols = F.array(F.lit("-- [col] Key|bigint"), F.concat(F.lit("-- [col] "), "p_brand", F.lit("|varchar|"), F.col("p_size").cast("string")), F.lit("-- [col] a[0]|"), F.lit("-- [col] |int"))
     grants = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("-- [grant] SELECT|GRANT|"), "p_brand", F.lit("||")), F.concat(F.lit("-- [grant] UPDATE|DENY|"), "p_type", F.lit("|ROLE|key"))))
-    props = F.array(F.concat(F.lit("-- [object] MS_Description = "), "p_name"), F.lit("-- [object] MS_Description = second"), F.lit("-- [column: key] MS_Description = first"), F.concat(F.lit("-- [column: key] MS_Description = "), "p_type"), F.lit("-- [object] Owner = x"))
+    props = F.array(
+        F.lit("-- [object] MS_Description = "), F.lit("-- [object] My Description = no"), F.concat(F.lit("-- [object] MS_Description = "), "p_name"), F.lit("-- [object] MS_Description = second"),
+        F.lit("-- [column: key] MS_Description = first"), F.concat(F.lit("-- [column: KEY] MS_Description = "), "p_type"), F.lit("-- [column: a[0]] Description = x = y"), F.lit("-- [object] Owner = x"),
+    )
     body = F.concat(F.lit("CREATE TABLE "), "p_brand", F.lit(" (\n  key bigint\n);"))
     text = parse.render(F.lit("S"), F.lit("D"), F.lit("Tables"), F.col("p_name"), body)
     text = F.regexp_replace(text, "\n$", "")
@@ -129,23 +147,30 @@ def parsed(t):
 
 def document_nodes(t):
     d = t("documents")
-    name = F.lower(F.regexp_extract("text", lineage.LEAD + "([A-Za-z]{8,})" + lineage.TRAIL, 1))
+    name = F.lower(F.regexp_extract("text", r"(?U)\b([A-Za-z]{8,})\b", 1))
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("server"), F.col("source").alias("database"), F.lit(None).cast("string").alias("schema"), name.alias("name"), F.col("text").alias("ddl"))
 
 
 def sql_nodes(t):
-    """Tables: nations by region; procedures: suppliers that select from their nation's table by an alias."""
-    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    place = n.select("n_nationkey", F.translate(F.lower("r_name"), " ", "_").alias("rs"), F.translate(F.lower("n_name"), " ", "_").alias("ns"))
-    tables = place.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("id"), F.col("rs").alias("schema"), F.col("ns").alias("name"), F.lit("key bigint").alias("ddl"))
+    """Tables: nations by region; procedures: suppliers that select from their nation's table by an alias, or by three names.
+
+    Servers and databases differ in case, a nation's name is not ASCII, and a fifth of the suppliers reach their table by a foreign key alone.
+    """
+    n = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = n.select("n_nationkey", F.translate(F.lower("r_name"), " ", "_").alias("rs"), F.when(F.col("n_nationkey") == 3, "Größe").otherwise(F.translate(F.lower("n_name"), " ", "_")).alias("ns"))
+    none = F.lit(None).cast("string")
+    tables = place.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("id"), F.col("rs").alias("schema"), F.col("ns").alias("name"), F.lit("key bigint").alias("ddl"), F.lit("S").alias("server"), F.lit("d").alias("database"), none.alias("foreign_keys"))
     sup = t("supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
-    text = F.concat(F.lit("SELECT q.Name, q.[Key], q.Nothing FROM "), "rs", F.lit(".["), "ns", F.lit("] AS q WHERE q.name = 1"))
-    procs = sup.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("dbo").alias("schema"), F.concat(F.lit("sp"), F.col("s_suppkey").cast("string")).alias("name"), text.alias("ddl"))
-    return tables.unionByName(procs).withColumns({"server": F.lit("s"), "database": F.lit("d")})
+    k = F.col("s_suppkey") % 5
+    by_alias = F.concat(F.lit("SELECT q.Name, q.[Key], q.Nothing, q.[Unit Price], [q].[Total] FROM "), "rs", F.lit(".["), "ns", F.lit("] AS q WHERE q.name = 1"))
+    by_three = F.concat(F.lit("SELECT db."), "rs", F.lit("."), "ns", F.lit(", "), "rs", F.lit("."), "ns", F.lit(".Total FROM "), "ns")
+    text = F.when(k == 0, "SELECT 1").when(k == 1, by_three).otherwise(by_alias)
+    procs = sup.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("dbo").alias("schema"), F.concat(F.lit("sp"), F.col("s_suppkey").cast("string")).alias("name"), text.alias("ddl"), F.lit("s").alias("server"), F.lit("D").alias("database"), F.when(k == 0, F.concat(F.lit("REFERENCES ["), "rs", F.lit("].["), "ns", F.lit("] (Key)"))).alias("foreign_keys"))
+    return tables.unionByName(procs)
 
 
 def sql_columns(t):
-    return t("nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("id"), F.explode(F.array(F.lit("name"), F.lit("Key"), F.lit("Total"))).alias("name"))
+    return t("nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("id"), F.explode(F.array(F.lit("name"), F.lit("Key"), F.lit("Total"), F.lit("unit price"))).alias("name"))
 
 
 # -- history ---------------------------------------------------------------------------------------------------------
@@ -166,7 +191,7 @@ def change_counts(t):
     return history.change_counts(touched(t))
 
 
-@query(TOUCHED + " SELECT sha, date, id FROM touched WHERE CAST(id AS BIGINT) % 3 = 0")
+@query(TOUCHED + " SELECT sha, date, id FROM touched WHERE CAST(id AS BIGINT) % 3 = 0 AND id NOT LIKE '%1'")
 def commit_objects(t):
     changes = touched(t).select("sha", "date", F.concat(F.lit("db/"), "id", F.when(F.col("id").endswith("1"), ".SQL").otherwise(".sql")).alias("path"))
     live = t("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("id"))
@@ -223,7 +248,9 @@ def point_in_time(t):
 def gitlog_parse(t):
     head = t("orders").select("o_orderkey", F.lit(0).cast("long").alias("n"), F.concat_ws("@@", F.lit(""), F.lit("COMMIT"), F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority", "o_orderstatus").alias("value"))
     body = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("n")).distinct().select("o_orderkey", "n", F.concat(F.lit("db/"), F.col("n").cast("string"), F.lit(".sql")).alias("value"))
-    lines = head.unionByName(body).select(F.col("o_orderkey").alias("log"), F.col("n").alias("line_no"), "value")
+    noise = t("orders").select("o_orderkey", F.lit(-1).cast("long").alias("n"), F.lit("before any header").alias("value"))
+    body = body.withColumn("value", F.when(F.col("n") % 2 == 0, F.concat(F.lit("  "), "value", F.lit("\t"))).otherwise(F.col("value")))
+    lines = head.unionByName(body).unionByName(noise).select(F.col("o_orderkey").alias("log"), F.col("n").alias("line_no"), "value")
     return history.parse_git_log(lines)
 
 
@@ -244,25 +271,25 @@ def degrees(t):
     return graph.degrees(graph_of(t)[1])
 
 
-@query(walk_sql('SELECT "from" AS src, "to" AS dst FROM edges'))
+@query(walk_sql('SELECT "from" AS src, "to" AS dst FROM edges', "Views"))
 def reachable_out(t):
     nodes, edges = graph_of(t)
-    return graph.reachable(edges, nodes, seeds(nodes))
+    return graph.reachable(edges, nodes, of_type(nodes, "Views"))
 
 
-@query(walk_sql('SELECT "to" AS src, "from" AS dst FROM edges WHERE "from" LIKE \'s%\' OR CAST(substr("from", 2) AS INT) % 2 = 0'))
+@query(walk_sql('SELECT "to" AS src, "from" AS dst FROM edges', "Tables"))
 def reachable_in(t):
     nodes, edges = graph_of(t)
-    return graph.reachable(edges, nodes, seeds(nodes), incoming=True)
+    return graph.reachable(edges, nodes, of_type(nodes, "Tables"), incoming=True)
 
 
 def _neighborhood(radius: int):
-    sql = f"""{GRAPH}, seeds AS (SELECT id FROM nodes WHERE type = 'Tables' AND id LIKE '%1'),
-w AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT w.seed, e."to", w.hop + 1 FROM w JOIN edges e ON e."from" = w.id WHERE w.hop < {radius}) SELECT DISTINCT seed, id FROM w"""
+    sql = f"""{HOME}, w AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS id, 0 AS hop FROM customer
+UNION SELECT w.seed, e.b, w.hop + 1 FROM w JOIN both_ e ON e.a = w.id WHERE w.hop < {radius}) SELECT DISTINCT seed, id FROM w"""
 
     def run(t):
-        nodes, edges = graph_of(t)
-        return graph.neighborhood(edges.filter("`from` like 's%'"), seeds(nodes), radius)
+        roots = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+        return graph.neighborhood(home_graph(t), roots, radius)
 
     run.__name__ = f"neighborhood_{radius}"
     query(sql)(run)
@@ -298,10 +325,10 @@ def used_by(t):
     return graph.used_by(edges, nodes)
 
 
-@query(GRAPH + ' SELECT DISTINCT seed, id FROM (SELECT "from" AS seed, "to" AS id FROM edges UNION ALL SELECT "to", "from" FROM edges UNION ALL SELECT id, id FROM nodes) WHERE seed IN (SELECT id FROM nodes WHERE type = \'Tables\' AND id LIKE \'%1\')')
+@query(GRAPH + ' SELECT DISTINCT seed, id FROM (SELECT "from" AS seed, "to" AS id FROM edges UNION ALL SELECT "to", "from" FROM edges UNION ALL SELECT id, id FROM nodes)')
 def object_neighborhood(t):
     nodes, edges = graph_of(t)
-    return graph.neighborhood(edges, seeds(nodes), 1)
+    return graph.neighborhood(edges, nodes.select("id"), 1)
 
 
 # -- browse ----------------------------------------------------------------------------------------------------------
@@ -311,8 +338,9 @@ TOKENS = {
     "tok_is_not": ([("schema", "is-not", ["STANDARD"])], "lower(coalesce(schema, '')) <> 'standard'"),
     "tok_is_in": ([("server", "is-in", ["s0", "S2"])], "lower(server) IN ('s0', 's2')"),
     "tok_is_not_in": ([("schema", "is-not-in", ["promo", "small"])], "lower(coalesce(schema, '')) NOT IN ('promo', 'small')"),
-    "tok_contains": ([("qualifiedName", "contains", ["A"])], "contains(lower(\"qualifiedName\"), 'a')"),
+    "tok_contains": ([("name", "contains", ["A"])], "contains(lower(\"qualifiedName\"), 'a')"),
     "tok_free_text": ([(None, "contains", ["13"])], "contains(lower(\"qualifiedName\"), '13') OR contains(lower(server), '13') OR contains(lower(database), '13') OR contains(lower(coalesce(schema, '')), '13') OR contains(lower(coalesce(description, '')), '13')"),
+    "tok_free_text_blank": ([(None, "contains", ["", "13"])], "TRUE"),
     "tok_conjunction": ([("server", "is", ["S1"]), ("schema", "is-not", ["x"]), ("type", "is-in", [])], "lower(server) = 's1'"),
 }
 
@@ -345,7 +373,7 @@ for _name, _key, _down in (("explorer_sort_name", "qualifiedName", False), ("exp
 
 @query(NODES + " SELECT DISTINCT database AS value FROM nodes WHERE contains(lower(database), '#1') ORDER BY value LIMIT 50")
 def suggest_values(t):
-    return browse.suggest(part_nodes(t), "database", "#1")
+    return browse.suggest(part_nodes(t), "database", " #1 ")
 
 
 @query(NODES + " SELECT id, type FROM nodes WHERE NOT regexp_matches(type, '(?i)^promo') AND (regexp_matches(type, '(?i)steel$') OR regexp_matches(type, '(?i)an'))")
@@ -379,9 +407,9 @@ def overview_totals(t):
     return browse.totals(part_nodes(t))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size > 25 THEN 'type is ' || p_type ELSE '\"' || p_name || '\"' END AS label FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size > 25 THEN 'Type is not in ' || p_type || ', Views' ELSE p_name END AS label FROM part")
 def describe_token(t):
-    label = F.when(F.col("p_size") > 25, F.concat(F.lit(browse.describe_token("type", "is", [""])), "p_type")).otherwise(F.concat(F.lit('"'), "p_name", F.lit('"')))
+    label = F.when(F.col("p_size") > 25, F.replace(F.lit(browse.describe_token("type", "is-not-in", ["?", "Views"])), F.lit("?"), F.col("p_type"))).otherwise(F.replace(F.lit(browse.describe_token(None, "contains", ["?"])), F.lit("?"), F.col("p_name")))
     return t("part").select(F.col("p_partkey").cast("string").alias("id"), label.alias("label"))
 
 
@@ -393,11 +421,9 @@ def grantee_search(t):
     return access.grantee_search(lineitem_grants(t), "00002")
 
 
-@query(GRANTS + " SELECT * FROM grants WHERE lower(grantee) = (SELECT lower(min(grantee)) FROM grants WHERE grantee LIKE '%7')")
+@query(GRANTS + " SELECT * FROM grants WHERE lower(grantee) = 'supplier#000000007'")
 def grantee_search_exact(t):
-    g = lineitem_grants(t)
-    name = t("supplier").filter("s_name like '%7'").join(t("lineitem").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi").agg(F.min("s_name")).first()[0]
-    return access.grantee_search(g, name.upper(), exact=True)
+    return access.grantee_search(lineitem_grants(t), "SUPPLIER#000000007", exact=True)
 
 
 @query(GRANTS + " SELECT id, count(*) AS n_grants FROM grants WHERE contains(lower(grantee), '1') GROUP BY id")
@@ -407,7 +433,7 @@ def grantee_summary(t):
 
 @query(GRANTS + " SELECT DISTINCT grantee FROM grants WHERE contains(lower(grantee), '3') ORDER BY grantee LIMIT 20")
 def suggest_grantees(t):
-    return access.suggest_grantees(lineitem_grants(t), "3")
+    return access.suggest_grantees(lineitem_grants(t), " 3")
 
 
 @query(GRANTS + " SELECT id, permission || CASE WHEN \"column\" IS NOT NULL THEN '(' || \"column\" || ')' ELSE '' END || CASE WHEN state = 'DENY' THEN ' [DENY]' ELSE '' END AS tag FROM grants")
@@ -415,7 +441,7 @@ def grant_tags(t):
     return lineitem_grants(t).select("id", access.tag().alias("tag"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS permission, NULL AS \"column\" FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_returnflag, CAST(l_linenumber AS VARCHAR) FROM lineitem")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS permission, NULL AS \"column\", 'GRANT' AS state, CAST(NULL AS VARCHAR) AS \"granteeType\" FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_returnflag, CAST(l_linenumber AS VARCHAR), 'GRANT', NULL FROM lineitem")
 def grants_union(t):
     a = t("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("permission"))
     return access.union_grants(a, t("lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("permission"), F.col("l_linenumber").cast("string").alias("column")))
@@ -436,9 +462,9 @@ def left_join_residual(t):
     return _left_join(t)
 
 
-@query(LEFT_JOIN.replace("l_returnflag <> 'R'", "l_returnflag <> 'R' AND l_partkey % 10 = 1"))
+@query(LEFT_JOIN.replace("SELECT ", "SELECT CASE WHEN p_name IS NULL THEN 'object' ELSE 'column' END AS level, ", 1))
 def object_grants(t):
-    return _left_join(t)
+    return _left_join(t).withColumn("level", F.when(F.col("column").isNull(), "object").otherwise("column"))
 
 
 @query(GRAPH + ' SELECT "from", "to" FROM edges WHERE "from" IN (SELECT id FROM nodes WHERE name LIKE \'%1%\') AND "to" IN (SELECT id FROM nodes WHERE name LIKE \'%1%\')')

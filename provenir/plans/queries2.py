@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenir.functions import scalar
-from provenir.operators import extract, lineage, metrics, parse
-from provenir.plans.queries import NODES, SERIES, document_nodes, event_series, object_text, parsed, part_nodes, query, sql_columns, sql_nodes
+from provenir.operators import catalog, extract, history, lineage, metrics, parse
+from provenir.plans.queries import NODES, SERIES, commits, document_nodes, event_series, object_text, parsed, part_nodes, query, sql_columns, sql_nodes, touched
 
 # -- parsing ---------------------------------------------------------------------------------------------------------
 
@@ -20,38 +20,63 @@ def render_object_file(t):
     return t("part").select(F.col("p_partkey").cast("string").alias("id"), parse.render(F.lit("S"), F.lit("D"), F.lit("Tables"), F.col("p_name"), body).alias("text"))
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, {HEAD} || CASE WHEN p_size > 25 THEN {SECTION.format('Indexes')} 'CREATE INDEX i' || p_size ELSE '' END || {SECTION.format('Columns')} '-- [col] key|bigint' || chr(10) || '-- [col] ' || p_brand || '|varchar|' || p_size || CASE WHEN p_size % 2 = 0 THEN {SECTION.format('Grants')} '-- [grant] SELECT|GRANT|' || p_brand || '||' || chr(10) || '-- [grant] UPDATE|DENY|' || p_type || '|ROLE|key' ELSE '' END || {SECTION.format('Extended Properties')} '-- [object] MS_Description = ' || p_name || chr(10) || '-- [object] MS_Description = second' || chr(10) || '-- [column: key] MS_Description = first' || chr(10) || '-- [column: key] MS_Description = ' || p_type || chr(10) || '-- [object] Owner = x' AS text FROM part")
+NL = " || chr(10) || "
+FILE = (
+    f"SELECT CAST(p_partkey AS VARCHAR) AS id, {HEAD} || CASE WHEN p_size > 25 THEN {SECTION.format('Indexes')} 'CREATE INDEX i' || p_size ELSE '' END || {SECTION.format('Columns')} "
+    + NL.join(("'-- [col] Key|bigint'", "'-- [col] ' || p_brand || '|varchar|' || p_size", "'-- [col] a[0]|'", "'-- [col] |int'"))
+    + f" || CASE WHEN p_size % 2 = 0 THEN {SECTION.format('Grants')} '-- [grant] SELECT|GRANT|' || p_brand || '||'{NL}'-- [grant] UPDATE|DENY|' || p_type || '|ROLE|key' ELSE '' END || {SECTION.format('Extended Properties')} "
+    + NL.join(
+        (
+            "'-- [object] MS_Description = '", "'-- [object] My Description = no'", "'-- [object] MS_Description = ' || p_name", "'-- [object] MS_Description = second'",
+            "'-- [column: key] MS_Description = first'", "'-- [column: KEY] MS_Description = ' || p_type", "'-- [column: a[0]] Description = x = y'", "'-- [object] Owner = x'",
+        )
+    )
+    + " AS text FROM part"
+)
+# Lines of the file, each with its section and its place in it; i counts from 1
+PARSED = f"""WITH f AS ({FILE}),
+l AS (SELECT id, line, i, nullif(regexp_extract(line, '^-- === (.+) ===$', 1), '') AS mark FROM (SELECT id, string_split(text, chr(10)) AS a FROM f), unnest(a) WITH ORDINALITY AS u(line, i)),
+s AS (SELECT id, line, i, mark, last_value(mark IGNORE NULLS) OVER w AS title, max(CASE WHEN mark IS NOT NULL THEN i END) OVER w AS start, bool_or(NOT starts_with(line, '-- ')) OVER w AS body FROM l WINDOW w AS (PARTITION BY id ORDER BY i)),
+c AS (SELECT id, i - start - 1 AS ordinal, regexp_extract(line, '^-- \\[col\\] ([^|]*)\\|(.*)$', 1) AS name, regexp_extract(line, '^-- \\[col\\] ([^|]*)\\|(.*)$', 2) AS "dataType" FROM s WHERE title = 'Columns' AND mark IS NULL AND regexp_matches(line, '^-- \\[col\\] ([^|]*)\\|')),
+p AS (SELECT id, i - start - 1 AS ordinal, nullif(regexp_extract(line, '^-- \\[column: (.+?)\\] (\\S+) = (.*)$', 1), '') AS col, regexp_extract(line, '^-- \\[(?:object|column: .+?)\\] (\\S+) = (.*)$', 1) AS property, regexp_extract(line, '^-- \\[(?:object|column: .+?)\\] (\\S+) = (.*)$', 2) AS d FROM s WHERE title = 'Extended Properties' AND mark IS NULL),
+d AS (SELECT id, arg_min(col, ordinal) AS "column", CASE WHEN lower(col) IS NULL THEN coalesce(arg_min(d, ordinal) FILTER (WHERE d <> ''), '') ELSE arg_max(d, ordinal) END AS description, min(ordinal) AS ordinal FROM p WHERE contains(lower(property), 'description') GROUP BY id, lower(col))"""
+
+
+@query(FILE)
 def append_sections(t):
     return object_text(t)
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'CREATE TABLE ' || p_brand || ' (' || chr(10) || '  key bigint' || chr(10) || ');' AS ddl, CASE WHEN p_size > 25 THEN 'Indexes,' ELSE '' END || 'Columns' || CASE WHEN p_size % 2 = 0 THEN ',Grants' ELSE '' END || ',Extended Properties' AS titles FROM part")
+@query(PARSED + " SELECT id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE title IS NULL AND body AND line <> '') AS ddl, string_agg(mark, ',' ORDER BY i) AS titles FROM s GROUP BY id")
 def section_split(t):
     return parsed(t).select("id", "ddl", F.array_join(F.transform("sections", lambda s: s["title"]), ",").alias("titles"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(0 AS BIGINT) AS ordinal, 'key' AS name, 'bigint' AS \"dataType\" FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 1, p_brand, 'varchar|' || p_size FROM part")
+@query(PARSED + " SELECT * FROM c")
 def parse_columns(t):
     return parse.columns(parsed(t))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'SELECT' AS permission, 'GRANT' AS state, p_brand AS grantee, NULL AS \"granteeType\", NULL AS \"column\" FROM part WHERE p_size % 2 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'UPDATE', 'DENY', p_type, 'ROLE', 'key' FROM part WHERE p_size % 2 = 0")
+GRANT = r"'^-- \[grant\] ([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$'"
+
+
+@query(PARSED + f" SELECT id, regexp_extract(line, {GRANT}, 1) AS permission, regexp_extract(line, {GRANT}, 2) AS state, regexp_extract(line, {GRANT}, 3) AS grantee, nullif(regexp_extract(line, {GRANT}, 4), '') AS \"granteeType\", nullif(regexp_extract(line, {GRANT}, 5), '') AS \"column\" FROM s WHERE title = 'Grants' AND mark IS NULL AND regexp_matches(line, {GRANT})")
 def parse_grants(t):
     return parse.grants(parsed(t))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, NULL AS \"column\", p_name AS description FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'key', p_type FROM part")
+@query(PARSED + " SELECT * FROM d")
 def parse_extended_props(t):
     return parse.properties(parsed(t))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'key' AS name, 'bigint' AS \"dataType\", p_type AS description FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'varchar|' || p_size, NULL FROM part")
+@query(PARSED + ' SELECT c.*, d.description FROM c LEFT JOIN d ON c.id = d.id AND lower(c.name) = lower(d."column") UNION ALL SELECT d.id, d.ordinal, d."column", NULL, d.description FROM d WHERE "column" IS NOT NULL AND id NOT IN (SELECT id FROM c)')
 def merge_columns(t):
     p = parsed(t)
     return parse.merge_columns(parse.columns(p), parse.properties(p))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'Indexes' AS title, 'CREATE INDEX i' || p_size AS content FROM part WHERE p_size > 25")
+@query(PARSED + " SELECT id, title, string_agg(line, chr(10) ORDER BY i) AS content FROM s WHERE title NOT IN ('Extended Properties', 'Columns', 'Grants') AND mark IS NULL AND line <> '' GROUP BY id, title")
 def parse_other_sections(t):
     return parse.other_sections(parsed(t))
 
@@ -78,19 +103,33 @@ def node_build(t):
 
 # -- lineage ---------------------------------------------------------------------------------------------------------
 
-BARE = r"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS server, source AS database, lower(regexp_extract(text, '\b([A-Za-z]{8,})\b', 1)) AS name, text FROM documents),
-k AS (SELECT DISTINCT id, server, database, unnest(regexp_extract_all(lower(text), '\b([A-Za-z_][\w$#]{3,})\b', 1)) AS token FROM n),
-d AS (SELECT server, database, name AS token, min(id) AS db_id FROM n GROUP BY ALL HAVING count(*) = 1), s AS (SELECT server, name AS token, min(id) AS server_id FROM n GROUP BY ALL HAVING count(*) = 1)"""
-
-
-@query(BARE + ' SELECT DISTINCT id AS "from", coalesce(db_id, server_id) AS "to" FROM k LEFT JOIN d USING (server, database, token) LEFT JOIN s USING (server, token) WHERE coalesce(db_id, server_id) <> id')
+# Letters, digits and underscores of Unicode, as a class
+W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+DOCUMENTS = rf"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS server, source AS database, CAST(NULL AS VARCHAR) AS schema, lower(regexp_extract(text, '(?:^|[^{W}])([A-Za-z]{{8,}})(?:$|[^{W}])', 1)) AS name, text AS scan FROM documents)"""
+BARE = rf"""r AS (SELECT DISTINCT id, lower(server) AS server, lower(database) AS database, unnest(regexp_extract_all(scan, '[{W}$#]+')) AS run FROM n),
+k AS (SELECT DISTINCT id, server, database, lower(regexp_extract(run, '(?:^|[$#])([A-Za-z_][{W}$#]{{2,}}[{W}])', 1)) AS token FROM r),
+d AS (SELECT lower(server) AS server, lower(database) AS database, lower(name) AS token, min(id) AS db_id FROM n GROUP BY 1, 2, 3 HAVING count(*) = 1), s AS (SELECT lower(server) AS server, lower(name) AS token, min(id) AS server_id FROM n GROUP BY 1, 2 HAVING count(*) = 1),
+bare AS (SELECT DISTINCT id AS "from", coalesce(db_id, server_id) AS "to" FROM k LEFT JOIN d USING (server, database, token) LEFT JOIN s USING (server, token) WHERE token <> '' AND coalesce(db_id, server_id) <> id)"""
+NAME = rf"\[?([A-Za-z_][{W}$#]*)\]?\.\[?([A-Za-z_][{W}$#]*)\]?"
+QUALIFIED = f"""q AS (SELECT id, lower(server) AS server, lower(database) AS database, lower(unnest(regexp_extract_all(scan, '{NAME}', 1))) AS s, lower(unnest(regexp_extract_all(scan, '{NAME}', 2))) AS nm FROM n),
+x AS (SELECT lower(server) AS server, lower(database) AS database, lower(schema) AS s, lower(name) AS nm, max(id) AS "to" FROM n WHERE schema IS NOT NULL GROUP BY 1, 2, 3, 4),
+qualified AS (SELECT DISTINCT id AS "from", "to" FROM q JOIN x USING (server, database, s, nm) WHERE id <> "to")"""
+PROCEDURES = """WITH pl AS (SELECT n_nationkey AS k, translate(lower(r_name), ' ', '_') AS rs, CASE WHEN n_nationkey = 3 THEN 'Größe' ELSE translate(lower(n_name), ' ', '_') END AS ns FROM nation JOIN region ON n_regionkey = r_regionkey),
+n0 AS (SELECT 't' || k AS id, 'S' AS server, 'd' AS database, rs AS schema, ns AS name, 'key bigint' AS ddl, NULL AS fk FROM pl UNION ALL
+SELECT 'p' || s_suppkey, 's', 'D', 'dbo', 'sp' || s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'SELECT 1' WHEN 1 THEN 'SELECT db.' || rs || '.' || ns || ', ' || rs || '.' || ns || '.Total FROM ' || ns
+ELSE 'SELECT q.Name, q.[Key], q.Nothing, q.[Unit Price], [q].[Total] FROM ' || rs || '.[' || ns || '] AS q WHERE q.name = 1' END, CASE WHEN s_suppkey % 5 = 0 THEN 'REFERENCES [' || rs || '].[' || ns || '] (Key)' END FROM supplier JOIN pl ON k = s_nationkey),
+n AS (SELECT *, concat_ws(chr(10), ddl, fk) AS scan FROM n0)"""
+EDGES = 'e AS (SELECT "from", "to" FROM qualified UNION SELECT "from", "to" FROM bare)'
+
+
+@query(f'{DOCUMENTS}, {BARE} SELECT "from", "to" FROM bare')
 def lineage_bare(t):
     return lineage.bare_edges(document_nodes(t))
 
 
-@query(BARE + ' SELECT DISTINCT id AS "from", coalesce(db_id, server_id) AS "to" FROM k LEFT JOIN d USING (server, database, token) LEFT JOIN s USING (server, token) WHERE coalesce(db_id, server_id) <> id')
+@query(f'{DOCUMENTS}, {BARE}, {QUALIFIED}, {EDGES}, n2 AS (SELECT 1) SELECT "from", "to" FROM e UNION ALL SELECT "from", "to" FROM ({PROCEDURES}, {BARE}, {QUALIFIED}, {EDGES} SELECT "from", "to" FROM e)')
 def lineage_edges(t):
-    return lineage.edges(document_nodes(t))
+    return lineage.edges(document_nodes(t)).unionByName(lineage.edges(sql_nodes(t)))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, concat_ws(chr(10), text, nullif(source, 'src1')) AS text FROM documents")
@@ -98,24 +137,33 @@ def lineage_scan_text(t):
     return t("documents").select(F.col("doc_id").cast("string").alias("id"), lineage.scan_text(F.col("text"), F.nullif(F.col("source"), F.lit("src1"))).alias("text"))
 
 
-SUPPLIERS = "SELECT 'p' || s_suppkey AS \"from\", 't' || s_nationkey AS \"to\""
-
-
-@query(SUPPLIERS + " FROM supplier")
+@query(f'{PROCEDURES}, {QUALIFIED} SELECT "from", "to" FROM qualified')
 def lineage_qualified(t):
     return lineage.qualified_edges(sql_nodes(t))
 
 
-@query(SUPPLIERS + ", 'q' AS alias FROM supplier UNION ALL " + SUPPLIERS + ", translate(lower(n_name), ' ', '_') FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+# Per edge, the pattern of the target's name and what follows it
+ALIASES = rf"""{PROCEDURES}, {BARE}, {QUALIFIED}, {EDGES},
+a0 AS (SELECT "from", "to", f.ddl, lower(g.name) AS own, list_append(list_transform(regexp_extract_all(f.ddl, '(?i)' || CASE WHEN g.schema IS NULL THEN '' ELSE '(?:\[?' || regexp_escape(g.schema) || '\]?\.)?' END || '\[?' || regexp_escape(g.name) || '\]?\s+(?:AS\s+)?\[?([A-Za-z_][{W}$#]*)\]?', 1), lambda y: lower(y)), lower(g.name)) AS names FROM e JOIN n f ON f.id = "from" JOIN n g ON g.id = "to"),
+a AS (SELECT DISTINCT "from", "to", ddl, own, unnest(names) AS alias FROM a0),
+aliases AS (SELECT "from", "to", ddl, alias FROM a WHERE alias = own OR upper(alias) NOT IN ({", ".join(f"'{w}'" for w in lineage.STOP)}))"""
+
+
+@query(ALIASES + ' SELECT "from", "to", alias FROM aliases')
 def lineage_aliases(t):
     n = sql_nodes(t)
-    return lineage.aliases(lineage.qualified_edges(n), n)
+    return lineage.aliases(lineage.edges(n), n)
 
 
-@query(SUPPLIERS + ", 'Key,Name' AS columns FROM supplier")
+@query(
+    ALIASES
+    + rf""", c AS (SELECT 't' || n_nationkey AS "to", unnest(['name', 'Key', 'Total', 'unit price']) AS col FROM nation),
+h AS (SELECT "from", "to", col, max(regexp_extract(ddl, '(?i)(?:^|[^{W}])' || regexp_escape(alias) || '\.\[?(' || regexp_escape(col) || ')(?:\]|$|[^{W}])', 1)) AS spelled FROM aliases JOIN c USING ("to") GROUP BY 1, 2, 3)
+SELECT e."from", e."to", coalesce(string_agg(spelled, ',' ORDER BY spelled) FILTER (WHERE spelled <> ''), '') AS columns FROM e LEFT JOIN h USING ("from", "to") GROUP BY 1, 2"""
+)
 def lineage_columns(t):
     n = sql_nodes(t)
-    return lineage.column_refs(lineage.qualified_edges(n), n, sql_columns(t)).withColumn("columns", F.array_join("columns", ","))
+    return lineage.column_refs(lineage.edges(n), n, sql_columns(t)).withColumn("columns", F.array_join("columns", ","))
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE WHEN count(*) <= 3 THEN string_agg(c, ', ' ORDER BY c) ELSE list_aggregate(list_sort(list(c))[1:3], 'string_agg', ', ') || ', +' || (count(*) - 3) || ' (click)' END AS label FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) AS c FROM lineitem) GROUP BY l_orderkey")
@@ -156,10 +204,10 @@ def distinct_owners(t):
     return t("customer").select(F.col("c_mktsegment").alias("owner")).distinct().orderBy("owner")
 
 
-@query("SELECT c_mktsegment AS owner, CAST(c_nationkey AS VARCHAR) AS type, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal >= 0")
+@query("SELECT c_mktsegment AS owner, CAST(c_nationkey AS VARCHAR) AS type, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal >= 0 AND c_acctbal < 9000")
 def owner_objects(t):
-    rows = t("customer").select(F.col("c_mktsegment").alias("owner"), F.col("c_nationkey").cast("string").alias("type"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") < 0, "Y").otherwise("N").alias("generated"))
-    return extract.owner_objects(rows, "BUILDING", "3").drop("generated")
+    rows = t("customer").select(F.col("c_mktsegment").alias("owner"), F.col("c_nationkey").cast("string").alias("type"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") < 0, "Y").otherwise("N").alias("generated"), F.when(F.col("c_acctbal") >= 9000, "Y").otherwise("N").alias("temporary"))
+    return extract.owner_objects(rows, "BUILDING", "3").drop("generated", "temporary")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS type FROM orders WHERE o_orderstatus IN ('F', 'P')")
@@ -177,52 +225,90 @@ def type_suffix(t):
     return t("part").select(F.col("p_partkey").cast("string").alias("id"), extract.type_suffix(kind, length, F.col("p_size"), F.lit(2)).alias("suffix"))
 
 
-@query("SELECT r_name AS schema, 'T' || n_regionkey AS \"table\", 'CREATE TABLE [' || r_name || '].[T' || n_regionkey || '] (' || chr(10) || string_agg('    [' || n_name || '] VARCHAR(' || (n_nationkey + 1) || ')' || CASE WHEN n_nationkey % 2 = 0 THEN ' NULL' ELSE ' NOT NULL' END || CASE WHEN n_nationkey % 3 = 0 THEN ' DEFAULT 0' ELSE '' END, ',' || chr(10) ORDER BY n_nationkey) || chr(10) || ');' AS ddl FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_regionkey")
+@query("""WITH c AS (SELECT n_regionkey AS o, n_nationkey AS i, '    [' || replace(n_name || CASE WHEN n_nationkey % 5 = 0 THEN ']' ELSE '' END, ']', ']]') || '] ' || CASE n_nationkey % 3 WHEN 0 THEN 'INT' WHEN 1 THEN 'NVARCHAR(' || (n_nationkey // 2) || ')' ELSE 'DECIMAL(9,2)' END
+|| CASE WHEN n_nationkey % 6 = 0 THEN ' IDENTITY(' || CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey ELSE 1 END || ',1)' ELSE '' END || CASE WHEN n_nationkey % 2 = 0 THEN ' NULL' ELSE ' NOT NULL' END || CASE WHEN n_nationkey % 7 = 0 THEN ' DEFAULT ((' || n_nationkey || '))' ELSE '' END AS line FROM nation),
+k AS (SELECT n_regionkey AS o, string_agg('[' || n_name || ']' || CASE WHEN n_nationkey % 2 = 0 THEN ' DESC' ELSE ' ASC' END, ', ' ORDER BY n_nationkey DESC) AS parts FROM nation WHERE n_nationkey < 10 AND n_regionkey <> 4 GROUP BY 1)
+SELECT r_name AS schema, 'T' || r_regionkey AS "table", 'CREATE TABLE [' || r_name || '].[T' || r_regionkey || '] (' || chr(10) || chr(13) || chr(10) || string_agg(line, ',' || chr(13) || chr(10) ORDER BY i) || coalesce(',' || chr(10) || '  CONSTRAINT [PK_T' || r_regionkey || '] PRIMARY KEY (' || any_value(parts) || ')', '') || chr(10) || ');' AS ddl FROM region JOIN c ON c.o = r_regionkey LEFT JOIN k ON k.o = r_regionkey GROUP BY r_name, r_regionkey""")
 def table_ddl(t):
-    rows = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    n = F.col("n_nationkey")
-    rows = rows.select(F.col("r_name").alias("schema"), F.concat(F.lit("T"), F.col("n_regionkey").cast("string")).alias("table"), n.alias("ordinal"), F.col("n_name").alias("column"), F.lit("varchar").alias("type"), extract.type_suffix(F.lit("varchar"), n + 1, n, n).alias("suffix"), (n % 2 == 0).alias("nullable"), F.when(n % 3 == 0, "0").alias("default"))
-    return extract.table_ddl(rows)
-
-
-@query("SELECT 'fk_' || r_regionkey AS \"constraint\", 'ALTER TABLE nation ADD CONSTRAINT fk_' || r_regionkey || ' FOREIGN KEY (' || string_agg(n_name, ', ' ORDER BY n_nationkey) || ') REFERENCES ' || r_name || ' (' || string_agg('c' || n_nationkey, ', ' ORDER BY n_nationkey) || ');' AS ddl FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+    n, r = F.col("n_nationkey"), t("region")
+    tables = r.select(F.col("r_regionkey").alias("object_id"), F.col("r_name").alias("schema"), F.concat(F.lit("T"), F.col("r_regionkey").cast("string")).alias("name"))
+    name = F.concat("n_name", F.when(n % 5 == 0, "]").otherwise(""))
+    columns = t("nation").select(F.col("n_regionkey").alias("object_id"), n.alias("column_id"), name.alias("name"), (n % 3).alias("user_type_id"), n.alias("max_length"), F.lit(9).alias("precision"), F.lit(2).alias("scale"), (n % 2 == 0).alias("is_nullable"), (n % 6 == 0).alias("is_identity"))
+    types = t("region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("user_type_id"), F.get(F.array(F.lit("int"), F.lit("nvarchar"), F.lit("decimal")), F.col("r_regionkey")).alias("name"))
+    own = t("nation").select(F.col("n_regionkey").alias("object_id"), n.alias("column_id"), "n_name")
+    identities = own.filter("column_id % 4 = 0").select("object_id", "column_id", F.col("column_id").alias("seed_value"), F.lit(1).alias("increment_value"))
+    defaults = own.filter("column_id % 7 = 0").select("object_id", "column_id", F.concat(F.lit("(("), F.col("column_id").cast("string"), F.lit("))")).alias("definition"))
+    keys = own.filter("column_id < 10 and object_id <> 4").select("object_id", F.concat(F.lit("PK_T"), F.col("object_id").cast("string")).alias("constraint"), (-F.col("column_id")).alias("key_ordinal"), F.col("n_name").alias("column"), (F.col("column_id") % 2 == 0).alias("descending"))
+    return extract.table_ddl(tables, columns, types, identities, defaults, keys)
+
+
+@query("SELECT 'dbo' AS schema, 'nation' AS \"table\", 'fk_' || r_regionkey AS \"constraint\", 'ALTER TABLE [dbo].[nation] ADD CONSTRAINT [fk_' || r_regionkey || '] FOREIGN KEY (' || string_agg('[' || n_name || ']', ', ' ORDER BY n_nationkey) || ') REFERENCES [' || r_name || '].[r]]' || r_regionkey || '] (' || string_agg('[c' || n_nationkey || ']', ', ' ORDER BY n_nationkey) || ');' AS ddl FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
 def fk_ddl(t):
     rows = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return extract.fk_ddl(rows.select(F.lit("nation").alias("table"), F.concat(F.lit("fk_"), F.col("r_regionkey").cast("string")).alias("constraint"), F.col("r_name").alias("target"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("column"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("target_column")))
+    key = F.col("r_regionkey").cast("string")
+    return extract.fk_ddl(rows.select(F.lit("dbo").alias("schema"), F.lit("nation").alias("table"), F.concat(F.lit("fk_"), key).alias("constraint"), F.col("r_name").alias("target_schema"), F.concat(F.lit("r]"), key).alias("target"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("column"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("target_column")))
 
 
-@query("SELECT 'ck' || p_partkey AS name, 'ALTER TABLE ' || p_brand || ' ADD CONSTRAINT ck' || p_partkey || ' CHECK (size > ' || p_size || ');' AS ddl FROM part")
+@query("SELECT p_type AS schema, p_brand AS \"table\", 'ck' || p_partkey AS name, 'ALTER TABLE [' || p_type || '].[' || p_brand || '] ADD CONSTRAINT [ck' || p_partkey || '] CHECK (size > ' || p_size || ');' AS ddl FROM part")
 def check_ddl(t):
-    return extract.check_ddl(t("part").select(F.col("p_brand").alias("table"), F.concat(F.lit("ck"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("(size > "), F.col("p_size").cast("string"), F.lit(")")).alias("definition")))
+    return extract.check_ddl(t("part").select(F.col("p_type").alias("schema"), F.col("p_brand").alias("table"), F.concat(F.lit("ck"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("(size > "), F.col("p_size").cast("string"), F.lit(")")).alias("definition")))
 
 
-@query("SELECT s_name AS name, 'CREATE SYNONYM ' || s_name || ' FOR n' || s_nationkey || ';' AS ddl FROM supplier")
+@query("SELECT 'dbo' AS schema, s_name AS name, 'CREATE SYNONYM [dbo].[' || s_name || '] FOR n' || s_nationkey || ';' AS ddl FROM supplier")
 def synonym_ddl(t):
-    return extract.synonym_ddl(t("supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("base")))
+    return extract.synonym_ddl(t("supplier").select(F.lit("dbo").alias("schema"), F.col("s_name").alias("name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("base")))
+
+
+@query("SELECT n_name AS schema, 'CREATE SCHEMA [' || n_name || '];' AS ddl FROM nation UNION ALL SELECT r_name, CASE WHEN r_regionkey % 2 = 0 THEN 'CREATE USER ' || r_name ELSE '-- Oracle schema/user: ' || r_name END FROM region")
+def schema_ddl(t):
+    users = t("region").select(F.col("r_name").alias("schema"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("CREATE USER "), "r_name")).alias("user_ddl"))
+    return extract.schema_ddl(t("nation").select(F.col("n_name").alias("schema"))).unionByName(extract.schema_ddl(users))
 
 
-@query("WITH c AS (SELECT DISTINCT l_orderkey AS o, 'c' || l_linenumber AS c, l_linenumber AS i, l_linenumber > 2 AS inc FROM lineitem) SELECT 'i' || o AS name, CASE WHEN o % 5 = 0 THEN '-- XML index i' || o || ' is not scripted' ELSE 'CREATE NONCLUSTERED INDEX i' || o || ' ON t (' || coalesce(string_agg(c, ', ' ORDER BY i) FILTER (WHERE NOT inc), '') || ')' || coalesce(' INCLUDE (' || string_agg(c, ', ' ORDER BY i) FILTER (WHERE inc) || ')', '') || ';' END AS ddl FROM c GROUP BY o")
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS i, '[c' || l_linenumber || ']' AS c, l_linenumber > 2 AS inc FROM lineitem)
+SELECT 'dbo' AS schema, 't' AS "table", 'i' || o AS name, CASE WHEN o % 5 = 0 THEN '-- Index [i' || o || '] (XML) - see sys.indexes for full definition' ELSE 'CREATE ' || CASE WHEN o % 2 = 0 THEN 'UNIQUE ' ELSE '' END || 'NONCLUSTERED INDEX [i' || o || '] ON [dbo].[t] (' || coalesce(string_agg(c || CASE WHEN i = 2 THEN ' DESC' ELSE ' ASC' END, ', ' ORDER BY i DESC) FILTER (WHERE NOT inc), '') || ')' || coalesce(' INCLUDE (' || string_agg(c, ', ' ORDER BY i) FILTER (WHERE inc) || ')', '') || ';' END AS ddl FROM c WHERE o % 7 NOT IN (1, 2) GROUP BY o""")
 def index_ddl(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
-    kind = F.when(F.col("l_orderkey") % 5 == 0, "XML").otherwise("NONCLUSTERED")
-    return extract.index_ddl(rows.select(F.lit("t").alias("table"), F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("name"), kind.alias("kind"), F.col("l_linenumber").alias("ordinal"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("column"), (F.col("l_linenumber") > 2).alias("included")))
+    o, i = F.col("l_orderkey"), F.col("l_linenumber")
+    return extract.index_ddl(rows.select(F.lit("dbo").alias("schema"), F.lit("t").alias("table"), F.concat(F.lit("i"), o.cast("string")).alias("name"), F.lit(2).alias("index_id"), (o % 2 == 0).alias("is_unique"), (o % 7 == 1).alias("is_primary_key"), (o % 7 == 2).alias("is_unique_constraint"), F.when(o % 5 == 0, "XML").otherwise("NONCLUSTERED").alias("kind"), (-i).alias("key_ordinal"), i.alias("index_column_id"), F.concat(F.lit("c"), i.cast("string")).alias("column"), (i == 2).alias("descending"), (i > 2).alias("included")))
 
 
-@query("SELECT n_name AS server, '-- server ' || n_name || ' p' || n_regionkey || coalesce(chr(10) || string_agg('-- login ' || s_name, chr(10) ORDER BY s_name), '') AS script FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 GROUP BY n_name, n_regionkey")
+@query(f"""WITH l AS (SELECT n_nationkey AS k, string_agg('{extract.LOGIN_NOTE}' || chr(10) || 'EXEC sp_addlinkedsrvlogin @rmtsrvname = N''' || n_name || ''', @useself = N''' || CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END || ''', @rmtuser = N''' || s_name || ''', @rmtpassword = N''########'';', chr(10) ORDER BY s_name) AS t FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 GROUP BY 1)
+SELECT n_name AS server, 'EXEC sp_addlinkedserver' || chr(10) || '    @server = N''' || n_name || ''',' || chr(10) || '    @srvproduct = N''p' || n_regionkey || ''',' || chr(10) || '    @provider = N''SQLNCLI'',' || chr(10) || '    @datasrc = N''' || CASE WHEN n_regionkey = 1 THEN '' ELSE 'host' END || ''',' || chr(10) || '    @provstr = N'''',' || chr(10) || '    @catalog = N'''';' || chr(10) || 'GO' || coalesce(chr(10) || t, '') AS script FROM nation LEFT JOIN l ON k = n_nationkey""")
 def linked_server_script(t):
-    servers = t("nation").select(F.col("n_name").alias("server"), F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("product"), "n_nationkey")
-    logins = t("supplier").join(F.broadcast(servers), F.col("s_nationkey") == F.col("n_nationkey")).select("server", (F.col("s_suppkey") % 3).alias("principal"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).otherwise(" ").alias("remote"))
+    none = F.lit(None).cast("string")
+    servers = t("nation").select(F.col("n_name").alias("server"), F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("product"), F.lit("SQLNCLI").alias("provider"), F.when(F.col("n_regionkey") != 1, "host").alias("data_source"), none.alias("provider_string"), none.alias("catalog"), "n_nationkey")
+    logins = t("supplier").join(F.broadcast(servers), F.col("s_nationkey") == F.col("n_nationkey")).select("server", (F.col("s_suppkey") % 3).alias("principal"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).otherwise(" ").alias("remote"), (F.col("s_suppkey") % 2 == 0).alias("self"))
     return extract.linked_servers(servers.drop("n_nationkey"), logins)
 
 
-@query("SELECT r_name AS publication, '-- publication ' || r_name || CASE WHEN r_regionkey % 2 = 0 THEN chr(10) || 'd' || r_regionkey ELSE '' END || chr(10) || coalesce(string_agg('-- * ' || n_name, chr(10) ORDER BY n_name), '(none)') AS script FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_regionkey <> 4 GROUP BY r_name, r_regionkey")
+@query("SELECT r_name AS publication, '-- Publication: ' || r_name || CASE WHEN r_regionkey % 2 = 0 THEN chr(10) || '-- Description: d' || r_regionkey ELSE '' END || chr(10) || '-- Articles (replicated objects):' || chr(10) || coalesce(string_agg('--   - ' || n_name, chr(10) ORDER BY n_name), '--   (none)') || chr(10) || '-- Subscribers are not enumerated - see Replication Monitor for current subscription state.' AS script FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_regionkey <> 4 GROUP BY r_name, r_regionkey")
 def replication_script(t):
     r = t("region")
-    publications = r.select(F.col("r_name").alias("publication"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("d"), F.col("r_regionkey").cast("string"))).otherwise("").alias("description"))
+    publications = r.select(F.col("r_name").alias("publication"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("d"), F.col("r_regionkey").cast("string"))).otherwise(" ").alias("description"))
     articles = t("nation").filter("n_regionkey <> 4").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("publication"), F.col("n_name").alias("article"))
     return extract.replication(publications, articles)
 
 
+@query("SELECT r_name AS server, count(n_nationkey) AS files, r_regionkey IN (2, 4) AS failed FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_regionkey <> 4 GROUP BY r_name, r_regionkey")
+def run_summary(t):
+    r = t("region")
+    files = t("nation").filter("n_regionkey <> 4").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("server"))
+    return extract.run_summary(files, r.filter("r_regionkey in (2, 4)").select(F.col("r_name").alias("server")))
+
+
+@query("SELECT p_type AS schema, CAST(p_partkey AS VARCHAR) AS name, CASE p_size % 3 WHEN 0 THEN 'Tables' WHEN 1 THEN 'Views' ELSE 'Synonyms' END AS type, 'body' || CASE WHEN p_size % 3 = 0 THEN chr(10) || chr(10) || '-- === Indexes ===' || chr(10) || 'b' || chr(10) || 'a' ELSE '' END || CASE WHEN p_size % 3 < 2 THEN chr(10) || chr(10) || '-- === Columns ===' || chr(10) || '-- [col] x|' ELSE '' END || chr(10) || chr(10) || '-- === Grants ===' || chr(10) || '-- [grant] SELECT|GRANT|' || p_brand || '||' AS definition FROM part")
+def section_order(t):
+    p = t("part")
+    kind = F.get(F.array(F.lit("Tables"), F.lit("Views"), F.lit("Synonyms")), F.col("p_size") % 3)
+    name = F.col("p_partkey").cast("string")
+    objects = p.select(F.col("p_type").alias("schema"), name.alias("name"), kind.alias("type"), F.lit("body").alias("definition"))
+    line = lambda title, n, text: F.struct(F.lit(title).alias("title"), F.lit(n).alias("ordinal"), text.alias("line"))
+    none = F.lit(None).cast("string")
+    rows = F.array(line("Grants", 1, parse.grant_line(F.lit("SELECT"), F.lit("GRANT"), F.col("p_brand"), none, none)), line("Columns", 1, parse.col_line(F.lit("x"), none)), line("Indexes", 2, F.lit("a")), line("Indexes", 1, F.lit("b")), line("Notes", 1, F.lit("never")))
+    return parse.with_sections(objects, p.select(F.lower("p_type").alias("schema"), name.alias("name"), F.inline(rows)))
+
+
 @query("SELECT l_orderkey AS id, string_agg(c, ', ' ORDER BY n, c) AS parts FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS c FROM lineitem) GROUP BY l_orderkey")
 def string_agg_ordered(t):
     rows = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("c")).distinct()
@@ -245,20 +331,41 @@ def table_volume(t):
     return metrics.table_volume(t("lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_linenumber") - 1).alias("index_id"), q.alias("rows"), q.alias("total_pages"), F.col("l_suppkey").alias("used_pages")))
 
 
-@query("WITH i AS (SELECT DISTINCT l_partkey AS id, l_linenumber AS index_id FROM lineitem), p AS (SELECT l_partkey AS id, l_linenumber AS index_id, CAST(l_discount * 100 AS DECIMAL(18,6)) AS f, CAST(l_quantity AS BIGINT) AS pages FROM lineitem WHERE l_linenumber <> 3), u AS (SELECT l_partkey AS id, l_linenumber AS index_id, max(l_suppkey) AS seeks, min(l_suppkey) AS scans FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL) SELECT id, index_id, 'ix' || index_id AS name, CAST(round_even(CAST(avg(f) AS DECIMAL(22,10)), 2) AS DOUBLE) AS fragmentation, sum(pages)::BIGINT AS pages, max(coalesce(seeks, 0)) AS seeks, max(coalesce(scans, 0)) AS scans FROM i LEFT JOIN p USING (id, index_id) LEFT JOIN u USING (id, index_id) GROUP BY id, index_id")
+@query("WITH i AS (SELECT DISTINCT l_partkey AS id, l_linenumber AS index_id FROM lineitem), p AS (SELECT l_partkey AS id, l_linenumber AS index_id, CAST(l_discount * 100 AS DECIMAL(18,6)) AS f, CAST(l_quantity AS BIGINT) AS pages FROM lineitem WHERE l_linenumber <> 3), u AS (SELECT l_partkey AS id, l_linenumber AS index_id, max(l_suppkey) AS seeks, min(l_suppkey) AS scans, count(*) AS lookups, sum(l_suppkey)::BIGINT AS updates FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL) SELECT id, index_id, 'ix' || index_id AS name, CAST(round_even(CAST(avg(f) AS DECIMAL(22,10)), 2) AS DOUBLE) AS fragmentation, sum(pages)::BIGINT AS pages, max(coalesce(seeks, 0)) AS seeks, max(coalesce(scans, 0)) AS scans, max(coalesce(lookups, 0)) AS lookups, max(coalesce(updates, 0)) AS updates FROM i LEFT JOIN p USING (id, index_id) LEFT JOIN u USING (id, index_id) GROUP BY id, index_id")
 def index_metrics(t):
     rows = t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("index_id"), (F.col("l_discount") * 100).alias("fragmentation"), F.col("l_quantity").cast("long").alias("pages"), "l_suppkey")
     indexes = rows.select("id", "index_id", F.concat(F.lit("ix"), F.col("index_id").cast("string")).alias("name")).distinct()
-    usage = rows.filter("index_id <> 2").groupBy("id", "index_id").agg(F.max("l_suppkey").alias("seeks"), F.min("l_suppkey").alias("scans"))
+    usage = rows.filter("index_id <> 2").groupBy("id", "index_id").agg(F.max("l_suppkey").alias("seeks"), F.min("l_suppkey").alias("scans"), F.count("*").alias("lookups"), F.sum("l_suppkey").alias("updates"))
     out = metrics.index_metrics(indexes, rows.filter("index_id <> 3").drop("l_suppkey"), usage)
     return out.withColumn("fragmentation", F.col("fragmentation").cast("double"))
 
 
-@query("SELECT o_orderkey AS id, o_custkey AS stats_id, c_name AS name, c_acctbal AS rows FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT o_orderkey AS id, o_custkey AS stats_id, o_orderpriority AS name, l.rows AS rows, l.sampled AS \"rowsSampled\", l.steps AS steps, l.counter AS \"modificationCounter\", l.at AS \"lastUpdated\" FROM orders JOIN LATERAL (SELECT count(*) AS rows, count(*) FILTER (WHERE l_tax > 0.02) AS sampled, max(l_linenumber) AS steps, sum(l_suppkey)::BIGINT AS counter, max(CAST(l_shipdate AS VARCHAR)) AS at FROM lineitem WHERE l_orderkey = o_orderkey HAVING count(*) > 1) l ON TRUE WHERE o_orderstatus <> 'P'")
 def lateral_stats(t):
-    s = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("stats_id"))
-    p = s.join(t("customer"), F.col("stats_id") == F.col("c_custkey")).select("id", "stats_id", F.col("c_name").alias("name"), F.col("c_acctbal").alias("rows"))
-    return extract.lateral_stats(s, p)
+    s = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("stats_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("name"))
+    figures = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("rows"), F.count_if(F.col("l_tax") > 0.02).alias("rowsSampled"), F.max("l_linenumber").alias("steps"), F.sum("l_suppkey").alias("modificationCounter"), F.max(F.col("l_shipdate").cast("string")).alias("lastUpdated")).filter("rows > 1")
+    ids = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("stats_id"))
+    return extract.lateral_stats(s, figures.join(ids, "id"))
+
+
+@query("WITH p AS (SELECT l_partkey AS id, l_partkey || '-' || l_orderkey || '-' || l_linenumber AS partition_id, l_linenumber % 3 AS index_id, max(CAST(l_quantity AS BIGINT)) AS rows FROM lineitem GROUP BY 1, 2, 3), u AS (SELECT partition_id, unnest([3, 5]) AS total FROM p) SELECT id, sum(CASE WHEN index_id IN (0, 1) THEN rows * 2 ELSE 0 END)::BIGINT AS row_count, (count(*) * 64)::BIGINT AS reserved_kb, (sum(CASE WHEN index_id IN (0, 1) THEN rows ELSE 0 END))::BIGINT AS corrected FROM p GROUP BY id")
+def table_volume_units(t):
+    part = F.concat_ws("-", "l_partkey", "l_orderkey", "l_linenumber").alias("partition_id")
+    p = t("lineitem").groupBy(F.col("l_partkey").alias("id"), part, (F.col("l_linenumber") % 3).alias("index_id")).agg(F.max(F.col("l_quantity").cast("long")).alias("rows"))
+    units = p.select("partition_id", F.explode(F.array(F.lit(3), F.lit(5))).alias("total_pages")).withColumn("used_pages", F.col("total_pages"))
+    once = metrics.partition_volume(p, units, corrected=True).select("id", F.col("row_count").alias("corrected"))
+    return metrics.partition_volume(p, units).select("id", "row_count", "reserved_kb").join(once, "id")
+
+
+@query("SELECT p_partkey AS id, p_size::BIGINT AS rows, CASE WHEN p_size > 5 THEN p_size * 8 END::BIGINT AS reserved_kb, coalesce(n, 0) AS n_indexes, c AS counter FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) FILTER (WHERE l_linenumber < 3) AS n, max(CASE WHEN l_linenumber = 4 THEN l_suppkey + l_orderkey END)::BIGINT AS c FROM lineitem GROUP BY 1) USING (p_partkey)")
+def oracle_snapshot(t):
+    size = F.col("p_size").cast("long")
+    tables = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), size.alias("num_rows"), F.when(size > 5, size).alias("blocks"), size.alias("sample_size"), F.lit("2024-01-01").alias("last_analyzed"))
+    item = t("lineitem").withColumn("id", F.col("l_partkey"))
+    changes = item.filter("l_linenumber = 4").select("id", F.col("l_suppkey").alias("inserts"), F.lit(None).cast("long").alias("updates"), F.col("l_orderkey").alias("deletes"))
+    indexes = item.filter("l_linenumber < 3").select("id", F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_suppkey").alias("rowCount"))
+    out = metrics.oracle_snapshots(tables, changes, indexes)
+    return out.select("id", F.col("rowCount").alias("rows"), F.col("reservedKB").alias("reserved_kb"), F.size("indexes").cast("long").alias("n_indexes"), F.col("statistics")[0]["modificationCounter"].alias("counter"))
 
 
 @query("SELECT l_partkey AS id, sum(CAST(l_quantity AS BIGINT))::BIGINT AS modifications FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'R')")
@@ -290,10 +397,9 @@ def metrics_series(t):
     return event_series(t).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("seq").cast("int")).cast("string").alias("day"), "row_count")
 
 
-@query(SERIES + ", i AS (SELECT * FROM per WHERE event_type = (SELECT min(event_type) FROM events)) SELECT m.id, m.seq, i.n AS seeks FROM m LEFT JOIN i ON m.id = i.id AND m.seq = i.seq")
+@query(SERIES + ", i AS (SELECT * FROM per WHERE event_type = 'click') SELECT m.id, m.seq, i.n AS seeks FROM m LEFT JOIN i ON m.id = i.id AND m.seq = i.seq")
 def index_series(t):
-    name = t("events").agg(F.min("event_type")).first()[0]
-    return metrics.index_series(event_series(t), name)
+    return metrics.index_series(event_series(t), "click")
 
 
 @query(SERIES + ", s AS (SELECT id, seq, sum(CASE WHEN n = 1 THEN 0 ELSE n END)::BIGINT AS p FROM per WHERE n % 2 = 1 GROUP BY id, seq) SELECT m.id, m.seq, s.p AS pending FROM m LEFT JOIN s ON m.id = s.id AND m.seq = s.seq")
@@ -307,9 +413,28 @@ def trend_segments(t):
     return metrics.segments(m, "v")
 
 
-@query(SERIES + " SELECT id, least(min(row_count), 0) AS low, greatest(max(row_count), 0) AS high, CASE WHEN greatest(max(row_count), 0) = least(min(row_count), 0) THEN 1 ELSE greatest(max(row_count), 0) - least(min(row_count), 0) END AS span FROM m GROUP BY id")
+RANGES = SERIES + ", v AS (SELECT id, seq, CAST(row_count - 7 AS BIGINT) AS a, CASE WHEN row_count % 3 <> 0 THEN -row_count END AS b FROM m), r AS (SELECT id, least(min(a), min(b), 0) AS low, greatest(max(a), max(b)) AS high FROM v GROUP BY id), g AS (SELECT *, CASE WHEN high = low THEN 1 ELSE high - low END AS span FROM r)"
+
+
+def _two_series(t):
+    return event_series(t).select("id", "seq", (F.col("row_count") - 7).alias("a"), F.when(F.col("row_count") % 3 != 0, -F.col("row_count")).alias("b"))
+
+
+@query(RANGES + " SELECT * FROM g")
 def trend_scale(t):
-    return metrics.scale(event_series(t), "row_count")
+    return metrics.scale(_two_series(t), "a", "b")
+
+
+@query(RANGES + ", i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM v) SELECT id, seq, round(CASE WHEN n <= 1 THEN 320.0 ELSE i / (n - 1) * 620 + 10 END, 6)::DOUBLE AS x, round(140 - (b - low) / span * 130, 6)::DOUBLE AS y FROM i JOIN g USING (id) WHERE b IS NOT NULL")
+def chart_points(t):
+    s = _two_series(t)
+    points = metrics.chart_points(s, "b", metrics.scale(s, "a", "b"))
+    return points.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query(SERIES + ", z AS (SELECT id, max(seq) AS seq FROM m GROUP BY id) SELECT per.id, per.seq, event_type AS name, nullif(n, 1) AS modifications FROM per JOIN z ON per.id = z.id AND per.seq = z.seq WHERE n % 2 = 1")
+def latest_statistics(t):
+    return metrics.latest_statistics(event_series(t))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, string_agg(event_type, ',' ORDER BY f, event_type) AS names FROM (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS f FROM events GROUP BY ALL) GROUP BY user_id")
@@ -318,9 +443,10 @@ def index_names(t):
     return seen.withColumn("o", F.struct("f", "name")).groupBy("id").agg(extract.list_agg("name", "o", ",").alias("names"))
 
 
-@query(SERIES + ", s AS (SELECT id, seq, bool_or(n > 2) AS busy, bool_and(n > 0) AS full_ FROM per GROUP BY id, seq) SELECT id, seq, busy, full_ AS known FROM s")
+@query(SERIES + " SELECT m.id, coalesce(bool_or(event_type = 'click' AND n % 2 = 1), FALSE) AS by_use, coalesce(bool_or(event_type = 'click' AND n > 2), FALSE) AS by_size FROM m LEFT JOIN per USING (id, seq) GROUP BY m.id")
 def index_variant(t):
-    return event_series(t).select("id", "seq", F.exists("indexes", lambda x: x["seeks"] > 2).alias("busy"), F.forall("indexes", lambda x: x["seeks"] > 0).alias("known"))
+    shown = F.transform("indexes", lambda x: F.struct(x["name"].alias("name"), F.when(x["seeks"] % 2 == 1, x["seeks"]).alias("fragmentationPct"), F.when(x["seeks"] > 2, x["seeks"]).alias("rowCount")))
+    return metrics.index_variant(event_series(t).withColumn("indexes", shown), "click")
 
 
 def _snapshots(t):
@@ -330,7 +456,7 @@ def _snapshots(t):
     return metrics.snapshots(v, i, s)
 
 
-@query("SELECT p_partkey AS id, p_size::BIGINT AS row_count, coalesce(i, 0) AS n_indexes, coalesce(s, 0) AS n_statistics FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) FILTER (WHERE l_linenumber = 1) AS i, count(*) FILTER (WHERE l_linenumber = 2) AS s FROM lineitem GROUP BY 1) USING (p_partkey) WHERE p_partkey % 3 <> 0")
+@query("SELECT p_partkey AS id, p_size::BIGINT AS row_count, coalesce(i, 0) AS n_indexes, coalesce(s, 0) AS n_statistics FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) FILTER (WHERE l_linenumber = 1) AS i, count(*) FILTER (WHERE l_linenumber = 2) AS s FROM lineitem GROUP BY 1) USING (p_partkey)")
 def metrics_snapshot(t):
     return _snapshots(t).select("id", "row_count", F.size("indexes").cast("long").alias("n_indexes"), F.size("statistics").cast("long").alias("n_statistics"))
 
@@ -360,7 +486,7 @@ def safe_file_name(t):
     return t("part").select(F.col("p_partkey").alias("id"), scalar.safe_file_name(F.concat("p_name", F.lit("<"), "p_brand", F.lit(":*?"))).alias("file"))
 
 
-@query("WITH k AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 <> 0 THEN CAST(p_partkey * p_size * p_size AS BIGINT) END AS kb FROM part) SELECT id, CASE WHEN kb IS NULL THEN '-' WHEN kb >= 1048576 THEN printf('%.1f GB', kb / 1048576) WHEN kb >= 1024 THEN printf('%.1f MB', kb / 1024) ELSE kb || ' KB' END AS size FROM k WHERE kb IS NULL OR (kb * 20) % 1024 <> 0")
+@query("WITH k AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 <> 0 THEN CAST(p_partkey * p_size * p_size AS BIGINT) END AS kb FROM part), u AS (SELECT id, kb, CASE WHEN kb >= 1048576 THEN 1048576 WHEN kb >= 1024 THEN 1024 END AS unit FROM k), d AS (SELECT *, (20 * kb + unit) // (2 * unit) AS tenths FROM u) SELECT id, CASE WHEN kb IS NULL THEN '-' WHEN unit IS NULL THEN kb || ' KB' ELSE (tenths // 10) || '.' || (tenths % 10) || CASE WHEN unit = 1024 THEN ' MB' ELSE ' GB' END END AS size FROM d")
 def format_kb(t):
     kb = F.when(F.col("p_size") % 9 != 0, F.col("p_partkey") * F.col("p_size") * F.col("p_size"))
     return t("part").select(F.col("p_partkey").alias("id"), scalar.format_kb(kb).alias("size"))
@@ -379,3 +505,29 @@ def iso_timestamps(t):
 @query(NODES + " SELECT id, CASE schema WHEN 'STANDARD' THEN 'blue' WHEN 'SMALL' THEN 'green' ELSE 'default' END AS colour FROM nodes")
 def type_colors(t):
     return part_nodes(t).select("id", scalar.lookup({"STANDARD": "blue", "SMALL": "green"}, F.col("schema"), F.lit("default")).alias("colour"))
+
+
+# -- catalog ---------------------------------------------------------------------------------------------------------
+
+CATALOG = PARSED + """, o AS (SELECT id, max(description) FILTER (WHERE "column" IS NULL) AS description FROM d GROUP BY id), k AS (SELECT c.id, string_agg(c.name || ':' || c."dataType" || ':' || coalesce(d.description, '-'), ';' ORDER BY c.ordinal) AS columns FROM c LEFT JOIN d ON c.id = d.id AND lower(c.name) = lower(d."column") GROUP BY c.id),
+b AS (SELECT id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE title IS NULL AND body AND line <> '') AS ddl, count(*) FILTER (WHERE title = 'Grants' AND mark IS NULL AND line <> '') AS n_grants FROM s GROUP BY id)"""
+
+
+def _files(t):
+    place = t("part").select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws("/", F.lit("S"), F.col("p_brand"), F.lit("Tables"), F.when(F.col("p_size") % 2 == 0, "dbo"), F.concat(F.lit("t"), F.col("p_partkey").cast("string"), F.lit(".sql"))).alias("path"))
+    return object_text(t).join(place, "id").select("path", "text")
+
+
+@query(CATALOG + """ SELECT 'S/' || p_brand || '/Tables/' || CASE WHEN p_size % 2 = 0 THEN 'dbo/' ELSE '' END || 't' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'dbo.' ELSE '' END || 't' || p_partkey AS "qualifiedName", o.description, k.columns, b.ddl, CAST(strlen(b.ddl) AS BIGINT) AS "sizeBytes", b.n_grants, CASE WHEN p_size > 25 THEN 1 ELSE 0 END::BIGINT AS n_sections FROM part JOIN o ON o.id = CAST(p_partkey AS VARCHAR) JOIN k ON k.id = o.id JOIN b ON b.id = o.id""")
+def catalog_nodes(t):
+    shown = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["dataType"], F.lit(":"), F.coalesce(c["description"], F.lit("-")))), ";")
+    nodes = catalog.assemble(_files(t)).nodes
+    return nodes.select("id", "qualifiedName", "description", shown.alias("columns"), "ddl", "sizeBytes", F.size("grants").cast("long").alias("n_grants"), F.size("sections").cast("long").alias("n_sections"))
+
+
+@query("SELECT p_partkey AS id, v.sha, v.ddl, v.rank FROM part JOIN (SELECT l_partkey AS p_partkey, CAST(l_orderkey AS VARCHAR) AS sha, CASE WHEN g <= 1500 AND l_orderkey % 2 = 0 THEN 'v' || l_orderkey END AS ddl, rank, min(g) OVER (PARTITION BY l_partkey) AS first FROM (SELECT *, row_number() OVER (ORDER BY CAST(l_partkey AS VARCHAR), rank) AS g FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, CAST(l_orderkey AS VARCHAR) DESC) AS rank FROM (SELECT DISTINCT l_partkey, l_orderkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) WHERE rank <= 15)) v USING (p_partkey) WHERE v.first <= 1500")
+def object_history(t):
+    versions = history.version_history(touched(t), commits(t))
+    blobs = touched(t).filter("cast(sha as long) % 2 = 0").select("id", "sha", F.concat(F.lit("-- head\n\nv"), "sha", F.lit("\n\n-- === Columns ===\n-- [col] a|b")).alias("text"))
+    rows = history.object_history(versions, blobs, parse.split_sections).select("id", F.posexplode("history").alias("rank", "v"))
+    return rows.select(F.col("id").cast("long").alias("id"), "v.sha", "v.ddl", (F.col("rank") + 1).cast("long").alias("rank"))

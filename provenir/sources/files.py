@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-CATALOG = """generatedAt string, servers array<string>, typeCounts map<string,long>,
-nodes array<struct<id:string,server:string,database:string,type:string,schema:string,name:string,qualifiedName:string,path:string,ddl:string,description:string,sizeBytes:long,changeCount:long,lastChangedAt:string>>,
+from provenir.functions.scalar import normalised
+from provenir.operators.catalog import SNAPSHOT, VERSION
+
+CATALOG = f"""generatedAt string, servers array<string>, typeCounts map<string,long>,
+nodes array<struct<id:string,server:string,database:string,type:string,schema:string,name:string,qualifiedName:string,path:string,ddl:string,description:string,
+columns:array<struct<name:string,description:string,dataType:string>>,grants:array<struct<permission:string,state:string,grantee:string,granteeType:string,column:string>>,
+sections:array<struct<title:string,content:string>>,sizeBytes:long,metrics:array<struct<{SNAPSHOT}>>,changeCount:long,lastChangedAt:string,history:{VERSION}>>,
 edges array<struct<`from`:string,`to`:string,columns:array<string>>>,
+recentChanges array<struct<sha:string,date:string,message:string,objectIds:array<string>>>,
 coChangePairs array<struct<a:string,b:string,count:long>>"""
 
 
@@ -17,7 +26,30 @@ def object_files(spark: SparkSession, root: str, pattern: str = "*.sql") -> Data
     """(path, text) of every matching file below ``root``, the path relative to it."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     full = F.regexp_replace(F.col("_metadata.file_path"), r"^\w+:/*", "/")
-    return rows.select(F.expr("value").alias("text"), full.alias("full")).select(F.regexp_replace("full", f"^{root.rstrip('/')}/", "").alias("path"), "text")
+    base = re.sub(r"^\w+:/*", "/", root).replace("\\", "/").rstrip("/") + "/"
+    # The root is cut off as it stands, without case
+    cut_off = F.when(F.lower(F.left("full", F.lit(len(base)))) == base.lower(), F.expr(f"substring(full, {len(base) + 1})")).otherwise(F.col("full"))
+    return rows.select(F.expr("value").alias("text"), full.alias("full")).select(cut_off.alias("path"), "text")
+
+
+def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str, warnings: list[str], what: str) -> DataFrame:
+    """An input that may be missing: what ``read`` gives, or an empty frame of the schema and a warning."""
+    try:
+        df = read()
+        df.isEmpty()  # a source that can't be opened fails here, not later
+        return df
+    except Exception as problem:  # noqa: BLE001  whatever a source fails with, the run goes on without it
+        warnings.append(f"{what}: {str(problem).splitlines()[0] if str(problem) else type(problem).__name__}")
+        return spark.createDataFrame([], schema)
+
+
+def json_rows(spark: SparkSession, root: str, schema: str, warnings: list[str]) -> DataFrame:
+    """(path, rows) of every JSON file below ``root`` that holds a list or one object; others are named in ``warnings`` and count as empty."""
+    found = object_files(spark, root, "*.json").select("path", normalised(F.col("text"), schema).alias("rows"))
+    bad = [r["path"] for r in found.filter("rows is null").select("path").limit(100).collect()]
+    warnings += [f"{p}: no JSON list" for p in bad]
+    empty = F.array().cast(StructType.fromDDL(f"rows array<struct<{schema}>>")[0].dataType)
+    return found.withColumn("rows", F.coalesce("rows", empty))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +62,40 @@ def write_catalog(df: DataFrame, path: str) -> None:
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A source query over JDBC; the driver's jar is the caller's. Timeouts default to 120 s a query."""
-    return spark.read.format("jdbc").options(url=url, query=query, **{"queryTimeout": "120"} | options).load()
+    """A source query over JDBC; the driver's jar is the caller's."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
+
+
+def jdbc_options(url: str, query: str, parameters: dict | None = None, **options: str) -> dict[str, str]:
+    """Options of a JDBC scan: 120 s a query and 30 s to connect by default; ``:name`` in the query takes its parameter as a literal."""
+    for name, value in (parameters or {}).items():
+        text = str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+        query = re.sub(rf"(?<![:\w]):{re.escape(name)}\b", lambda _: text, query)
+    return {"url": url, "query": query, "queryTimeout": "120", "loginTimeout": "30", "connectTimeout": "30000"} | options
+
+
+# Settings of an Oracle session that keep definitions free of storage clauses, and queries of its views.
+ORACLE_TRANSFORMS = {"STORAGE": "FALSE", "SEGMENT_ATTRIBUTES": "FALSE", "SQLTERMINATOR": "TRUE", "PRETTY": "TRUE"}
+ORACLE_LINKS = "SELECT owner, db_link FROM all_db_links ORDER BY owner, db_link"
+
+
+def oracle_session() -> str:
+    """The block to run as ``sessionInitStatement``."""
+    calls = (f"DBMS_METADATA.SET_TRANSFORM_PARAM(DBMS_METADATA.SESSION_TRANSFORM, '{name}', {value});" for name, value in ORACLE_TRANSFORMS.items())
+    return "BEGIN " + " ".join(calls) + " END;"
+
+
+def oracle_ddl(owner: str, object_type: str, ddl_type: str | None = None) -> dict:
+    """Query and parameters for the definitions of all objects of an owner and type at once, not one by one."""
+    query = (
+        "SELECT object_name, DBMS_METADATA.GET_DDL(:ddl_type, object_name, owner) AS ddl FROM all_objects "
+        "WHERE owner = :owner AND object_type = :object_type AND generated = 'N' AND temporary = 'N'"
+    )
+    return {"query": query, "parameters": {"ddl_type": ddl_type or object_type.replace(" ", "_"), "owner": owner, "object_type": object_type}}
+
+
+def database_links(spark: SparkSession, url: str, **options: str) -> DataFrame:
+    return jdbc(spark, url, ORACLE_LINKS, **options)
 
 
 def load_config(path: str) -> dict:

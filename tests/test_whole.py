@@ -1,4 +1,4 @@
-"""Queries whose SQL answers for a part of the objects only: the whole of their results against brute force."""
+"""Whole results of graph, grant, size and snapshot queries against brute force, beside their SQL."""
 
 import os
 from collections import defaultdict
@@ -9,7 +9,7 @@ from provenir.functions import scalar
 from provenir.operators.graph import reachable
 from provenir.operators.metrics import snapshots
 from provenir.plans.all import QUERIES
-from provenir.plans.queries import graph_of
+from provenir.plans.queries import graph_of, home_graph
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -39,20 +39,34 @@ def walked(out, seed, hops, grows=lambda a, b: True):
     return seen
 
 
-def reached(server, out):
-    """Every supplier's; edges go both ways, so the directions agree."""
+def reached(server, out, kind):
     same = lambda a, b: server[a] == server[b]
-    return sorted((s, i, hop) for s in server if s[0] == "s" for i, hop in walked(out, s, 6, same).items() if i != s)
+    return sorted((s, i, hop) for s in server if s[0] == kind for i, hop in walked(out, s, 6, same).items() if i != s)
 
 
 def test_reachable_out_has_all_suppliers(spark, graph):
-    assert rows(QUERIES["reachable_out"](spark, SF), "seed", "id", "hop") == reached(*graph)
+    server, out = graph
+    assert rows(QUERIES["reachable_out"](spark, SF), "seed", "id", "hop") == reached(server, out, "s")
+
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_neighborhoods_have_all_customers(spark, radius):
+    both = defaultdict(set)
+    for r in home_graph(lambda name: spark.read.parquet(f"{SF}/{name}.parquet")).collect():
+        both[r["from"]].add(r["to"])
+        both[r["to"]].add(r["from"])
+    want = sorted((s, i) for s in both if s[0] == "c" for i in walked(both, s, radius))
+    assert rows(QUERIES[f"neighborhood_{radius}"](spark, SF), "seed", "id") == want
 
-@pytest.mark.parametrize("name, radius", [("neighborhood_1", 1), ("neighborhood_2", 2), ("neighborhood_3", 3), ("object_neighborhood", 1)])
-def test_neighborhoods_have_all_suppliers(spark, graph, name, radius):
+
+def test_object_neighborhood_has_all_objects(spark, graph):
     server, out = graph
-    assert rows(QUERIES[name](spark, SF), "seed", "id") == sorted((s, i) for s in server if s[0] == "s" for i in walked(out, s, radius))
+    both = defaultdict(set)
+    for a, ends in out.items():
+        for b in ends:
+            both[a].add(b)
+            both[b].add(a)
+    assert rows(QUERIES["object_neighborhood"](spark, SF), "seed", "id") == sorted((s, i) for s in server for i in walked(both, s, 1))
 
 
 def test_object_grants_has_all_objects(spark):
@@ -92,7 +106,12 @@ def test_format_kb_ties(spark):
 
 
 def test_reachable_in_has_all_edges(spark, graph):
-    assert rows(QUERIES["reachable_in"](spark, SF), "seed", "id", "hop") == reached(*graph)
+    server, out = graph
+    into = defaultdict(set)
+    for a, ends in out.items():
+        for b in ends:
+            into[b].add(a)
+    assert rows(QUERIES["reachable_in"](spark, SF), "seed", "id", "hop") == reached(server, into, "c")
 
 
 def test_directions_differ_on_directed_edges(spark):
