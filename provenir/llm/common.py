@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType, StringType
+
+from provenir import storage
+from provenir.storage import maybe_broadcast, small  # noqa: F401  for the operators
 
 U64 = np.uint64
-#: Rows and bytes of text up to which a side is broadcast; beyond either the join shuffles.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 16 << 20
 #: Text bytes handled at once inside a Python worker.
 CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch on its way to a Python worker.
@@ -25,16 +21,6 @@ BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="provenir-")
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Cap Arrow batches by bytes, unless the session has a lower cap: rows alone don't bound memory where texts are long."""
     now = spark.conf.get(BATCH_SETTING, None)
@@ -45,22 +31,7 @@ def bound_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, which ends its lineage."""
     bound_batches(df.sparkSession)
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """True if ``df`` has at most ``rows`` rows and ``size`` bytes in strings, binaries and nested columns, summed by partition."""
-    wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DatetimeType))]
-    texts = [F.octet_length(c if isinstance(df.schema[c].dataType, (StringType, BinaryType)) else F.to_json(F.struct(c))) for c in wide]
-    n, held = df.agg(F.count("*"), sum((F.coalesce(F.sum(t), F.lit(0)) for t in texts), F.lit(0))).first()
-    return n <= rows and held <= size
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast after counting its rows and bytes; larger sides go through a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+    return storage.cut(df, name)
 
 
 def text_key(text: Column) -> Column:
