@@ -6,11 +6,13 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.stats import BLANKS
+from provenir.llm.common import U64, chunks, long, mix, text_buffer, words_of
 
 CAPACITY = 2_048
 #: Pieces that one shard packs; shards are independent, their number follows the input.
@@ -69,6 +71,17 @@ class Bins:
         return b[0], b[3] - 1
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words of every text, and a hash of its lower-cased words in order."""
+    for batch in chunks(batches):
+        raw, offsets = text_buffer(pc.utf8_lower(pc.fill_null(batch.column(2), "")))
+        words, _, _, first = words_of(raw, offsets)
+        count = np.diff(first)
+        place = np.arange(len(words)) - np.repeat(first[:-1], count)
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(words + mix(place.astype(U64))), dtype=U64)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(long(mix(total[first[1:]] - total[first[:-1]] + count.astype(U64))))], names=["doc_id", "source", "n", "cluster"])
+
+
 PACKED = "doc_id long, piece int, n_pieces int, n_tokens long, bin_id long, place int"
 
 
@@ -78,7 +91,7 @@ def _pack(capacity: int):
         sources: dict = {}
         clusters: dict = {}
         bins, out = Bins(capacity), []
-        for doc, piece, pieces, tokens, source, cluster, near in sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[5], r[1])):
+        for doc, piece, pieces, tokens, source, cluster, near in sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[5], r[1], r[4] is None, r[4] or "")):
             bit = 1 << sources.setdefault(source, len(sources)) if source is not None else 0
             # A cluster that this shard has once can't be in conflict
             mark = 0
@@ -110,13 +123,12 @@ def best_fit_packing(docs: DataFrame, near: DataFrame | None = None, *, capacity
 
     Documents longer than ``capacity`` are cut into full pieces, each a bin of its own, and a rest. No bin holds two
     pieces of one ``source`` or of one duplicate cluster: equal lower-cased words or, with ``near``, one ``component_id``
-    of ``near_duplicates``, found by ``doc_id``. A full piece shares its bin with none. Within a shard pieces go by falling size into the fullest bin that can take them. Shards hold about
-    ``shard_rows`` documents by a hash, so one source or cluster never gathers in one task. A null or blank text is one
+    of ``near_duplicates``, found by ``doc_id``. A full piece shares its bin with none. Within a shard pieces go by falling size, then by doc_id
+    (null last), cluster, piece and source, into the fullest bin that can take them. Shards hold about ``shard_rows`` documents by a hash, so one source or cluster never gathers in one task. A null or blank text is one
     piece of 0 tokens; a null source conflicts with nothing; rows repeated in full are packed each; other columns are ignored.
     """
-    words = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(BLANKS))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("t"))
-    df = df.select("doc_id", "source", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", r"[\x20\x09-\x0D]+"))).cast("long").alias("n"), F.xxhash64(F.regexp_replace(F.lower("t"), r"[\x20\x09-\x0D]+", " ")).alias("cluster"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    df = df.mapInArrow(_sizes, "doc_id long, source string, n long, cluster long")
     if near is None:
         df = df.withColumn("near", F.lit(None).cast("long"))
     else:
