@@ -1,11 +1,16 @@
-"""A training corpus from raw documents, in five stages; each gets what its predecessor kept."""
+"""A training corpus from raw documents, in five stages; each gets what its predecessor kept.
+
+In every filtering stage an empty table stays empty, columns beside doc_id, text, source and n_chars pass through whatever
+their names, and rows are told apart by doc_id and text: rows without a doc_id, and rows that share one, are judged each
+by its own text. A null text counts as an empty one, and stays null where its row stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm.common import cut, maybe_broadcast, table
+from provenir.llm.common import cut, maybe_broadcast, table, text_key
 from provenir.llm.decontaminate import clean_of
 from provenir.llm.lines import line_dedup
 from provenir.llm.neardup import near_duplicates
@@ -13,18 +18,14 @@ from provenir.llm.packing import best_fit_packing
 from provenir.llm.quality import quality
 
 
-def _text_hash():
-    return F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated quality reaches 0.7."""
+    """Documents whose calibrated quality reaches 0.7. Empty texts are scored like others; equal rows go or stay together."""
     rejected = quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("__bad_doc"), F.col("th").alias("__bad_th")).distinct()
-    return docs.join(maybe_broadcast(cut(rejected, "rejected")), F.col("doc_id").eqNullSafe(F.col("__bad_doc")) & (_text_hash() == F.col("__bad_th")), "left_anti")
+    return docs.join(maybe_broadcast(cut(rejected, "rejected")), F.col("doc_id").eqNullSafe(F.col("__bad_doc")) & (text_key(F.col("text")) == F.col("__bad_th")), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines, with n_chars to match; a document that was nothing else goes."""
+    """Texts without boilerplate lines, with n_chars to match; a document that was nothing else goes. Empty and null texts stay."""
     out = line_dedup(docs, min_sites=10).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
@@ -44,7 +45,8 @@ def _near_dedup_by_text(docs: DataFrame, sha) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8).
 
-    Rows of one doc_id with different texts are documents of their own; a null doc_id stays.
+    Rows of one doc_id with different texts are documents of their own, rows repeated in full leave one; a null doc_id
+    stays, and so does a text without words, which is near nothing.
     """
     sha = F.coalesce(F.sha2("text", 256), F.lit(""))
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sha).alias("a"), F.max(sha).alias("b"))
@@ -61,12 +63,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of test items."""
+    """Documents without passages of test items, those without a doc_id too. Without test items all stay."""
     return clean_of(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of 2048 words."""
+    """Pieces of documents in bins of 2048 words; a text without words is a piece of 0, and every row is packed."""
     return best_fit_packing(docs)
 
 
