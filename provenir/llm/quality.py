@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import cut
-from provenir.llm.stats import ratios, text_stats
+from provenir.llm.common import chunks, cut, text_key
+from provenir.llm.kernel import text_counts
+from provenir.llm.stats import COUNTS, ratios
 from provenir.llm.toxicity import held_out, known_labels
 
 WAVES = 128
@@ -88,6 +89,12 @@ def _score(names: list[str], mean: np.ndarray, scale: np.ndarray, beta: np.ndarr
     return run
 
 
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        counts = text_counts(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(counts[c]) for c in COUNTS]], names=["doc_id", "th", *COUNTS])
+
+
 def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, th`` (1 from a score of ``threshold``; th: hash of the text).
 
@@ -97,8 +104,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> Da
     """
     names = sorted(ratios())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("th"))
-    stats = text_stats(source, ("doc_id", "th"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), text.alias("text"))
+    stats = source.mapInArrow(_statistics, "doc_id long, th long, " + ", ".join(f"{c} long" for c in COUNTS))
     stats = cut(stats.select("doc_id", "th", held_out(4, 2).alias("held_out"), *[c.alias(n) for n, c in ratios().items()]), "statistics")
     known = known_labels(labels, "quality", 4, 2)
     learn = stats.filter("not held_out").join(known, "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
@@ -121,8 +128,5 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> Da
         cells = learn.mapInArrow(_cells(names, mean, scale, by_fold), "cell long, label long").groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
         cells.sort(key=lambda r: r["cell"])
         level = isotonic(np.array([r["n"] for r in cells], float), np.array([r["good"] for r in cells], float))
-        scored = stats.select("doc_id", "th", "held_out", *names).mapInArrow(_score(names, mean, scale, beta, np.array([r["cell"] + 0.5 for r in cells]), level), "doc_id long, th int, held_out boolean, score double")
+        scored = stats.select("doc_id", "th", "held_out", *names).mapInArrow(_score(names, mean, scale, beta, np.array([r["cell"] + 0.5 for r in cells]), level), "doc_id long, th long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "th")
-
-
-
