@@ -165,6 +165,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    """A hub with thousands of neighbours, above and below it, beside a pair."""
+    edges = [(5000, i) for i in range(1, 3000)] + [(i, 5000) for i in range(6000, 7000)] + [(8000, 8001)]
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in (*range(1, 3000), 5000, *range(6000, 7000))}, 8000: 8000, 8001: 8000}
+
+
 def removed(seqs, length, join):
     count = collections.Counter(s[i : i + length] for s in seqs for i in range(len(s) - length + 1))
     out = []
