@@ -23,7 +23,9 @@ def line_dedup(docs: DataFrame, *, min_sites: int = 10) -> DataFrame:
     """
     # 60 bits of a digest, so that SQL can order the texts of one doc_id alike
     th = F.conv(F.left(F.md5("text"), F.lit(15)), 16, 10).cast("long")
-    lines = docs.select("doc_id", th.alias("th"), "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # Projected before the lines are made: beside the generator the digest of a whole text would be taken once a line
+    texts = docs.select("doc_id", th.alias("th"), "source", "text")
+    lines = texts.select("doc_id", "th", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r"))).filter("line <> ''").select("doc_id", "th", "source", "pos", F.unhex(F.md5("line")).alias("line_key"))
     spread = lines.groupBy("line_key").agg(F.hll_sketch_agg("source", LG_K).alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th", "pos")).alias("first"))
     spread = spread.select("line_key", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= (1 - NEAR) * min_sites)
