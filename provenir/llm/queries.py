@@ -1,4 +1,4 @@
-"""Queries op1..op10 with production parameters, each over its whole table, and SQL for those that SQL expresses."""
+"""Queries op1..op13 with production parameters, each over its whole table, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from provenir.llm.neardup import near_duplicates
 from provenir.llm.packing import best_fit_packing
 from provenir.llm.quality import quality
 from provenir.llm.rules import quality_rules
+from provenir.llm.simhash import simhash_duplicates
 from provenir.llm.suffixes import suffix_array_dedup
 from provenir.llm.toxicity import toxicity
 
@@ -63,6 +64,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +87,7 @@ QUERIES = {
         op8_license_scan,
         op9_best_fit_packing,
         op10_benchmark_decontamination,
+        op11_simhash_near_dedup,
         pipeline,
     )
 }
