@@ -32,10 +32,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, which ends its lineage. The folder goes with the process or by :func:`clean`."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
+    keep(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Note a folder of shared storage that is deleted like a cut."""
+    _written.append((spark, path))
+
+
 def clean() -> None:
     """Delete all cuts of this process; frames that were read from them can't be used afterwards."""
     while _written:
