@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import licenses, lines, seeds
+from provenir.llm import licenses, lines, seeds, sessions, trie
 from provenir.llm.common import table
 from provenir.llm.decontaminate import contaminated
 from provenir.llm.neardup import near_duplicates
@@ -68,6 +68,14 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.shared_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_session_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_gaps(table(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +96,9 @@ QUERIES = {
         op9_best_fit_packing,
         op10_benchmark_decontamination,
         op11_simhash_near_dedup,
+        op12_prefix_trie,
+        op13_session_closing,
         pipeline,
     )
 }
-ORACLES = {"op1_line_dedup": lines.oracle(MIN_SITES), "op7_substring_dedup": seeds.oracle(RUN), "op8_license_scan": licenses.oracle()}
+ORACLES = {"op1_line_dedup": lines.oracle(MIN_SITES), "op7_substring_dedup": seeds.oracle(RUN), "op8_license_scan": licenses.oracle(), "op12_prefix_trie": trie.oracle(), "op13_session_closing": sessions.oracle()}
