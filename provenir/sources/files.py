@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,11 +25,14 @@ coChangePairs array<struct<a:string,b:string,count:long>>"""
 def object_files(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFrame:
     """(path, text) of every matching file below ``root``, the path relative to it."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    full = F.regexp_replace(F.col("_metadata.file_path"), r"^\w+:/*", "/")
+    return rows.select(F.expr("value").alias("text"), F.col("_metadata.file_path").alias("full")).select(relative("full", root).alias("path"), "text")
+
+
+def relative(full: str, root: str) -> Column:
+    """A file's path below ``root``, which is cut off as it stands, without case."""
+    path = F.regexp_replace(full, r"^\w+:/*", "/")
     base = re.sub(r"^\w+:/*", "/", root).replace("\\", "/").rstrip("/") + "/"
-    # The root is cut off as it stands, without case
-    cut_off = F.when(F.lower(F.left("full", F.lit(len(base)))) == base.lower(), F.expr(f"substring(full, {len(base) + 1})")).otherwise(F.col("full"))
-    return rows.select(F.expr("value").alias("text"), full.alias("full")).select(cut_off.alias("path"), "text")
+    return F.when(F.lower(F.left(path, F.lit(len(base)))) == base.lower(), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
 
 
 def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str, warnings: list[str], what: str) -> DataFrame:
