@@ -74,10 +74,12 @@ def _edges(nodes: DataFrame) -> DataFrame:
 def assemble(files: DataFrame, *, metrics: DataFrame | None = None, log: DataFrame | None = None, blobs: DataFrame | None = None, prefix: str = "") -> Catalog:
     """The catalog of object files (path, text).
 
-    ``metrics`` (path, text) are JSON histories beside the objects' paths; ``log`` (log, line_no, value) is the git log of
-    the files below ``prefix``, newest commit first, and ``blobs`` (id, sha, text) are their earlier versions. Paths of
+    ``metrics`` (path, text) are JSON histories beside the objects' paths; ``log`` is the git log of the files below
+    ``prefix``, as lines (log, line_no, value) or as rows of :func:`provenir.sources.gitlog.git_log`, and ``blobs`` (id, sha, text) are their earlier versions. Paths of
     fewer than four parts and metrics that are no JSON list are skipped with a warning. Without a log every object has 0
-    changes and no history. An empty table gives an empty catalog; further columns are ignored.
+    changes and no history. The log ends before the tree that is being published: a run's own commit is seen by the next
+    run. Where the catalog's own export lies below ``prefix``, every run makes a commit of it, which takes one of the last
+    commits that count; keep it elsewhere. An empty table gives an empty catalog; further columns are ignored.
     """
     spark = files.sparkSession
     nodes = _objects(files)
@@ -95,7 +97,7 @@ def assemble(files: DataFrame, *, metrics: DataFrame | None = None, log: DataFra
         changes = spark.createDataFrame([], "sha string, date string, message string, objectIds array<string>")
         pairs = spark.createDataFrame([], "a string, b string, count long")
     else:
-        lines = history.parse_git_log(log)
+        lines = history.parse_git_log(log) if "line_no" in log.columns else log
         commits = lines.select("sha", "date", "message").distinct()
         touched = history.commit_objects(lines, nodes, prefix)
         versions = history.version_history(touched, commits)

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_COMMITS, MAX_VERSIONS, MAX_FETCHES, MAX_PAIR_SIZE, MAX_PAIRS = 250, 15, 1500, 40, 100
+#: Lines of a log that are read together.
+SEGMENT = 10_000
 
 
 def parse_git_log(lines: DataFrame) -> DataFrame:
-    """(line_no, value) of a ``@@COMMIT@@sha@@date@@subject`` log to (sha, date, message, path); a header opens a group,
+    """(log, line_no, value) of ``@@COMMIT@@sha@@date@@subject`` logs to (sha, date, message, path); a header opens a group,
     and lines before the first one go.
 
-    The group key runs over the log's order, so a log is one ordered stream; several logs are told apart by ``log``.
+    A log is read in segments of ``SEGMENT`` lines: each keeps its last header, and one row a segment carries it to the
+    lines at the head of the next. No window holds more than a segment's lines, or a log's segments. For files, see
+    :func:`provenir.sources.gitlog.git_log`, which needs neither.
     """
     header = F.when(F.col("value").startswith("@@COMMIT@@"), F.split("value", "@@", 5))
-    by_log = Window.partitionBy("log").orderBy("line_no")
-    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(by_log)).withColumn("path", F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
+    rows = lines.select("log", "line_no", "value", F.floor(F.col("line_no") / SEGMENT).alias("segment"), header.alias("h"))
+    inside = Window.partitionBy("log", "segment").orderBy("line_no")
+    ends = rows.groupBy("log", "segment").agg(F.max_by("h", F.when(F.col("h").isNotNull(), F.col("line_no"))).alias("last"))
+    before = Window.partitionBy("log").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("log", "segment", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    rows = rows.withColumn("h", F.last("h", ignorenulls=True).over(inside)).join(carried, ["log", "segment"]).withColumn("h", F.coalesce("h", "carried"))
+    rows = rows.withColumn("path", F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
     rows = rows.filter("h is not null and not startswith(value, '@@COMMIT@@') and path <> ''")
     return rows.select(F.get("h", 2).alias("sha"), F.get("h", 3).alias("date"), F.get("h", 4).alias("message"), "path")
 
