@@ -21,7 +21,7 @@ from provenir.llm.common import cut
 from provenir.llm.neardup import SALT_MEMBERS, spread_join
 
 #: Distinct sequences that one task sorts; a group of more is parted by its next turn.
-LOCAL = 4096
+LOCAL = 256
 #: Nodes that are sent on at once.
 SEND = 20_000
 NONE = hashlib.sha256(b"").hexdigest()
