@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.storage import maybe_broadcast
+from provenir.operators.lookup import prune, with_name
+from provenir.storage import cut
 
 # The patterns by which names are found, and words that are no alias.
 QUALIFIED = r"(?U)\[?([A-Za-z_][\w$#]*)\]?\.\[?([A-Za-z_][\w$#]*)\]?"
@@ -19,6 +20,11 @@ STOP = (
     "INTO", "SELECT", "FROM", "AND", "OR", "NOT", "NULL", "IS", "IN", "EXISTS", "BEGIN", "END", "GO", "WITH", "FOR", "BY", "ALL",
     "DISTINCT", "TOP", "AS",
 )
+#: A word, looked at but not taken with what follows it if that is an alias, and with the first letter after that. The words
+#: so found are all that the pattern of an alias can end a name in.
+FOLLOWED = r"(?iuU)(?<![\w$#])(?=([\w$#]++\]?" + ALIAS + r"(?:\s+\[?[A-Za-z_])?))[\w$#]"
+#: Its parts: the word, ``AS``, the alias, and the letter after it.
+PARTS = r"(?iuUs)^([\w$#]++)\]?(\s+(?:AS\s+)?)\[?([A-Za-z_][\w$#]*+)\]?(\s.*)?$"
 #: ``name.`` and, looked at but not taken, what follows: a name in brackets or a plain one. Pairs thus overlap.
 REFERENCE = r"(?U)\b([\w$#]+)\.(?=\[([^\]]+)\]|([\w$#]+))"
 
@@ -45,14 +51,13 @@ def bare_tokens(nodes: DataFrame, text: str = "ddl") -> DataFrame:
 def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search.
 
-    Tokens that are no unique name of the server or of one of its databases go before anything is shuffled, as long as the names can be broadcast.
+    Tokens that are no unique name of the server or of one of its databases go before anything is shuffled.
     """
     names = _scope(nodes).select("id", "server", "database", F.lower("name").alias("token"))
     in_db = names.groupBy("server", "database", "token").agg(F.count("*").alias("n"), F.min("id").alias("db_id")).filter("n = 1").drop("n")
     in_server = names.groupBy("server", "token").agg(F.count("*").alias("n"), F.min("id").alias("server_id")).filter("n = 1").drop("n")
-    known = maybe_broadcast(in_db.select("server", "token").distinct())
-    hits = bare_tokens(nodes, text).join(known, ["server", "token"], "left_semi")
-    hits = hits.join(in_db, ["server", "database", "token"], "left").join(in_server, ["server", "token"], "left")
+    hits = prune(bare_tokens(nodes, text), in_db, ["server", "token"])
+    hits = with_name(with_name(hits, in_db, ["server", "database", "token"]), in_server, ["server", "token"])
     return hits.select(F.col("id").alias("from"), F.coalesce("db_id", "server_id").alias("to")).filter("`from` <> `to`").distinct()
 
 
@@ -63,7 +68,8 @@ def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     body = _text(nodes, text)
     both = F.arrays_zip(F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(1)).alias("s"), F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(2)).alias("n"))
     found = scoped.select(F.col("id").alias("from"), "server", "database", F.inline(F.array_distinct(F.transform(both, lambda x: F.struct(F.lower(x["s"]).alias("s"), F.lower(x["n"]).alias("n"))))))
-    return found.join(names, ["server", "database", "s", "n"]).filter("`from` <> `to`").select("from", "to").distinct()
+    keys = ["server", "database", "s", "n"]
+    return with_name(prune(found, names, keys), names, keys).filter("`from` <> `to`").select("from", "to").distinct()
 
 
 def edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
@@ -75,16 +81,62 @@ def _literal(c: Column) -> Column:
     return F.regexp_replace(c, "([^A-Za-z0-9_])", r"\\$1")
 
 
-def aliases(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(from, to, alias), lower-cased: the target's own name, and what follows it in the definition but for stop words."""
+def _aliases_by_pattern(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(from, to, alias) by a pattern of the target's name over the source's definition, edge by edge: for names of any characters."""
     source = nodes.select(F.col("id").alias("from"), "ddl")
     target = nodes.select(F.col("id").alias("to"), "schema", "name")
     schema = F.when(F.col("schema").isNotNull(), F.concat(F.lit(r"(?:\[?"), _literal(F.col("schema")), F.lit(r"\]?\.)?"))).otherwise("")
     pattern = F.concat(F.lit("(?iuU)"), schema, F.lit(r"\[?"), _literal(F.col("name")), F.lit(r"\]?" + ALIAS))
     rows = found.select("from", "to").join(source, "from").join(target, "to").withColumn("p", pattern)
-    words = F.array_union(F.array(F.lower("name")), F.transform(F.regexp_extract_all("ddl", F.col("p"), F.lit(1)), lambda x: F.lower(x)))
-    out = rows.select("from", "to", F.lower("name").alias("own"), F.explode(F.array_distinct(words)).alias("alias"))
-    return out.filter((F.col("alias") == F.col("own")) | ~F.upper("alias").isin(*STOP)).select("from", "to", "alias")
+    words = F.transform(F.regexp_extract_all("ddl", F.col("p"), F.lit(1)), lambda x: F.lower(x))
+    return rows.select("from", "to", F.explode(F.array_distinct(words)).alias("alias"))
+
+
+def followed_words(nodes: DataFrame) -> DataFrame:
+    """(from, pos, word, alias, until): every word of a definition that an alias may follow, in order, both in small letters.
+
+    ``until`` is the place of the last word that a match here takes: the alias, where it is such a word itself, and an
+    ``AS`` before it.
+    """
+    part = lambda i: F.regexp_extract("phrase", PARTS, i)
+    rows = nodes.select(F.col("id").alias("from"), F.posexplode(F.regexp_extract_all("ddl", F.lit(FOLLOWED), F.lit(1))).alias("pos", "phrase"))
+    rows = rows.select("from", "pos", F.lower(part(1)).alias("word"), F.lower(part(3)).alias("alias"), (F.trim(F.regexp_replace(part(2), r"(?U)\s+", " ")) != "").cast("int").alias("named"), (part(4) != "").cast("int").alias("more"))
+    return rows.select("from", "pos", "word", "alias", (F.col("pos") + F.col("named") + F.col("more")).alias("until"))
+
+
+def _aliases_by_words(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(from, to, alias) for targets whose names are words: each definition is read once, whatever its edges.
+
+    A name matches at the end of any word, as nothing bounds it before. Matches of one edge don't overlap: one that begins
+    in another's alias goes, so they are gone through in order.
+    """
+    target = found.select("from", "to").join(nodes.select(F.col("id").alias("to"), F.lower("name").alias("low")), "to")
+    target = target.filter(F.col("low").rlike(r"(?U)^[\w$#]+$"))
+    longest = target.agg(F.max(F.length("low"))).first()[0] or 1
+    n = F.length("word")
+    ends = F.transform(F.sequence(F.greatest(n - longest + 1, F.lit(1)), n), lambda i: F.substring("word", i, n))
+    words = followed_words(nodes).select("from", "pos", "alias", "until", F.explode(ends).alias("low"))
+    hits = prune(words, target, ["low"]).join(target, ["from", "low"])
+    lists = hits.groupBy("from", "to").agg(F.sort_array(F.collect_list(F.struct("pos", "until", "alias"))).alias("m"))
+    step = lambda s, x: F.when(x["pos"] > s["until"], F.struct(x["until"].alias("until"), F.array_append(s["kept"], x["alias"]).alias("kept"))).otherwise(s)
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<string>").alias("kept"))
+    return lists.select("from", "to", F.explode(F.array_distinct(F.aggregate("m", start, step)["kept"])).alias("alias"))
+
+
+def aliases(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(from, to, alias), lower-cased: the target's own name, and what follows it in the definition but for stop words.
+
+    Targets whose names are words are looked up among the words of each definition, read once; only names with other
+    characters need a pattern of their own.
+    """
+    return _aliases(cut(found.select("from", "to"), "edges"), nodes)
+
+
+def _aliases(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    own = found.select("from", "to").join(nodes.select(F.col("id").alias("to"), F.lower("name").alias("alias")), "to").select("from", "to", "alias")
+    odd = nodes.filter(~F.lower("name").rlike(r"(?U)^[\w$#]+$")).select(F.col("id").alias("to"))
+    named = _aliases_by_words(found, nodes).unionByName(_aliases_by_pattern(found.join(odd, "to", "left_semi"), nodes))
+    return own.unionByName(named.filter(~F.upper("alias").isin(*STOP))).distinct()
 
 
 def column_refs(found: DataFrame, nodes: DataFrame, columns: DataFrame) -> DataFrame:
@@ -101,7 +153,8 @@ def column_refs(found: DataFrame, nodes: DataFrame, columns: DataFrame) -> DataF
     pairs = pairs.select("from", "pos", F.explode(called).alias("alias"), spelled.alias("spelled")).select("from", "pos", "alias", F.explode("spelled").alias("column"))
     pairs = pairs.filter(F.col("column").rlike(r"(?U)\w$") & (F.col("alias") != ""))
     known = columns.filter("name <> ''").select(F.col("id").alias("to"), F.lower("name").alias("low")).distinct()
-    hits = aliases(found, nodes).join(pairs, ["from", "alias"]).withColumn("low", F.lower("column")).join(known, ["to", "low"], "left_semi")
+    found = cut(found.select("from", "to"), "edges")
+    hits = _aliases(found, nodes).join(pairs, ["from", "alias"]).withColumn("low", F.lower("column")).join(known, ["to", "low"], "left_semi")
     first = hits.groupBy("from", "to", "low").agg(F.min_by("column", F.struct("pos", -F.length("column"))).alias("column"))
     lists = first.groupBy("from", "to").agg(F.sort_array(F.collect_list("column")).alias("columns"))
     return found.select("from", "to").join(lists, ["from", "to"], "left").select("from", "to", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
