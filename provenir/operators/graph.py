@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.storage import cut
+from provenir.storage import cut, maybe_broadcast
 
 MAX_HOPS = 6
+#: Edges of a node that one task joins; more are dealt over several.
+HEAVY = 10_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -16,37 +18,62 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, hops: int, inside) -> DataFrame:
-    """(seed, id, hop) by breadth: each hop joins the frontier once and drops what was seen; both are written between hops."""
-    seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).cast("long").alias("hop"), F.lit(True).alias("grows")).distinct(), "seen")
-    front = seen
+def _dealt(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves with a ``part``, heavy nodes with their number of parts): edges of a node with more than ``HEAVY`` are dealt over parts."""
+    heavy = cut(moves.groupBy("from").count().filter(F.col("count") > HEAVY).select("from", F.ceil(F.col("count") / HEAVY).cast("int").alias("parts")), "heavy")
+    parted = moves.join(maybe_broadcast(heavy), "from", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")), F.lit(0)).cast("int")
+    return cut(parted.select("from", part.alias("part"), "to"), "moves"), heavy
+
+
+def _walk(moves: DataFrame, seeds: DataFrame, hops: int, servers: DataFrame | None = None) -> DataFrame:
+    """(seed, id, hop) by breadth over ``moves`` (from, to), from ``seeds`` (id, home).
+
+    64 seeds of one home share a row of a node: a bit each. A hop joins the frontier with the edges, merges the bits that
+    meet in a node within each task before the shuffle, and keeps those that weren't seen. The edges of a node with many
+    are dealt over parts, which all get its frontier rows. With ``servers`` (id, server), rows go on from nodes of their
+    home only. Each hop is written to shared storage.
+    """
+    same = ["id", "block", "home"]
+    home = F.coalesce(F.concat(F.lit("="), F.col("home").cast("string")), F.lit(""))  # null is a home of its own, where nothing goes on
+    numbered = seeds.select("id", home.alias("home")).distinct().sortWithinPartitions("home").withColumn("n", F.monotonically_increasing_id())
+    numbered = cut(numbered.select("id", "home", F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(63).cast("int").alias("bit")), "seeds")
+    names = cut(numbered.groupBy("block", "home").agg(F.map_from_entries(F.collect_list(F.struct("bit", "id"))).alias("ids")), "names")
+    moves, heavy = _dealt(moves)
+    one = F.lit(1).cast("long")
+    front = cut(numbered.select(*same, F.call_function("shiftleft", one, F.col("bit")).alias("bits"), F.lit(0).cast("long").alias("hop"), F.lit(True).alias("grows")), "front")
+    fronts = front
     for hop in range(1, hops + 1):
-        step = front.filter("grows").select("seed", "id").join(edges, F.col("id") == F.col("from")).select("seed", F.col("to").alias("id")).distinct()
-        front = cut(inside(step.join(seen, ["seed", "id"], "left_anti")).select("seed", "id", F.lit(hop).cast("long").alias("hop"), "grows"), "front")
+        wide = front.filter("grows").join(maybe_broadcast(heavy), F.col("id") == F.col("from"), "left").drop("from")
+        wide = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        step = wide.join(moves.withColumnRenamed("part", "p"), (F.col("id") == F.col("from")) & (F.col("part") == F.col("p")))
+        step = step.groupBy(F.col("to").alias("id"), "block", "home").agg(F.bit_or("bits").alias("bits"))
+        seen = fronts.groupBy(*same).agg(F.bit_or("bits").alias("seen"))
+        new = step.join(seen, same, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0))))).filter("bits <> 0")
+        if servers is None:
+            new = new.withColumn("grows", F.lit(True))
+        else:
+            new = new.join(servers, "id", "left").withColumn("grows", F.coalesce(F.concat(F.lit("="), F.col("server").cast("string")) == F.col("home"), F.lit(False)))
+        front = cut(new.select(*same, "bits", F.lit(hop).cast("long").alias("hop"), "grows"), "front")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        fronts = fronts.unionByName(front)
+    held = F.filter(F.map_entries("ids"), lambda e: F.call_function("shiftright", F.col("bits"), e["key"]).bitwiseAND(1) == 1)
+    return fronts.join(maybe_broadcast(names), ["block", "home"]).select(F.explode(held).alias("e"), "id", "hop").select(F.col("e.value").alias("seed"), "id", "hop")
 
 
 def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, *, incoming: bool = False, hops: int = MAX_HOPS) -> DataFrame:
     """(seed, id, hop): least hops up to ``hops``, without the seed. Objects of another server are met but not passed."""
-    moves = cut(edges.select(F.col("to").alias("from"), F.col("from").alias("to")) if incoming else edges.select("from", "to"), "moves")
-    server = cut(nodes.select("id", "server"), "servers")
-    home = server.select(F.col("id").alias("seed"), F.col("server").alias("home"))
-
-    def inside(step: DataFrame) -> DataFrame:
-        placed = step.join(server, "id", "left").join(home, "seed", "left")
-        return placed.withColumn("grows", F.coalesce(F.col("server") == F.col("home"), F.lit(False)))
-
-    known = seeds.join(server.select("id"), "id", "left_semi")
-    return _walk(moves, known, hops, inside).filter("hop > 0").select("seed", "id", "hop")
+    moves = edges.select(F.col("to").alias("from"), F.col("from").alias("to")) if incoming else edges.select("from", "to")
+    servers = cut(nodes.select("id", "server"), "servers")
+    known = seeds.select("id").join(servers.withColumnRenamed("server", "home"), "id")
+    return _walk(moves, known, hops, servers).filter("hop > 0")
 
 
 def neighborhood(edges: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """(seed, id) within ``radius`` undirected hops, the root included; ids without a node stay."""
-    both = cut(edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct(), "both")
-    return _walk(both, roots, radius, lambda step: step.withColumn("grows", F.lit(True))).select("seed", "id")
+    both = edges.select("from", "to").unionByName(edges.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct()
+    return _walk(both, roots.select("id", F.lit("").alias("home")), radius).select("seed", "id")
 
 
 def top_referenced(edges: DataFrame, nodes: DataFrame, kind: str = "Tables", keep: int = 10) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provenir.operators import history
+from provenir.operators import graph, history
 from provenir.plans.queries import query
 from provenir.sources.gitlog import MARK, git_log
 from provenir.sources.tree import current_tree, mirrored_path, publish
@@ -71,3 +72,34 @@ def gitlog_scan(t):
     folder = _folder(log.sparkSession, "log")
     log.write.text(folder)
     return git_log(log.sparkSession, folder)
+
+
+# -- walks -----------------------------------------------------------------------------------------------------------
+
+RINGS = """
+WITH RECURSIVE edges AS (
+  SELECT o_orderkey AS src, coalesce(lead(o_orderkey) OVER w, first_value(o_orderkey) OVER w) AS dst FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+), walk AS (
+  SELECT o_orderkey AS seed, o_orderkey AS id, 0 AS hop, o_orderstatus AS home, TRUE AS grows FROM orders
+  UNION
+  SELECT walk.seed, e.dst, walk.hop + 1, walk.home, o.o_orderstatus = walk.home FROM walk JOIN edges e ON e.src = walk.id JOIN orders o ON o.o_orderkey = e.dst
+  WHERE walk.grows AND walk.hop < 6
+)
+SELECT CAST(seed AS VARCHAR) AS seed, CAST(id AS VARCHAR) AS id, CAST(min(hop) AS BIGINT) AS hop FROM walk WHERE id <> seed GROUP BY seed, id
+"""
+
+
+def order_rings(t):
+    """Each customer's orders as a ring, by date; an order's status is its server."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    after = F.coalesce(F.lead("o_orderkey").over(w), F.first("o_orderkey").over(w))
+    orders = t("orders")
+    nodes = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("server"))
+    return nodes, orders.select(F.col("o_orderkey").cast("string").alias("from"), after.cast("string").alias("to"))
+
+
+@query(RINGS)
+def reachable_rings(t):
+    """Walks of up to six hops around rings that are longer, from every order; those to another server end there."""
+    nodes, edges = order_rings(t)
+    return graph.reachable(edges, nodes, nodes.select("id"))
