@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from provenir.functions.scalar import normalised
 from provenir.operators.catalog import SNAPSHOT, VERSION
+from provenir.sources import jdbc
 
 CATALOG = f"""generatedAt string, servers array<string>, typeCounts map<string,long>,
 nodes array<struct<id:string,server:string,database:string,type:string,schema:string,name:string,qualifiedName:string,path:string,ddl:string,description:string,
@@ -64,17 +65,9 @@ def write_catalog(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A source query over JDBC; the driver's jar is the caller's."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
-
-
 def jdbc_options(url: str, query: str, parameters: dict | None = None, **options: str) -> dict[str, str]:
-    """Options of a JDBC scan: 120 s a query and 30 s to connect by default; ``:name`` in the query takes its parameter as a literal."""
-    for name, value in (parameters or {}).items():
-        text = str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
-        query = re.sub(rf"(?<![:\w]):{re.escape(name)}\b", lambda _: text, query)
-    return {"url": url, "query": query, "queryTimeout": "120", "loginTimeout": "30", "connectTimeout": "30000"} | options
+    """Options of a JDBC scan of one query; ``:name`` in it takes its parameter as a literal."""
+    return jdbc.options(url, **options) | {"query": jdbc.bound(query, parameters)}
 
 
 # Settings of an Oracle session that keep definitions free of storage clauses, and queries of its views.
@@ -98,7 +91,14 @@ def oracle_ddl(owner: str, object_type: str, ddl_type: str | None = None) -> dic
 
 
 def database_links(spark: SparkSession, url: str, **options: str) -> DataFrame:
-    return jdbc(spark, url, ORACLE_LINKS, **options)
+    return jdbc.read(spark, url, ORACLE_LINKS, session=oracle_session(), **options)
+
+
+def oracle_definitions(spark: SparkSession, url: str, owner: str, object_type: str, failures: list[tuple[str, str]], **options: str) -> DataFrame:
+    """(name, ddl) of an owner's objects of a type, fetched at once; objects that can't be read are noted in ``failures``."""
+    asked = oracle_ddl(owner, object_type)
+    names = asked["query"].replace(", DBMS_METADATA.GET_DDL(:ddl_type, object_name, owner) AS ddl", "")
+    return jdbc.read_in_sets(spark, url, asked["query"], "object_name", "name string, ddl string", failures, asked["parameters"], keys=names, session=oracle_session(), **options)
 
 
 def load_config(path: str) -> dict:
