@@ -7,7 +7,9 @@ by its own text. A null text counts as an empty one, and stays null where its ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm.common import cut, maybe_broadcast, table, text_key
@@ -30,6 +32,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 
+def _one_of_each(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows by ``keys``, of which several that share them leave the least by all their columns, as JSON. Single rows aren't moved."""
+    again = cut(docs.groupBy(*keys).count().filter("count > 1").select(*[F.col(k).alias(f"__again_{k}") for k in keys]), "again")
+    if again.isEmpty():
+        return docs.select(columns)
+    same = reduce(Column.__and__, (F.col(k) == F.col(f"__again_{k}") for k in keys))
+    row = F.struct(*columns)
+    least = docs.join(maybe_broadcast(again), same, "left_semi").groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return docs.join(maybe_broadcast(again), same, "left_anti").select(columns).unionByName(least)
+
+
 def _near_dedup_by_text(docs: DataFrame, sha) -> DataFrame:
     """Near-dedup over (doc_id, hash of the text), numbered, as near_duplicates knows one document by its doc_id."""
     named = docs.filter("doc_id is not null").withColumn("__sha", sha)
@@ -39,14 +52,15 @@ def _near_dedup_by_text(docs: DataFrame, sha) -> DataFrame:
     first = found.join(nodes.drop("text"), "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__sha")).alias("m"))
     kept = cut(first.select(F.col("m.doc_id").alias("__kept_doc"), F.col("m.__sha").alias("__kept_sha")), "kept")
     out = named.join(maybe_broadcast(kept), (F.col("doc_id") == F.col("__kept_doc")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__sha"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return _one_of_each(out, ["doc_id", "__sha"], docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8).
 
-    Rows of one doc_id with different texts are documents of their own, rows repeated in full leave one; a null doc_id
-    stays, and so does a text without words, which is near nothing.
+    Rows of one doc_id with different texts are documents of their own. Rows of one doc_id and text are copies whatever
+    their other columns, and the least by all columns (as JSON) stays. A null doc_id stays, and so does a text without
+    words, which is near nothing.
     """
     sha = F.coalesce(F.sha2("text", 256), F.lit(""))
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sha).alias("a"), F.max(sha).alias("b"))
@@ -55,11 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut(near_duplicates(docs, width=5, percent=80), "near")
     gone = found.filter("not kept").select(F.col("doc_id").alias("__gone_doc")).distinct()
     out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("__gone_doc"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return out
-    nulls = out.filter("doc_id is null")
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
+    return _one_of_each(out.filter("doc_id is not null"), ["doc_id"], docs.columns).unionByName(out.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
