@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.operators.lookup import prune, with_name
-from provenir.storage import cut
+from provenir.storage import cut, small
 
 # The patterns by which names are found, and words that are no alias.
 QUALIFIED = r"(?U)\[?([A-Za-z_][\w$#]*)\]?\.\[?([A-Za-z_][\w$#]*)\]?"
@@ -51,13 +51,15 @@ def bare_tokens(nodes: DataFrame, text: str = "ddl") -> DataFrame:
 def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search.
 
-    Tokens that are no unique name of the server or of one of its databases go before anything is shuffled.
+    Tokens that are no unique name of their database or server go before anything is shuffled.
     """
     names = _scope(nodes).select("id", "server", "database", F.lower("name").alias("token"))
-    in_db = names.groupBy("server", "database", "token").agg(F.count("*").alias("n"), F.min("id").alias("db_id")).filter("n = 1").drop("n")
-    in_server = names.groupBy("server", "token").agg(F.count("*").alias("n"), F.min("id").alias("server_id")).filter("n = 1").drop("n")
-    hits = prune(bare_tokens(nodes, text), in_db, ["server", "token"])
-    hits = with_name(with_name(hits, in_db, ["server", "database", "token"]), in_server, ["server", "token"])
+    in_db = cut(names.groupBy("server", "database", "token").agg(F.count("*").alias("n"), F.min("id").alias("db_id")).filter("n = 1").drop("n"), "names")
+    in_server = cut(names.groupBy("server", "token").agg(F.count("*").alias("n"), F.min("id").alias("server_id")).filter("n = 1").drop("n"), "names")
+    hits = bare_tokens(nodes, text)
+    if not (small(in_db) and small(in_server)):  # else the joins are broadcasts, and nothing is shuffled
+        hits = prune(hits, (in_db, ["server", "database", "token"]), (in_server, ["server", "token"]))
+    hits = with_name(with_name(hits, in_db, ["server", "database", "token"], "id"), in_server, ["server", "token"], "id")
     return hits.select(F.col("id").alias("from"), F.coalesce("db_id", "server_id").alias("to")).filter("`from` <> `to`").distinct()
 
 
@@ -68,8 +70,8 @@ def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     body = _text(nodes, text)
     both = F.arrays_zip(F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(1)).alias("s"), F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(2)).alias("n"))
     found = scoped.select(F.col("id").alias("from"), "server", "database", F.inline(F.array_distinct(F.transform(both, lambda x: F.struct(F.lower(x["s"]).alias("s"), F.lower(x["n"]).alias("n"))))))
-    keys = ["server", "database", "s", "n"]
-    return with_name(prune(found, names, keys), names, keys).filter("`from` <> `to`").select("from", "to").distinct()
+    keys, names = ["server", "database", "s", "n"], cut(names, "names")
+    return with_name(found if small(names) else prune(found, (names, keys)), names, keys, "from").filter("`from` <> `to`").select("from", "to").distinct()
 
 
 def edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
@@ -116,7 +118,7 @@ def _aliases_by_words(found: DataFrame, nodes: DataFrame) -> DataFrame:
     n = F.length("word")
     ends = F.transform(F.sequence(F.greatest(n - longest + 1, F.lit(1)), n), lambda i: F.substring("word", i, n))
     words = followed_words(nodes).select("from", "pos", "alias", "until", F.explode(ends).alias("low"))
-    hits = prune(words, target, ["low"]).join(target, ["from", "low"])
+    hits = prune(words, (target, ["low"])).join(target, ["from", "low"])
     lists = hits.groupBy("from", "to").agg(F.sort_array(F.collect_list(F.struct("pos", "until", "alias"))).alias("m"))
     step = lambda s, x: F.when(x["pos"] > s["until"], F.struct(x["until"].alias("until"), F.array_append(s["kept"], x["alias"]).alias("kept"))).otherwise(s)
     start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<string>").alias("kept"))

@@ -1,4 +1,4 @@
-"""Joins of many rows with a table of names: pruned before the shuffle, frequent names apart."""
+"""Joins of many rows with a table of names: pruned before the shuffle, frequent names dealt over tasks."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.storage import cut, maybe_broadcast, small
+from provenir.storage import cut, small
 
 #: Bits a name and bits at most of a filter. A filter of too many names holds nearly everything: it prunes less, but loses nothing.
 BITS_A_NAME, MOST_BITS = 12, 1 << 26
 HASHES = 4
-#: Rows of one name from which it is joined apart.
-FREQUENT = 100_000
+#: Tasks over which the rows of one name are dealt.
+SALTS = 16
 
 
 def _places(keys: list[str], bits: int) -> list[Column]:
@@ -30,30 +30,30 @@ def bloom(names: DataFrame, keys: list[str], bits: int) -> DataFrame:
     return rows.select(F.transform("x", lambda w: w["set"]).alias("bloom"))
 
 
-def prune(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` without most of those whose keys are no name, before anything is shuffled; none that is one is lost.
+def prune(rows: DataFrame, *scopes: tuple[DataFrame, list[str]]) -> DataFrame:
+    """``rows`` without most of those that are a name in none of the scopes (names, keys), before anything is shuffled.
 
-    Few names are broadcast, and then nothing but names is left; of more, a Bloom filter is, sized by their count. Null
-    keys go.
+    None that is a name is lost. The names of one scope are broadcast where they are few, and then only names are left;
+    otherwise a Bloom filter of each scope is, sized by its count. Null keys are no name.
     """
-    names = names.select(*keys).distinct()
-    if small(names):
-        return rows.join(F.broadcast(names), keys, "left_semi")
-    names = cut(names, "names")
-    bits = min(MOST_BITS, 64 * (names.count() * BITS_A_NAME // 64 + 1))
-    full = cut(bloom(names, keys, bits), "bloom")
-    holds = lambda at: F.get("bloom", F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
-    some = rows.filter(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)))
-    return some.join(F.broadcast(full), reduce(Column.__and__, map(holds, _places(keys, bits))), "left_semi")
-
-
-def with_name(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` left-joined with ``names``, which has each key once. Names of many rows are joined by broadcast, the others by a shuffle."""
+    scopes = [(names.select(*keys).distinct(), keys) for names, keys in scopes]
+    if len(scopes) == 1 and small(scopes[0][0]):
+        return rows.join(F.broadcast(scopes[0][0]), scopes[0][1], "left_semi")
+    filters, held = None, []
+    for i, (names, keys) in enumerate(scopes):
+        names = cut(names, "names")
+        bits = min(MOST_BITS, 64 * (names.count() * BITS_A_NAME // 64 + 1))
+        full = cut(bloom(names, keys, bits), "bloom").withColumnRenamed("bloom", f"bloom{i}")
+        filters = full if filters is None else filters.crossJoin(F.broadcast(full))  # one row each
+        one = lambda at, i=i: F.get(f"bloom{i}", F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+        held.append(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys] + [one(at) for at in _places(keys, bits)]))
+    return rows.join(F.broadcast(filters), reduce(Column.__or__, held), "left_semi")
+
+
+def with_name(rows: DataFrame, names: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` left-joined with ``names``, which has each key once: by broadcast where they are few, else with every name
+    in ``SALTS`` copies, over which a frequent one's rows are dealt by ``by``."""
     if small(names):
         return rows.join(F.broadcast(names), keys, "left")
-    often = cut(rows.groupBy(*keys).count().filter(F.col("count") >= FREQUENT).drop("count"), "often")
-    if often.isEmpty():
-        return rows.join(names, keys, "left")
-    often = maybe_broadcast(cut(often.join(names, keys, "left"), "often"))  # at most one name in FREQUENT rows
-    mark = often.select(*keys)
-    return rows.join(mark, keys, "left_semi").join(often, keys, "left").unionByName(rows.join(mark, keys, "left_anti").join(names, keys, "left"))
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salted, [*keys, "salt"], "left").drop("salt")

@@ -49,23 +49,31 @@ def test_pruned_rows_hold_all_names(spark, monkeypatch, bits):
     names = spark.range(500).select(F.concat(F.lit("n"), F.col("id")).alias("k"), (F.col("id") % 7).alias("g"))
     wanted = spark.range(3000).select(F.concat(F.lit("n"), F.col("id")).alias("k"), (F.col("id") % 7).alias("g"), "id").unionByName(spark.createDataFrame([(None, 1, 5)], "k string, g long, id long"))
     plain = rows(wanted.join(names, ["k", "g"]).select("id"))
-    assert rows(prune(wanted, names, ["k", "g"]).select("id")) == plain  # broadcast
+    assert rows(prune(wanted, (names, ["k", "g"])).select("id")) == plain  # broadcast
     monkeypatch.setattr(lookup, "small", lambda df: False)
     monkeypatch.setattr(lookup, "MOST_BITS", bits)
-    got = prune(wanted, names, ["k", "g"])
+    got = prune(wanted, (names, ["k", "g"]))
     assert set(plain) <= set(rows(got.select("id")))
     assert rows(got.join(names, ["k", "g"]).select("id")) == plain
     assert got.count() < 600 if bits > 64 else got.count() > 2000  # a full filter prunes nothing
-    none = prune(wanted, names.limit(0), ["k", "g"])
+    none = prune(wanted, (names.limit(0), ["k", "g"]))
     assert none.count() == 0
 
 
-def test_frequent_names_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "small", lambda df: False)
-    monkeypatch.setattr(lookup, "FREQUENT", 50)
+def test_rows_of_either_scope_stay(spark, monkeypatch):
+    left = spark.range(300).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") % 3).alias("g"))
+    one, two = left.filter("g = 1").limit(20), left.filter("g = 2").select("k").limit(20)
+    got = {r.k for r in prune(left, (one, ["k", "g"]), (two, ["k"])).collect()}
+    assert {r.k for r in one.collect()} | {r.k for r in two.collect()} <= got and len(got) < 80
+
+
+def test_frequent_names_are_dealt(spark, monkeypatch):
     left = spark.range(400).select(F.when(F.col("id") < 200, "hot").when(F.col("id") < 300, "gone").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id")
     names = spark.createDataFrame([("hot", 1), ("k301", 2), ("other", 3)], "k string, v long")
-    assert sorted(map(str, rows(with_name(left, names, ["k"])))) == sorted(map(str, rows(left.join(names, "k", "left"))))
+    want = sorted(map(str, rows(left.join(names, "k", "left"))))
+    assert sorted(map(str, rows(with_name(left, names, ["k"], "id")))) == want
+    monkeypatch.setattr(lookup, "small", lambda df: False)
+    assert sorted(map(str, rows(with_name(left, names, ["k"], "id")))) == want
 
 
 @pytest.mark.parametrize("few", [True, False])
@@ -73,7 +81,7 @@ def test_edges_do_not_depend_on_the_way(spark, monkeypatch, few):
     nodes = spark.createDataFrame(some_nodes(7, 200), NODES).withColumn("name", F.concat("name", F.col("id")))
     texts = nodes.withColumn("ddl", F.concat_ws(" ", "ddl", F.lit("dbo.Ordersn14 [dbo].[usersn10] Größen5 big_tablen13"), "ddl"))
     want = rows(bare_edges(texts)), rows(qualified_edges(texts))
-    monkeypatch.setattr(lookup, "small", lambda df: few)
-    monkeypatch.setattr(lookup, "FREQUENT", 20)
+    for module in (lookup, lineage):
+        monkeypatch.setattr(module, "small", lambda df: few)
     assert (rows(bare_edges(texts)), rows(qualified_edges(texts))) == want
     assert want[0] and want[1]
