@@ -80,6 +80,28 @@ def tree_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("server", "database", "schema", "type").agg(F.count("*").alias("n"))
 
 
+def tree_levels(nodes: DataFrame) -> DataFrame:
+    """All levels of the hierarchy in one aggregate: ``level, server, database, schema, type, path, n``.
+
+    Level 0 is the whole catalog, 1 to 4 are servers, databases, schemas and types; deeper columns are null, as a schema
+    is that an object doesn't have: the level tells them apart. ``path`` is unique, and the rows below a node are a range
+    of paths (:func:`children`).
+    """
+    keys = ("server", "database", "schema", "type")
+    some = nodes.select(*keys)
+    sets = [[some[k] for k in keys[:i]] for i in range(len(keys) + 1)]
+    rows = some.groupingSets(sets, *[some[k] for k in keys]).agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
+    level = F.lit(4) - F.bit_count("gid").cast("int")
+    parts = [F.when(F.lit(i) < level, F.coalesce(F.concat(F.lit("="), F.replace(F.replace(F.col(k), F.lit("!"), F.lit("!1")), F.lit("/"), F.lit("!2"))), F.lit("-"))) for i, k in enumerate(keys)]
+    return rows.filter((level > 0) | (F.col("n") > 0)).select(level.cast("long").alias("level"), *keys, F.concat_ws("/", F.lit(""), *parts).alias("path"), "n")
+
+
+def children(levels: DataFrame, path: str) -> DataFrame:
+    """The rows one level below the node at ``path`` of :func:`tree_levels`, read as a range of paths."""
+    depth = path.count("/")
+    return levels.filter((F.col("path") > f"{path}/") & (F.col("path") < f"{path}0") & (F.col("level") == depth + 1))
+
+
 def tree(nodes: DataFrame) -> DataFrame:
     """(server, databases): databases, schemas, types and objects nested in order. A server's tree is one row, as a page shows it."""
     steps = ("database", "schema", "type")

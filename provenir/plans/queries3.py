@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provenir.operators import graph, history
+from provenir.operators import browse, graph, history
+from provenir.operators.asof import as_of
 from provenir.plans.queries import query
 from provenir.sources.gitlog import MARK, git_log
 from provenir.sources.tree import current_tree, mirrored_path, publish
@@ -103,3 +104,44 @@ def reachable_rings(t):
     """Walks of up to six hops around rings that are longer, from every order; those to another server end there."""
     nodes, edges = order_rings(t)
     return graph.reachable(edges, nodes, nodes.select("id"))
+
+
+# -- as-of joins and levels ------------------------------------------------------------------------------------------
+
+AS_OF = """
+WITH versions AS (
+  SELECT client_id AS id, valid_at AS date, max(change_id) AS sha FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY client_id, valid_at
+)
+SELECT s.sale_id, s.client_id AS id, s.sold_at AS "at", v.date, v.sha
+FROM sales s ASOF LEFT JOIN versions v ON s.client_id = v.id AND s.sold_at >= v.date
+"""
+
+
+@query(AS_OF)
+def as_of_sales(t):
+    """The change of its client that was the latest when each sale was made."""
+    versions = t("client_changes").select(F.col("client_id").alias("id"), F.col("valid_at").alias("date"), F.col("change_id").alias("sha"))
+    return as_of(versions, t("sales").select("sale_id", F.col("client_id").alias("id"), F.col("sold_at").alias("at")), width=86400)
+
+
+LEVELS = """
+WITH nodes AS (
+  SELECT coalesce(source, 'none') AS server, segment AS database, city AS schema, CASE WHEN balance < 0 THEN 'debt' ELSE 'fine' END AS type FROM clients
+), sets AS (
+  SELECT 4 - (grouping(server) + grouping(database) + grouping(schema) + grouping(type)) AS level, server, database, schema, type, count(*) AS n
+  FROM nodes GROUP BY GROUPING SETS ((), (server), (server, database), (server, database, schema), (server, database, schema, type))
+)
+SELECT CAST(level AS BIGINT) AS level, server, database, schema, type, n,
+  CASE WHEN level > 0 THEN '/=' || server ELSE '' END
+  || CASE WHEN level > 1 THEN '/' || coalesce('=' || replace(replace(database, '!', '!1'), '/', '!2'), '-') ELSE '' END
+  || CASE WHEN level > 2 THEN '/' || coalesce('=' || replace(replace(schema, '!', '!1'), '/', '!2'), '-') ELSE '' END
+  || CASE WHEN level > 3 THEN '/=' || type ELSE '' END AS path
+FROM sets
+"""
+
+
+@query(LEVELS)
+def tree_levels(t):
+    """Clients by source, segment, city and balance, on all levels at once."""
+    kind = F.when(F.col("balance") < 0, "debt").otherwise("fine")
+    return browse.tree_levels(t("clients").select(F.coalesce("source", F.lit("none")).alias("server"), F.col("segment").alias("database"), F.col("city").alias("schema"), kind.alias("type")))
