@@ -7,6 +7,7 @@ from provenir.functions import scalar
 from provenir.operators import access, browse, catalog, extract, graph, history, lineage, metrics, parse
 from provenir.sources import files
 from provenir.streaming.metrics import fold
+from provenir.streaming.metrics import history as history_of
 
 
 def rows(df, *cols):
@@ -156,7 +157,7 @@ def test_retention(spark, tmp_path):
     run = fold(str(tmp_path), keep=3)
     for number in range(3):
         run(spark.range(number * 2, number * 2 + 2).select(F.lit("t").alias("id"), F.col("id").alias("seq")), number)
-    assert rows(spark.read.parquet(f"{tmp_path}/v2"), "seq") == [(3,), (4,), (5,)]
+    assert rows(history_of(spark, str(tmp_path), "id string, seq long"), "seq") == [(3,), (4,), (5,)]
 
 
 def test_scale_and_points(spark):
