@@ -152,3 +152,27 @@ def owner_objects(objects: DataFrame, owner: str, kind: str) -> DataFrame:
 def allowed(objects: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Objects of the allowed types, compared without case; none allowed: none."""
     return objects.filter(F.lower("type").isin([k.lower() for k in kinds]) if kinds else F.lit(False))
+
+
+def online_databases(databases: DataFrame) -> DataFrame:
+    """(name) of databases whose state is 0, by name."""
+    return databases.filter("state = 0").select("name").orderBy("name")
+
+
+def schemas_with_owner(schemas: DataFrame, principals: DataFrame) -> DataFrame:
+    """(schema, owner) of schemas (name, principal_id) whose principal (principal_id, name) is known."""
+    return schemas.select(F.col("name").alias("schema"), "principal_id").join(principals.select("principal_id", F.col("name").alias("owner")), "principal_id").select("schema", "owner")
+
+
+# Codes of objects with a definition.
+MODULES = ("P", "V", "TR", "FN", "IF", "TF")
+
+
+def module_objects(objects: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Objects (schema_id, code, ...) that have a definition, with the columns of their schema (schema_id, ...)."""
+    return objects.filter(F.col("code").isin(*MODULES)).join(schemas, "schema_id").drop("schema_id")
+
+
+def owners(objects: DataFrame) -> DataFrame:
+    """(owner) once each, by name."""
+    return objects.select("owner").distinct().orderBy("owner")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SNAPSHOTS = 90
@@ -125,3 +125,49 @@ def chart_points(series: DataFrame, value: str, ranges: DataFrame, height: int =
     x = F.when(F.col("n") <= 1, F.lit(WIDTH / 2)).otherwise(F.col("i") / (F.col("n") - 1) * (WIDTH - 2 * PAD_X) + PAD_X)
     y = F.lit(height - PAD_BOTTOM) - (F.col(value) - F.col("low")) / F.col("span") * (height - PAD_TOP - PAD_BOTTOM)
     return rows.filter(F.col(value).isNotNull()).select("id", "seq", x.alias("x"), y.alias("y"))
+
+
+def attach(nodes: DataFrame, histories: DataFrame) -> DataFrame:
+    """Nodes with their histories by the same id; a node without one stays."""
+    return nodes.join(histories, "id", "left")
+
+
+def modification_counter(*counters: Column) -> Column:
+    """The sum of counters, null ones as 0; null where there is none at all, as for an object without a row."""
+    some = F.coalesce(*counters).isNotNull()
+    return F.when(some, sum((F.coalesce(c, F.lit(0)) for c in counters[1:]), F.coalesce(counters[0], F.lit(0))))
+
+
+def block_kb(blocks: Column) -> Column:
+    """KB of blocks of 8 KB; null where the number isn't known."""
+    return blocks * 8
+
+
+def index_names(metrics: DataFrame) -> DataFrame:
+    """(id, name, first) of every index in any snapshot, with the first ``seq`` that has it."""
+    return metrics.select("id", "seq", F.explode("indexes.name").alias("name")).groupBy("id", "name").agg(F.min("seq").alias("first"))
+
+
+def volume_series(metrics: DataFrame, start: str, *values: str) -> DataFrame:
+    """(id, day, values) of snapshots that are numbered by days from ``start``."""
+    return metrics.select("id", F.date_add(F.lit(start).cast("date"), F.col("seq").cast("int")).cast("string").alias("day"), *values)
+
+
+def runs(series: DataFrame, *values: str) -> DataFrame:
+    """(id, first, last, n, values): neighbouring snapshots with equal values as one row, nulls being equal.
+
+    A chart of a long history needs a run's two ends only: :func:`ends` gives the points, and a line through them is the
+    line through all.
+    """
+    w = Window.partitionBy("id").orderBy("seq")
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(v).eqNullSafe(F.lag(v).over(w))
+    fresh = (~same | (F.row_number().over(w) == 1)).cast("long")
+    rows = series.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+    return rows.groupBy("id", "run", *values).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n")).select("id", "first", "last", "n", *values)
+
+
+def ends(found: DataFrame, *values: str) -> DataFrame:
+    """(id, seq, values): the first and last point of each run of :func:`runs`; a run of one snapshot is one point."""
+    return found.select("id", F.explode(F.array_distinct(F.array("first", "last"))).alias("seq"), *values)

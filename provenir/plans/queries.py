@@ -367,8 +367,10 @@ def _explorer(name, key, descending):
     query(f'{NODES} SELECT id, "{key}" FROM nodes ORDER BY {col} {"DESC" if descending else "ASC"}, id LIMIT 500')(run)
 
 
-for _name, _key, _down in (("explorer_sort_name", "qualifiedName", False), ("explorer_sort_schema_desc", "schema", True), ("explorer_sort_changes_desc", "changeCount", True), ("explorer_sort_last", "lastChangedAt", False)):
-    _explorer(_name, _key, _down)
+SORTS = {"name": "qualifiedName", "server": "server", "database": "database", "schema": "schema", "type": "type", "changes": "changeCount", "last": "lastChangedAt"}
+for _name, _key in SORTS.items():
+    _explorer(f"explorer_sort_{_name}", _key, False)
+    _explorer(f"explorer_sort_{_name}_desc", _key, True)
 
 
 @query(NODES + " SELECT DISTINCT database AS value FROM nodes WHERE contains(lower(database), '#1') ORDER BY value LIMIT 50")

@@ -177,20 +177,21 @@ def edge_labels(t):
 
 @query("SELECT n_name AS name FROM nation WHERE n_regionkey = 1 ORDER BY name")
 def scan_filter_sorted(t):
-    return t("nation").filter("n_regionkey = 1").select(F.col("n_name").alias("name")).orderBy("name")
+    return extract.online_databases(t("nation").select(F.col("n_name").alias("name"), (F.col("n_regionkey") - 1).alias("state")))
 
 
 @query("SELECT n_name AS schema, r_name AS owner FROM nation JOIN region ON n_regionkey = r_regionkey")
 def schemas_with_owner(t):
-    return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("schema"), F.col("r_name").alias("owner"))
+    owners = t("region").select(F.col("r_regionkey").alias("principal_id"), F.col("r_name").alias("name"))
+    return extract.schemas_with_owner(t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("principal_id")), F.broadcast(owners))
 
 
 @query("SELECT r_name AS schema, n_name AS name, s_name AS object, CASE s_suppkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'V' ELSE 'FN' END AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 <> 3")
 def module_objects(t):
     code = F.when(F.col("s_suppkey") % 4 == 0, "P").when(F.col("s_suppkey") % 4 == 1, "V").when(F.col("s_suppkey") % 4 == 2, "FN").otherwise("U")
     places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = t("supplier").withColumn("code", code).filter(F.col("code").isin("P", "V", "TR", "FN", "IF", "TF")).join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select(F.col("r_name").alias("schema"), F.col("n_name").alias("name"), F.col("s_name").alias("object"), "code")
+    schemas = places.select(F.col("n_nationkey").alias("schema_id"), F.col("r_name").alias("schema"), F.col("n_name").alias("name"))
+    return extract.module_objects(t("supplier").select(F.col("s_nationkey").alias("schema_id"), F.col("s_name").alias("object"), code.alias("code")), F.broadcast(schemas))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_size % 5 WHEN 0 THEN 'StoredProcedures' WHEN 1 THEN 'Views' WHEN 2 THEN 'Triggers' WHEN 3 THEN 'Functions' END AS type FROM part WHERE p_size % 5 <> 4")
@@ -201,7 +202,7 @@ def type_code_map(t):
 
 @query("SELECT DISTINCT c_mktsegment AS owner FROM customer ORDER BY owner")
 def distinct_owners(t):
-    return t("customer").select(F.col("c_mktsegment").alias("owner")).distinct().orderBy("owner")
+    return extract.owners(t("customer").select(F.col("c_mktsegment").alias("owner")))
 
 
 @query("SELECT c_mktsegment AS owner, CAST(c_nationkey AS VARCHAR) AS type, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal >= 0 AND c_acctbal < 9000")
@@ -371,14 +372,13 @@ def oracle_snapshot(t):
 @query("SELECT l_partkey AS id, sum(CAST(l_quantity AS BIGINT))::BIGINT AS modifications FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'R')")
 def modification_counter(t):
     rows = t("lineitem").groupBy(F.col("l_partkey").alias("id")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum(F.col("l_quantity").cast("long")))
-    known = F.when(F.col("A").isNotNull() | F.col("N").isNotNull(), F.coalesce("A", F.lit(0)) + F.coalesce("N", F.lit(0)))
-    return t("part").select(F.col("p_partkey").alias("id")).join(rows, "id", "left").select("id", known.alias("modifications"))
+    return t("part").select(F.col("p_partkey").alias("id")).join(rows, "id", "left").select("id", metrics.modification_counter(F.col("A"), F.col("N")).alias("modifications"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN p_size * 8 END AS reserved_kb, CAST(NULL AS BIGINT) AS data_kb FROM part")
 def oracle_volume(t):
     blocks = F.when(F.col("p_size") > 5, F.col("p_size"))
-    return t("part").select(F.col("p_partkey").alias("id"), (blocks * 8).alias("reserved_kb"), F.lit(None).cast("long").alias("data_kb"))
+    return t("part").select(F.col("p_partkey").alias("id"), metrics.block_kb(blocks).alias("reserved_kb"), F.lit(None).cast("long").alias("data_kb"))
 
 
 @query(SERIES + " SELECT id, seq, row_count FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM m) WHERE k <= 7")
@@ -394,7 +394,7 @@ def metrics_latest(t):
 
 @query(SERIES + " SELECT id, CAST(DATE '2024-01-01' + CAST(seq AS INT) AS VARCHAR) AS day, row_count FROM m")
 def metrics_series(t):
-    return event_series(t).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("seq").cast("int")).cast("string").alias("day"), "row_count")
+    return metrics.volume_series(event_series(t), "2024-01-01", "row_count")
 
 
 @query(SERIES + ", i AS (SELECT * FROM per WHERE event_type = 'click') SELECT m.id, m.seq, i.n AS seeks FROM m LEFT JOIN i ON m.id = i.id AND m.seq = i.seq")
@@ -439,8 +439,8 @@ def latest_statistics(t):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, string_agg(event_type, ',' ORDER BY f, event_type) AS names FROM (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS f FROM events GROUP BY ALL) GROUP BY user_id")
 def index_names(t):
-    seen = event_series(t).select("id", "seq", F.explode("indexes.name").alias("name")).groupBy("id", "name").agg(F.min("seq").alias("f"))
-    return seen.withColumn("o", F.struct("f", "name")).groupBy("id").agg(extract.list_agg("name", "o", ",").alias("names"))
+    seen = metrics.index_names(event_series(t))
+    return seen.withColumn("o", F.struct("first", "name")).groupBy("id").agg(extract.list_agg("name", "o", ",").alias("names"))
 
 
 @query(SERIES + " SELECT m.id, coalesce(bool_or(event_type = 'click' AND n % 2 = 1), FALSE) AS by_use, coalesce(bool_or(event_type = 'click' AND n > 2), FALSE) AS by_size FROM m LEFT JOIN per USING (id, seq) GROUP BY m.id")
@@ -464,7 +464,7 @@ def metrics_snapshot(t):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, m.row_count FROM part LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS row_count FROM events GROUP BY 1) m ON m.id = CAST(p_partkey AS VARCHAR)")
 def node_metrics(t):
     m = t("events").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count("*").alias("row_count"))
-    return part_nodes(t).select("id", "name").join(m, "id", "left")
+    return metrics.attach(part_nodes(t).select("id", "name"), m)
 
 
 @query("SELECT p_partkey AS id, '{\"id\":' || p_partkey || ',\"rowCount\":' || p_size || ',\"name\":\"' || p_name || '\"}' AS json FROM part")

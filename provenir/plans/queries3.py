@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provenir.operators import browse, graph, history
+from provenir.operators import browse, graph, history, metrics
 from provenir.operators.asof import as_of
-from provenir.plans.queries import query
+from provenir.operators.search import search
+from provenir.plans.queries import SERIES, event_series, query
 from provenir.sources.gitlog import MARK, git_log
 from provenir.sources.tree import current_tree, mirrored_path, publish
 from provenir.storage import cut, keep, shared_dir
@@ -145,3 +146,33 @@ def tree_levels(t):
     """Clients by source, segment, city and balance, on all levels at once."""
     kind = F.when(F.col("balance") < 0, "debt").otherwise("fine")
     return browse.tree_levels(t("clients").select(F.coalesce("source", F.lit("none")).alias("server"), F.col("segment").alias("database"), F.col("city").alias("schema"), kind.alias("type")))
+
+
+# -- search and runs -------------------------------------------------------------------------------------------------
+
+SEARCH = """
+WITH needles AS (SELECT DISTINCT split_part(name, ' ', 2) AS needle FROM vendors WHERE name IS NOT NULL
+  UNION SELECT DISTINCT substr(split_part(name, ' ', 2), 1, 6) FROM vendors WHERE name IS NOT NULL)
+SELECT needle, client_id AS id FROM needles JOIN (SELECT client_id, min(lower(coalesce(name, ''))) AS a, min(lower(coalesce(email, ''))) AS b FROM clients WHERE client_id IS NOT NULL GROUP BY client_id) c
+ON contains(a, lower(needle)) OR contains(b, lower(needle))
+"""
+
+
+@query(SEARCH)
+def search_names(t):
+    """Clients whose name or address holds the family name of a vendor, or its first six letters."""
+    vendors = t("vendors").filter("name is not null").select(F.coalesce(F.get(F.split("name", " "), F.lit(1)), F.lit("")).alias("n"))
+    needles = vendors.select(F.col("n").alias("needle")).unionByName(vendors.select(F.substring("n", 1, 6).alias("needle")))
+    clients = t("clients").filter("client_id is not null").groupBy(F.col("client_id").alias("id")).agg(F.min(F.lower(F.coalesce("name", F.lit("")))).alias("name"), F.min(F.lower(F.coalesce("email", F.lit("")))).alias("email"))
+    return search(clients, needles, fields=("name", "email"))
+
+
+@query(
+    SERIES
+    + """, v AS (SELECT id, seq, row_count % 2 AS v FROM m),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY id ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM v))
+SELECT id, min(seq) AS first, max(seq) AS last, count(*) AS n, v FROM r GROUP BY id, run, v"""
+)
+def metrics_runs(t):
+    """Snapshots of the events, compressed to runs of equal values."""
+    return metrics.runs(event_series(t).select("id", "seq", (F.col("row_count") % 2).alias("v")), "v")

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from provenir.functions.scalar import safe_file_name
 from provenir.operators.history import tree_diff
+from provenir.operators.parse import render
 from provenir.sources.files import relative
 
 #: Files that a task writes, about; and tasks at most.
@@ -33,6 +34,20 @@ def mirrored_path(server: Column, database: Column, kind: Column, schema: Column
     return F.concat(F.concat_ws("/", safe_file_name(server), safe_file_name(database), safe_file_name(kind), folder, safe_file_name(name)), F.lit(f".{extension}"))
 
 
+def object_tree(objects: DataFrame) -> DataFrame:
+    """(path, text): a file for each of ``objects`` (server, database, type, schema, name, definition), as :func:`publish` takes it."""
+    of = {c: F.col(c) for c in ("server", "database", "type", "schema", "name")}
+    called = F.concat_ws(".", F.nullif(F.trim("schema"), F.lit("")), "name")
+    text = render(of["server"], of["database"], of["type"], called, F.coalesce("definition", F.lit("")))
+    return objects.select(mirrored_path(*of.values()).alias("path"), text.alias("text"))
+
+
+def snapshot_tree(snapshots: DataFrame, *fields: str) -> DataFrame:
+    """(path, text): the ``fields`` of each table's snapshot as JSON, at the table's path with ``.json``; null fields stay."""
+    of = [F.col(c) for c in ("server", "database", "type", "schema", "name")]
+    return snapshots.select(mirrored_path(*of, extension="json").alias("path"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("text"))
+
+
 def _opened(root: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"^\w+:/", root):
         return fs.FileSystem.from_uri(root)
