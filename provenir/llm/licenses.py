@@ -25,9 +25,25 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("Proprietary", "All rights reserved."),
 )
+# Notices that stand at the head of a source file as a block; the short full texts serve as well.
+HEADERS = (
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, see <https://www.gnu.org/licenses/>."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
 CUE = "licen[sc]e|spdx|rights reserved|copyright"
+#: What marks a whole text or a block: terms of which every template has one.
+MARKED = f"{CUE}|warrant|hereby granted|public domain"
+#: A line of a comment; a block is the run of such lines at a text's head, blank ones between them included.
+COMMENT = r"^\s*(?:$|//|#|/?\*|--|;|%|<!--|\(\*)"
+#: Terms that a block needs, fewer being lines; and how similar to a template it is.
+BLOCK_TERMS, LEAST_BLOCK = 20, 0.7
+#: Words up to which a full text may stand as a block.
+SHORT_TEXT = 400
 TERM = "[a-z0-9]+"
 LEAST = 0.5
 #: A document is a licence file if licence lines have this share of its terms.
@@ -63,14 +79,29 @@ def _best(rows: DataFrame, key: str, total: float, templates: DataFrame, least:
     return near.groupBy(key).agg(F.min(order).alias("b")).select(key, F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
+def _blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, path, th, key, terms): the comment at the head of texts that begin with one and have a term of a template."""
+    some = files.filter(F.col("text").rlike(r"^\s*(?://|#|/\*|--|;|%|<!--|\(\*)") & F.lower("text").rlike(MARKED)).select("doc_id", "path", "th", F.lower("text").alias("low"))
+    lines = F.split("low", "\n")
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), F.lit(False)).cast("int")
+    run = F.array_join(F.when(first > 0, F.slice(lines, 1, first - 1)).otherwise(lines), "\n")
+    close = F.instr("low", "*/")
+    some = some.withColumn("block", F.when(F.col("low").rlike(r"^\s*/\*") & (close > 0), F.substring(F.col("low"), F.lit(1), close)).otherwise(run))
+    some = some.withColumn("terms", F.regexp_extract_all("block", F.lit(f"({TERM})"), F.lit(1))).filter(F.size("terms") >= BLOCK_TERMS)
+    return cut(some.select("doc_id", "path", "th", F.sha2("block", 256).alias("key"), "terms"), "blocks")
+
+
 def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
     """One row per file: ``doc_id, path, licence, score, origin`` for files with ``doc_id, path, text``.
 
     Lines with a licence cue are weighed by TF-IDF (counts over all such lines) and compared with each template; the
     best one of at least ``least`` names the file's licence (origin ``header``, or ``file`` where licence lines are half
     of its terms or more, or the file's name is that of a licence file), rights reserved only if no line names another.
-    Whole texts with a cue are weighed by counts over such texts and compared with full licence texts; the best one of
-    at least ``LEAST_WHOLE`` goes before any line (``file``). A file without a licence takes that of the nearest
+    Whole texts that have a term of a template (``MARKED``) or the name of a licence file are weighed by counts over such
+    texts and compared with full licence texts; the best one of at least ``LEAST_WHOLE`` goes before anything else
+    (``file``). The block of comment lines at a text's head (``/*`` up to ``*/``, or lines with a mark) is compared with
+    standard headers and short full texts in the same way; the best one of at least ``LEAST_BLOCK`` goes before single
+    lines (``header``). A file without a licence takes that of the nearest
     directory above it that has a licence file, the most similar first, then by name (``inherited``); others get null
     and ``none``, scores being null then.
     Null texts have no lines; a null path has no directory; rows repeated in full get a row each; ties go to the
@@ -86,18 +117,25 @@ def license_scan(files: DataFrame, *, least: float = LEAST) -> DataFrame:
     templates = spark.createDataFrame([(str(i), n, t.lower()) for i, (n, t) in enumerate(TEMPLATES)], "template string, licence string, line string")
     best = _best(kinds, "line", float(marked.count()), templates, least)
     # Whole texts, each once however often it occurs
-    cued = files.filter(F.lower("text").rlike(CUE)).select("doc_id", "path", "th", F.lower("text").alias("low")).withColumn("key", F.sha2("low", 256))
+    cued = files.filter(F.lower("text").rlike(MARKED) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).select("doc_id", "path", "th", F.lower("text").alias("low")).withColumn("key", F.sha2("low", 256))
     cued = cued.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).filter(F.size("terms") > 0)
     cued = cut(cued.select("doc_id", "path", "th", "key", "terms"), "cued-texts")
     texts = cued.groupBy("key").agg(F.first("terms").alias("terms"), F.count("*").cast("double").alias("n"))
     full = spark.createDataFrame([(str(i), n, t.lower()) for i, (n, t) in enumerate(TEXTS)], "template string, licence string, line string")
     whole = cut(_best(texts, "key", float(cued.count()), full, LEAST_WHOLE), "whole")
+    blocks = _blocks(files)
+    heads = spark.createDataFrame([(str(i), n, t.lower()) for i, (n, t) in enumerate([*HEADERS, *[(n, t) for n, t in TEXTS if len(t.split()) <= SHORT_TEXT]])], "template string, licence string, line string")
+    headed = cut(_best(blocks.groupBy("key").agg(F.first("terms").alias("terms"), F.count("*").cast("double").alias("n")), "key", float(blocks.count()), heads, LEAST_BLOCK), "headed")
+    headed = blocks.drop("terms").join(maybe_broadcast(headed), "key").select(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h"), F.struct(F.lit(False).alias("reserved"), (-F.col("score")).alias("s"), "licence").alias("b"))
     whole = cued.drop("terms").join(maybe_broadcast(whole), "key").select(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h"), F.struct(F.lit(False).alias("reserved"), (-F.col("score")).alias("s"), "licence").alias("b"))
     named = marked.join(maybe_broadcast(cut(best, "lines")), "line")
     own = named.groupBy(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("th").alias("h")).agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), "licence")).alias("b"), F.sum(F.size("terms")).alias("n"))
-    # What the whole text says goes first
-    own = own.withColumn("w", F.lit(False)).unionByName(whole.withColumns({"n": F.lit(0).cast("long"), "w": F.lit(True)})).groupBy("d", "p", "h").agg(F.min(F.struct((~F.col("w")).alias("line"), "b")).alias("m"), F.max("n").alias("n"))
-    own = cut(own.select("d", "p", "h", F.col("m.b.licence").alias("licence"), (-F.col("m.b.s")).alias("score"), "n", (~F.col("m.line")).alias("w")), "own")
+    # What the whole text says goes first, then the block at its head
+    ranked = own.withColumn("rank", F.lit(2))
+    for rank, part in enumerate((whole, headed)):
+        ranked = ranked.unionByName(part.withColumns({"n": F.lit(0).cast("long"), "rank": F.lit(rank)}))
+    own = ranked.groupBy("d", "p", "h").agg(F.min(F.struct("rank", "b")).alias("m"), F.max("n").alias("n"))
+    own = cut(own.select("d", "p", "h", F.col("m.b.licence").alias("licence"), (-F.col("m.b.s")).alias("score"), "n", (F.col("m.rank") == 0).alias("w")), "own")
     terms = F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))
     match = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("th") == F.col("h"))
     rows = files.withColumn("has_cue", F.lower("text").rlike(CUE)).select("doc_id", "path", "th", F.when(F.col("has_cue"), terms).alias("terms"))
