@@ -6,6 +6,7 @@ Every input but the files is optional. What can't be read is left out and named
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,17 @@ VERSION = "array<struct<sha:string,date:string,message:string,ddl:string>>"
 @dataclass(frozen=True)
 class Catalog:
     nodes: DataFrame
-    edges: DataFrame
     recent_changes: DataFrame
     co_change_pairs: DataFrame
     #: (kind, name) of what was skipped
     warnings: DataFrame
+    #: the objects with what their definitions are searched for
+    searched: DataFrame
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Inferred when first asked for, as that runs jobs."""
+        return _edges(self.searched)
 
 
 def _lines(title: str) -> Column:
@@ -107,7 +114,7 @@ def assemble(files: DataFrame, *, metrics: DataFrame | None = None, log: DataFra
         out = out.join(counts, "id", "left").join(past, "id", "left").withColumns({"changeCount": F.coalesce("changeCount", F.lit(0)), "history": F.coalesce("history", none)})
         changes = touched.groupBy("sha").agg(F.sort_array(F.collect_set("id")).alias("objectIds")).join(commits, "sha").select("sha", "date", "message", "objectIds")
         pairs = history.top_pairs(history.co_change(touched))
-    return Catalog(out.drop("foreign_keys"), _edges(nodes), changes, pairs, warnings)
+    return Catalog(out.drop("foreign_keys"), changes, pairs, warnings, nodes)
 
 
 def write(catalog: Catalog, path: str) -> None:
