@@ -14,7 +14,7 @@ from provenir.operators.search import search
 from provenir.plans.queries import SERIES, event_series, query
 from provenir.sources.gitlog import MARK, git_log
 from provenir.sources.tree import current_tree, mirrored_path, publish
-from provenir.storage import cut, keep, shared_dir
+from provenir.storage import cut, keep, shared_dir, shuffled, spread
 
 
 def _folder(spark, name: str) -> str:
@@ -44,7 +44,7 @@ FROM old FULL JOIN new USING (path)
 @query(PUBLISH)
 def publish_tree(t):
     """Two publications of the parts' object tree: what the second changed, and the files it left."""
-    part = t("part")
+    part = spread(t("part"))
     schema = F.when(F.col("p_size") % 5 != 0, F.split("p_type", " ")[0])
     path = mirrored_path(F.concat(F.lit("S"), F.col("p_size") % 3), F.col("p_brand"), F.lit("Tables"), schema, F.concat_ws(":", "p_partkey", "p_name"))
     objects = part.select(path.alias("path"), F.concat("p_name", F.lit("\n")).alias("text"), "p_size")
@@ -52,8 +52,8 @@ def publish_tree(t):
     publish(objects.filter("p_size > 10").select("path", "text"), root)
     before = cut(current_tree(part.sparkSession, root).select("path", F.sha2("text", 256).alias("hash")), "before")
     publish(objects.filter("p_size <= 45").select("path", F.concat(F.when(F.col("p_size") % 7 == 0, "changed ").otherwise(""), "text").alias("text")), root)
-    after = current_tree(part.sparkSession, root).select("path", F.sha2("text", 256).alias("hash"))
-    return history.tree_diff(before, after).join(after.withColumnRenamed("hash", "sha256"), "path", "left")
+    after = cut(current_tree(part.sparkSession, root).select("path", F.sha2("text", 256).alias("hash")), "after")
+    return history.tree_diff(before, after).join(shuffled(after.withColumnRenamed("hash", "sha256")), "path", "left")
 
 
 # -- the git log -----------------------------------------------------------------------------------------------------

@@ -7,12 +7,16 @@ as it was, and so does a driver that dies: the swap's one step in which no tree
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +26,10 @@ from pyspark.sql.types import StructType
 from provenir.functions.scalar import safe_file_name
 from provenir.operators.history import tree_diff
 from provenir.operators.parse import render
-from provenir.sources.files import relative
+from provenir.storage import cut
 
-#: Files that a task writes, about; and tasks at most.
-FILES_A_TASK, TASKS = 2_000, 10_000
+#: Files that a task reads or writes, about, and folders that one lists; tasks at most; and bytes of files that are handed to Spark at once.
+FILES_A_TASK, FOLDERS_A_TASK, TASKS, BATCH_BYTES = 2_000, 16, 10_000, 8 << 20
 
 
 def mirrored_path(server: Column, database: Column, kind: Column, schema: Column, name: Column, extension: str = "sql") -> Column:
@@ -155,6 +159,57 @@ class Published:
     modified: int
 
 
+def _entries(files: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what a folder holds; of a local one, entry by entry."""
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            yield from ((e.path, e.is_dir()) for e in found)
+    else:
+        yield from ((e.path, e.type == fs.FileType.Directory) for e in files.get_file_info(fs.FileSelector(folder)))
+
+
+def _listed(spark: SparkSession, root: str, base: str) -> DataFrame:
+    """(path) of all files below ``base``, listed level by level in tasks: the driver sees no file's name, as it would where Spark's readers list."""
+
+    def listed(batches):
+        files, _ = _opened(root)
+        entries = ((path, is_folder) for b in batches for folder in b.column("path").to_pylist() for path, is_folder in _entries(files, folder))
+        while piece := list(islice(entries, FILES_A_TASK)):
+            yield pa.RecordBatch.from_pydict({"path": [p for p, _ in piece], "folder": [f for _, f in piece]})
+
+    level, found = spark.createDataFrame([(base, True)], "path string, folder boolean"), []
+    while True:
+        folders = level.filter("folder").select("path")
+        n = folders.count()
+        if not n:
+            return reduce(DataFrame.unionByName, found)
+        tasks = min(TASKS, n // FOLDERS_A_TASK + 1)
+        level = cut(folders.repartition(tasks).mapInArrow(listed, "path string, folder boolean"), "listing")
+        found.append(level.filter("not folder").select("path"))
+
+
+def _read(found: DataFrame, root: str, base: str) -> DataFrame:
+    """(path below ``base``, content) of listed files, read in tasks; a batch holds few files or bytes."""
+
+    def read(batches):
+        files, _ = _opened(root)
+        paths, contents, size = [], [], 0
+        piece = lambda: pa.RecordBatch.from_pydict({"path": paths, "content": pa.array(contents, pa.binary())})
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            with files.open_input_stream(path) as file:
+                contents.append(file.read())
+            paths.append(path[len(base) + 1 :])
+            size += len(contents[-1])
+            if len(paths) >= FILES_A_TASK or size >= BATCH_BYTES:
+                yield piece()
+                paths, contents, size = [], [], 0
+        if paths:
+            yield piece()
+
+    tasks = min(TASKS, found.count() // FILES_A_TASK + 1)
+    return found.repartition(tasks).mapInArrow(read, "path string, content binary")
+
+
 def _digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("text", 256).alias("hash"))
 
@@ -165,8 +220,8 @@ def current_tree(spark: SparkSession, root: str) -> DataFrame:
     _restored(files, base)
     if not _exists(files, base):
         return spark.createDataFrame([], "path string, text string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/"))
-    return found.select(relative("path", root).alias("path"), F.col("content").cast("string").alias("text"))
+    found = _listed(spark, root.rstrip("/"), base)
+    return _read(found, root.rstrip("/"), base).select("path", F.col("content").cast("string").alias("text"))
 
 
 def publish(objects: DataFrame, root: str, *, order: Column | None = None) -> Published:

@@ -70,3 +70,15 @@ def test_empty_table_empties_the_tree(spark, tmp_path):
     publish(frame(spark, [("a.sql", "x")]), root)
     assert publish(frame(spark, []), root) == Published(True, 0, 1, 0)
     assert tree(root) == {} and publish(frame(spark, []), root).changed is False
+
+
+def test_the_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("provenir.sources.tree.FILES_A_TASK", 3)
+    root = str(tmp_path / "tree")
+    files = [(f"_s{i % 2}/.d/{'x/' * (i % 4)}{i}.sql", f"é{i}\n") for i in range(20)]  # Spark's readers skip such folders
+    assert publish(frame(spark, files), root).added == 20
+    now = current_tree(spark, root)
+    assert not now.inputFiles() or not any(f.endswith(".sql") for f in now.inputFiles())
+    assert "MapInArrow" in now._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in now.collect()) == sorted(files)
+    assert publish(frame(spark, files), root) == Published(False, 0, 0, 0)
