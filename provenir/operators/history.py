@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenir.storage import cut, maybe_broadcast
+
 MAX_COMMITS, MAX_VERSIONS, MAX_FETCHES, MAX_PAIR_SIZE, MAX_PAIRS = 250, 15, 1500, 40, 100
 #: Lines of a log that are read together.
 SEGMENT = 10_000
@@ -62,12 +64,15 @@ def content_budget(versions: DataFrame, budget: int = MAX_FETCHES) -> DataFrame:
 def object_history(versions: DataFrame, blobs: DataFrame, parse, budget: int = MAX_FETCHES) -> DataFrame:
     """(id, history): versions (sha, date, message, ddl), newest first. ``blobs`` (id, sha, text) are parsed by ``parse``.
 
-    Definitions are fetched for the first ``budget`` versions by (id, rank); an object all of whose versions lie beyond
+    Definitions are fetched, and their blobs parsed, for the first ``budget`` versions by (id, rank); an object all of whose versions lie beyond
     has an empty history, though its changes are counted.
     """
-    fetched = content_budget(versions, budget).select("id", "rank", F.lit(True).alias("fetched"))
+    versions = cut(versions, "versions")
+    first = cut(content_budget(versions, budget), "fetched")
+    fetched = first.select("id", "rank", F.lit(True).alias("fetched"))
+    blobs = blobs.join(maybe_broadcast(first.select("id", "sha").distinct()), ["id", "sha"], "left_semi")
     ddl = parse(blobs.select(F.to_json(F.struct("id", "sha")).alias("id"), "text")).select(F.from_json("id", "id string, sha string").alias("k"), "ddl").select("k.id", "k.sha", "ddl")
-    rows = versions.join(fetched, ["id", "rank"], "left").join(ddl, ["id", "sha"], "left")
+    rows = versions.join(maybe_broadcast(fetched), ["id", "rank"], "left").join(ddl, ["id", "sha"], "left")
     version = F.struct("rank", "sha", "date", "message", F.when(F.col("fetched"), F.col("ddl")).alias("ddl"))
     out = rows.groupBy("id").agg(F.sort_array(F.collect_list(version)).alias("v"), F.max("fetched").alias("any"))
     kept = F.transform("v", lambda x: F.struct(x["sha"].alias("sha"), x["date"].alias("date"), x["message"].alias("message"), x["ddl"].alias("ddl")))
