@@ -1,6 +1,29 @@
-"""Histories whose cost follows their rows: only fetched versions are parsed."""
+"""Walks and histories whose cost follows their rows: seeds of one hub share rows, dead ends end a walk, only fetched versions are parsed."""
 
-from provenir.operators import history, parse
+from provenir.operators import graph, history, parse
+from provenir.operators.graph import neighborhood, reachable
+
+
+def test_seeds_of_a_hub_share_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 100)
+    cuts = {}
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: cuts.setdefault(name, []).append(f(df, name)) or cuts[name][-1])
+    edges = spark.range(1280).selectExpr("concat('c', id) AS `from`", "concat('h', pmod(id, 5)) AS `to`")
+    roots = edges.selectExpr("`from` AS id").repartition(7)
+    got = neighborhood(edges, roots, 2)
+    assert got.count() == got.distinct().count() == 1280 + 1280 * 256
+    hubs = cuts["front"][1].filter("startswith(id, 'h')")
+    assert hubs.count() <= 5 * 6  # 256 seeds a hub are four rows, or six where a block holds two hubs; unordered they were 100
+
+
+def test_a_walk_ends_at_dead_ends(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: names.append(name) or f(df, name))
+    nodes = spark.createDataFrame([(x, "s") for x in "abc"], "id string, server string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "`from` string, `to` string")
+    got = reachable(edges, nodes, nodes.filter("id = 'a'").select("id"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b", 1), ("a", "c", 2)]
+    assert names.count("front") == 3  # the seeds and two hops, none that looks for moves from c
 
 
 def test_only_fetched_versions_are_parsed(spark):
