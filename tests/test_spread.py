@@ -60,3 +60,10 @@ def test_larger_sides_are_never_broadcast(spark):
     long = spark.range(500).select(F.col("id"), F.repeat(F.lit("x"), 9).alias("x"))
     assert "BroadcastHashJoin" not in plan(long.join(storage.maybe_broadcast(long, 10), "id"))
     assert "BroadcastHashJoin" in plan(long.join(storage.maybe_broadcast(long, 1_000), "id"))
+
+
+def test_changes_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr("provenir.plans.queries.TOUCHED_ROWS", 500)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    text = plan(QUERIES["co_change_pairs"](spark, SF))
+    assert f", {n // 500 + 1}), REPARTITION_BY_NUM" in text
