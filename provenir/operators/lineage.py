@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.operators.lookup import prune, with_name
-from provenir.storage import cut, small
+from provenir.operators.lookup import prune, tasks_for, with_name
+from provenir.storage import cut, small, spread
 
 # The patterns by which names are found, and words that are no alias.
 QUALIFIED = r"(?U)\[?([A-Za-z_][\w$#]*)\]?\.\[?([A-Za-z_][\w$#]*)\]?"
@@ -20,6 +20,8 @@ STOP = (
     "INTO", "SELECT", "FROM", "AND", "OR", "NOT", "NULL", "IS", "IN", "EXISTS", "BEGIN", "END", "GO", "WITH", "FOR", "BY", "ALL",
     "DISTINCT", "TOP", "AS",
 )
+#: Rows of a task that makes edges distinct.
+EDGE_ROWS = 200_000
 #: A word, looked at but not taken with what follows it if that is an alias, and with the first letter after that. The words
 #: so found are all that the pattern of an alias can end a name in.
 FOLLOWED = r"(?iuU)(?<![\w$#])(?=([\w$#]++\]?" + ALIAS + r"(?:\s+\[?[A-Za-z_])?))[\w$#]"
@@ -48,19 +50,30 @@ def bare_tokens(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     return _scope(nodes).select("id", "server", "database", F.explode(F.array_distinct(found)).alias("token"))
 
 
-def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
-    """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search.
+def _once(pairs: DataFrame) -> DataFrame:
+    """Distinct edges. They are written first and then dealt by their number: made distinct in the tasks that read the
+    definitions, hardly any would go there, and one task would hold all edges of its share of the input."""
+    return spread(cut(pairs.filter("`from` <> `to`").select("from", "to"), "edges"), EDGE_ROWS, "from", "to").distinct()
 
-    Tokens that are no unique name of their database or server go before anything is shuffled.
-    """
+
+def _bare(nodes: DataFrame, text: str) -> DataFrame:
     names = _scope(nodes).select("id", "server", "database", F.lower("name").alias("token"))
     in_db = cut(names.groupBy("server", "database", "token").agg(F.count("*").alias("n"), F.min("id").alias("db_id")).filter("n = 1").drop("n"), "names")
     in_server = cut(names.groupBy("server", "token").agg(F.count("*").alias("n"), F.min("id").alias("server_id")).filter("n = 1").drop("n"), "names")
-    hits = bare_tokens(nodes, text)
+    hits, tasks = bare_tokens(nodes, text), None
     if not (small(in_db) and small(in_server)):  # else the joins are broadcasts, and nothing is shuffled
-        hits = prune(hits, (in_db, ["server", "database", "token"]), (in_server, ["server", "token"]))
-    hits = with_name(with_name(hits, in_db, ["server", "database", "token"], "id"), in_server, ["server", "token"], "id")
-    return hits.select(F.col("id").alias("from"), F.coalesce("db_id", "server_id").alias("to")).filter("`from` <> `to`").distinct()
+        hits = cut(prune(hits, (in_db, ["server", "database", "token"]), (in_server, ["server", "token"])), "tokens")
+        tasks = tasks_for(hits, in_db, in_server)
+    hits = with_name(with_name(hits, in_db, ["server", "database", "token"], "id", tasks), in_server, ["server", "token"], "id", tasks)
+    return hits.select(F.col("id").alias("from"), F.coalesce("db_id", "server_id").alias("to"))
+
+
+def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
+    """An edge to the object whose name is unique in the database, else in the server; hits on oneself end the search.
+
+    Tokens that are no unique name of their database or server go before anything is shuffled.
+    """
+    return _once(_bare(nodes, text))
 
 
 def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:

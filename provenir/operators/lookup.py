@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.storage import cut, small
+from provenir.storage import cut, shuffled, small
 
 #: Bits a name and bits at most of a filter. A filter of too many names holds nearly everything: it prunes less, but loses nothing.
 BITS_A_NAME, MOST_BITS = 12, 1 << 26
 HASHES = 4
 #: Tasks over which the rows of one name are dealt.
 SALTS = 16
+#: Rows of a task of a shuffled join, of either side.
+JOIN_ROWS = 200_000
 
 
 def _places(keys: list[str], bits: int) -> list[Column]:
@@ -50,10 +52,17 @@ def prune(rows: DataFrame, *scopes: tuple[DataFrame, list[str]]) -> DataFrame:
     return rows.join(F.broadcast(filters), reduce(Column.__or__, held), "left_semi")
 
 
-def with_name(rows: DataFrame, names: DataFrame, keys: list[str], by: str) -> DataFrame:
+def tasks_for(rows: DataFrame, *names: DataFrame) -> int:
+    """Tasks of a shuffled join with each of ``names``, which come in ``SALTS`` copies: as many as their rows need, so none grows with the input."""
+    return max(rows.count(), *(n.count() * SALTS for n in names)) // JOIN_ROWS + 1
+
+
+def with_name(rows: DataFrame, names: DataFrame, keys: list[str], by: str, tasks: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``names``, which has each key once: by broadcast where they are few, else with every name
-    in ``SALTS`` copies, over which a frequent one's rows are dealt by ``by``."""
+    in ``SALTS`` copies, over which a frequent one's rows are dealt by ``by``, and both over ``tasks`` (:func:`tasks_for`)."""
     if small(names):
         return rows.join(F.broadcast(names), keys, "left")
+    tasks, at = tasks or tasks_for(rows, names), [*keys, "salt"]
     salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salted, [*keys, "salt"], "left").drop("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).repartition(tasks, *at)
+    return dealt.join(shuffled(salted.repartition(tasks, *at)), at, "left").drop("salt")

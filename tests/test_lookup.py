@@ -1,6 +1,7 @@
 """Aliases by words against aliases by patterns; pruned and salted name joins against plain ones."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,30 @@ def test_edges_do_not_depend_on_the_way(spark, monkeypatch, few):
         monkeypatch.setattr(module, "small", lambda df: few)
     assert (rows(bare_edges(texts)), rows(qualified_edges(texts))) == want
     assert want[0] and want[1]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("found", [bare_edges])
+def test_edges_are_made_distinct_in_tasks_of_few_rows(spark, monkeypatch, found):
+    monkeypatch.setattr(lineage, "EDGE_ROWS", 10, raising=False)
+    said = [(f"p{i}", "s", "d", "dbo", f"proc{i}", "dbo.Orders JOIN dbo.Users, Orders, Total") for i in range(50)]
+    nodes = spark.createDataFrame([("o", "s", "d", "dbo", "Orders", ""), ("u", "s", "d", "dbo", "Users", ""), ("o", "s", "d", "dbo", "Total", ""), *said], NODES)
+    got = found(nodes)
+    assert rows(got) == sorted((f"p{i}", to) for i in range(50) for to in "ou")  # o has two names
+    n = 250 if found is lineage.edges else 150
+    assert f"hashpartitioning(from, to, {n // 10 + 1}), REPARTITION_BY_NUM" in re.sub(r"#\d+", "", plan(got))
+    assert "Generate" not in plan(got)  # no task that reads definitions makes edges distinct
+
+
+def test_many_names_are_joined_in_tasks_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "small", lambda df: False)
+    monkeypatch.setattr(lookup, "JOIN_ROWS", 100, raising=False)
+    left = spark.range(4000).select((F.col("id") % 3000).cast("string").alias("k"), "id")
+    names = spark.range(50).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    got = with_name(left, names, ["k"], "id")
+    assert "BroadcastHashJoin" not in plan(got)  # Spark would broadcast by the names' size before they are salted
+    assert re.sub(r"#\d+L?", "", plan(got)).count("hashpartitioning(k, salt, 41), REPARTITION_BY_NUM") == 2
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(left.join(names, "k", "left").select("k", "id", "v"))))
