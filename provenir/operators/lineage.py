@@ -5,6 +5,8 @@ Names, servers and databases compare without case. Words and their boundaries ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,11 @@ def bare_tokens(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     return _scope(nodes).select("id", "server", "database", F.explode(F.array_distinct(found)).alias("token"))
 
 
-def _once(pairs: DataFrame) -> DataFrame:
-    """Distinct edges. They are written first and then dealt by their number: made distinct in the tasks that read the
-    definitions, hardly any would go there, and one task would hold all edges of its share of the input."""
-    return spread(cut(pairs.filter("`from` <> `to`").select("from", "to"), "edges"), EDGE_ROWS, "from", "to").distinct()
+def _once(*found: DataFrame) -> DataFrame:
+    """Distinct edges. They are written first, each part by itself, and then dealt by their number: made distinct in the tasks
+    that read the definitions, hardly any would go there, and one task would hold all edges of its share of the input."""
+    pairs = [cut(f.filter("`from` <> `to`").select("from", "to"), "edges") for f in found]
+    return spread(reduce(DataFrame.unionByName, pairs), EDGE_ROWS, "from", "to").distinct()
 
 
 def _bare(nodes: DataFrame, text: str) -> DataFrame:
@@ -76,20 +79,24 @@ def bare_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     return _once(_bare(nodes, text))
 
 
-def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
-    """Edges from ``schema.name`` within a server and database; of equal names the last path wins."""
+def _qualified(nodes: DataFrame, text: str) -> DataFrame:
     scoped = _scope(nodes)
     names = scoped.filter("schema is not null").groupBy("server", "database", F.lower("schema").alias("s"), F.lower("name").alias("n")).agg(F.max("id").alias("to"))
     body = _text(nodes, text)
     both = F.arrays_zip(F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(1)).alias("s"), F.regexp_extract_all(body, F.lit(QUALIFIED), F.lit(2)).alias("n"))
     found = scoped.select(F.col("id").alias("from"), "server", "database", F.inline(F.array_distinct(F.transform(both, lambda x: F.struct(F.lower(x["s"]).alias("s"), F.lower(x["n"]).alias("n"))))))
     keys, names = ["server", "database", "s", "n"], cut(names, "names")
-    return with_name(found if small(names) else prune(found, (names, keys)), names, keys, "from").filter("`from` <> `to`").select("from", "to").distinct()
+    return with_name(found if small(names) else cut(prune(found, (names, keys)), "tokens"), names, keys, "from").select("from", "to")
+
+
+def qualified_edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
+    """Edges from ``schema.name`` within a server and database; of equal names the last path wins."""
+    return _once(_qualified(nodes, text))
 
 
 def edges(nodes: DataFrame, text: str = "ddl") -> DataFrame:
     """(from, to) by qualified and bare names in the definition and, if the nodes have that column, in ``foreign_keys``."""
-    return qualified_edges(nodes, text).unionByName(bare_edges(nodes, text)).distinct()
+    return _once(_qualified(nodes, text), _bare(nodes, text))
 
 
 def _literal(c: Column) -> Column:

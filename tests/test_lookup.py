@@ -92,7 +92,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("found", [bare_edges])
+@pytest.mark.parametrize("found", [bare_edges, lineage.edges])
 def test_edges_are_made_distinct_in_tasks_of_few_rows(spark, monkeypatch, found):
     monkeypatch.setattr(lineage, "EDGE_ROWS", 10, raising=False)
     said = [(f"p{i}", "s", "d", "dbo", f"proc{i}", "dbo.Orders JOIN dbo.Users, Orders, Total") for i in range(50)]
