@@ -44,11 +44,17 @@ def change_counts(touched: DataFrame) -> DataFrame:
     return touched.groupBy("id").agg(F.count("*").alias("change_count"), F.max("date").alias("last_changed_at"))
 
 
-def version_history(touched: DataFrame, commits: DataFrame, keep: int = MAX_VERSIONS) -> DataFrame:
-    """The latest ``keep`` versions of each object, by date and then sha."""
+def ranked(touched: DataFrame, keep: int | None = None) -> DataFrame:
+    """(id, rank, sha, date): all versions of each object, or the latest ``keep``, newest first by date and then sha."""
     w = Window.partitionBy("id").orderBy(F.desc("date"), F.desc("sha"))
-    top = touched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
-    return top.join(commits.select("sha", "message"), "sha", "left").select("id", F.col("rank").cast("long").alias("rank"), "sha", "date", "message")
+    rows = touched.withColumn("rank", F.row_number().over(w))
+    top = rows if keep is None else rows.filter(F.col("rank") <= keep)
+    return top.select("id", F.col("rank").cast("long").alias("rank"), "sha", "date")
+
+
+def version_history(touched: DataFrame, commits: DataFrame, keep: int | None = MAX_VERSIONS) -> DataFrame:
+    """The latest ``keep`` versions of each object, by date and then sha; all without ``keep``."""
+    return ranked(touched, keep).join(commits.select("sha", "message"), "sha", "left").select("id", "rank", "sha", "date", "message")
 
 
 def with_content(versions: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -61,18 +67,25 @@ def content_budget(versions: DataFrame, budget: int = MAX_FETCHES) -> DataFrame:
     return versions.orderBy("id", "rank").limit(budget)
 
 
-def object_history(versions: DataFrame, blobs: DataFrame, parse, budget: int = MAX_FETCHES) -> DataFrame:
+def object_versions(versions: DataFrame, blobs: DataFrame, parse) -> DataFrame:
+    """``versions``, a row each, with the definition that ``parse`` finds in their blob (id, sha, text)."""
+    return with_content(versions, parse(blobs.select("id", "sha", "text"), "sha"))
+
+
+def object_history(versions: DataFrame, blobs: DataFrame, parse, budget: int | None = None) -> DataFrame:
     """(id, history): versions (sha, date, message, ddl), newest first. ``blobs`` (id, sha, text) are parsed by ``parse``.
 
-    Definitions are fetched, and their blobs parsed, for the first ``budget`` versions by (id, rank); an object all of whose versions lie beyond
-    has an empty history, though its changes are counted.
+    With a ``budget``, definitions are fetched, and their blobs parsed, for the first so many versions by (id, rank); an object all of whose
+    versions lie beyond has an empty history, though its changes are counted. An object's history is one row: see :func:`object_versions` for a row each.
     """
-    versions = cut(versions, "versions")
-    first = cut(content_budget(versions, budget), "fetched")
-    fetched = first.select("id", "rank", F.lit(True).alias("fetched"))
-    blobs = blobs.join(maybe_broadcast(first.select("id", "sha").distinct()), ["id", "sha"], "left_semi")
-    ddl = parse(blobs.select(F.to_json(F.struct("id", "sha")).alias("id"), "text")).select(F.from_json("id", "id string, sha string").alias("k"), "ddl").select("k.id", "k.sha", "ddl")
-    rows = versions.join(maybe_broadcast(fetched), ["id", "rank"], "left").join(ddl, ["id", "sha"], "left")
+    if budget is None:
+        rows = object_versions(versions, blobs, parse).withColumn("fetched", F.lit(True))
+    else:
+        versions = cut(versions, "versions")
+        first = cut(content_budget(versions, budget), "fetched")
+        blobs = blobs.join(maybe_broadcast(first.select("id", "sha").distinct()), ["id", "sha"], "left_semi")
+        fetched = maybe_broadcast(first.select("id", "rank", F.lit(True).alias("fetched")))
+        rows = object_versions(versions.join(fetched, ["id", "rank"], "left"), blobs, parse)
     version = F.struct("rank", "sha", "date", "message", F.when(F.col("fetched"), F.col("ddl")).alias("ddl"))
     out = rows.groupBy("id").agg(F.sort_array(F.collect_list(version)).alias("v"), F.max("fetched").alias("any"))
     kept = F.transform("v", lambda x: F.struct(x["sha"].alias("sha"), x["date"].alias("date"), x["message"].alias("message"), x["ddl"].alias("ddl")))
