@@ -67,3 +67,34 @@ def test_no_edges_no_seeds_and_no_hops(spark):
     assert reachable(none, nodes, nodes.select("id")).count() == 0
     assert reachable(none, nodes, nodes.select("id").limit(0)).count() == 0
     assert [tuple(r) for r in neighborhood(none, nodes.select("id"), 0).collect()] == [("a", "a")]
+
+
+@pytest.mark.parametrize("hub,hubs,radius,sent", [(7, 62, 2, False), (7, 2, 3, True), (2, 62, 4, False), (20, 62, 2, True)])
+def test_neighborhoods_by_blocks_equal_plain_walks(spark, monkeypatch, hub, hubs, radius, sent):
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    monkeypatch.setattr(graph, "BLOCK_BITS", 2)
+    monkeypatch.setattr(graph, "PAIRS", 1 << 13)
+    if sent:
+        monkeypatch.setattr(graph, "small", lambda df: False)
+    nodes, edges = made(hub)
+    edges += [(f"n{a}", f"n{b}") for a in (100, 120) for b in range(0, 90, 4)] + [("n50", f"x{i}") for i in range(25)]
+    both = {}
+    for a, b in edges:
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    frame = spark.createDataFrame(edges, "`from` string, `to` string")
+    for roots in ([n for n, _, _ in nodes[1::2]] + ["alone", "n1", "n3", "n0"], ["x1", "x2", "alone"]):
+        got = neighborhood(frame, spark.createDataFrame([(r,) for r in roots], "id string"), radius)
+        want = sorted((r, i) for r in set(roots) for i in plain(both, r, radius, lambda b: True))
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_pairs_of_a_hub_are_not_moved(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(graph, "HUB", 100)
+    kept = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: kept.append(f(df, name)) or kept[-1])
+    edges = spark.range(3000).selectExpr("concat('c', id) AS `from`", "concat('h', pmod(id, 2)) AS `to`")
+    got = neighborhood(edges, edges.selectExpr("`from` AS id"), 3)
+    assert got.count() == 3000 + 3000 * 1500
+    assert max(df.count() for df in kept) <= 6000  # moves; no frontier holds blocks by nodes
